@@ -16,8 +16,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(_read(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], budget=1.5, max_epochs=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {
+        "op7_mix_sources": op7_mix_sources,
         "op1_exact_dedup": op1_exact_dedup,
     }
 
@@ -30,4 +38,38 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER g AS kept, text_sha256
             FROM d WINDOW g AS (PARTITION BY text_sha256)
         """,
+        "op7_mix_sources": r"""
+            WITH d AS (
+                SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                       length(translate(text, '#*$%&|<>{}[]~^=_\', ''))::DOUBLE / greatest(length(text), 1) AS share,
+                       (('0x' || substr(md5(concat('17:', coalesce(doc_id::VARCHAR, 'null'))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+                FROM documents
+            ), k AS (
+                SELECT doc_id, source, size, -ln(u) / coalesce(greatest(share * share * share * share, 0.05), 1.0) AS key FROM d
+            ), s AS (
+                SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source
+            ), r AS (
+                SELECT source, source_size,
+                       [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS w FROM s
+            ), f AS (
+                SELECT *, source_size * 2.0::DOUBLE AS cap,
+                       sum(source_size) OVER ()::BIGINT * 1.5::DOUBLE - coalesce(sum(source_size) OVER (
+                           ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT, 0) * 2.0::DOUBLE AS left_,
+                       sum(w) OVER (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+                FROM r
+            ), g AS (SELECT *, cap * w_left <= left_ * w AS is_full FROM f
+            ), l AS (SELECT left_ AS l, w_left AS wl FROM g WHERE NOT is_full ORDER BY cap / w, left_, w_left LIMIT 1
+            ), t AS (
+                SELECT source, source_size, CASE WHEN is_full THEN cap ELSE w * l / wl END AS target FROM g LEFT JOIN l ON true
+            ), e AS (
+                SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t
+            ), o AS (
+                SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+                       sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+                FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+            )
+            SELECT doc_id, size, source_size, target,
+                   (epochs + CASE WHEN upto * 2 - size <= rest * 2 THEN 1 ELSE 0 END) * size AS taken
+            FROM o
+        """,
     }
