@@ -16,6 +16,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    pieces = pack_documents(_read(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json", end_id=0, capacity=1024)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -23,8 +31,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files_round_trip
+
+    return token_files_round_trip(_read(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json", end_id=2)
+
+
 def queries() -> dict:
     return {
+        "op10_token_files": op10_token_files,
+        "op5_pack_documents": op5_pack_documents,
         "op7_mix_sources": op7_mix_sources,
         "op1_exact_dedup": op1_exact_dedup,
     }
