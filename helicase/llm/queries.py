@@ -16,6 +16,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+#: The rules that the test query asks for.
+HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    judged = filter_urls(_read(spark, sf_dir, "pages"), HOST_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -40,6 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op10_token_files": op10_token_files,
+        "op2_filter_urls": op2_filter_urls,
         "op5_pack_documents": op5_pack_documents,
         "op7_mix_sources": op7_mix_sources,
         "op1_exact_dedup": op1_exact_dedup,
@@ -54,6 +66,33 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER g AS kept, text_sha256
             FROM d WINDOW g AS (PARTITION BY text_sha256)
         """,
+        "op2_filter_urls": r"""
+            WITH p AS (
+                SELECT page_id, url, coalesce(strpos(url, '://') > 0, false) AS placed,
+                       CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+                       coalesce(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS low
+                FROM pages
+            ), h AS (
+                SELECT page_id, placed, low,
+                       coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                       coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+                FROM p
+            ), r AS (
+                SELECT *, CASE
+                    WHEN placed AND (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                    WHEN placed AND (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                    WHEN placed AND (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                    WHEN placed AND (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+                FROM h
+            )
+            SELECT page_id, host, path, rule, CASE
+                WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+                WHEN rule IS NOT NULL THEN 'block'
+                WHEN regexp_matches(low, '^[^:/?#]*://([^/?#]*\.)?(edu|gov)([^a-z0-9]|$)') OR regexp_matches(low, '(^|[^a-z0-9])(sex[^a-z0-9]education|health)([^a-z0-9]|$)') THEN 'allow'
+                WHEN regexp_matches(low, '(^|[^a-z0-9])(adult|porn|xxx|sex|escort|casino|poker|bets|betting|pills|viagra|pharma[^a-z0-9]cheap|spam|phishing|malware|warez|torrent|ads|adserver|doubleclick|popunder|click[^a-z0-9]farm|free[^a-z0-9]money|payday[^a-z0-9]loan)([^a-z0-9]|$)') THEN 'block'
+                ELSE 'allow' END AS verdict
+            FROM r
+        """,
         "op7_mix_sources": r"""
             WITH d AS (
                 SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
