@@ -27,6 +27,19 @@ def op2_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_resample
+
+    return importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -52,6 +65,8 @@ def queries() -> dict:
     return {
         "op10_token_files": op10_token_files,
         "op2_filter_urls": op2_filter_urls,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_importance_resample": op4_importance_resample,
         "op5_pack_documents": op5_pack_documents,
         "op7_mix_sources": op7_mix_sources,
         "op1_exact_dedup": op1_exact_dedup,
