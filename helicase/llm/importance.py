@@ -51,6 +51,8 @@ def log_ratios(docs: DataFrame, target_ids: set[int], buckets: int, smoothing: f
     """Per bucket, the log of target over raw probability.  Counts cover all documents; the result has ``buckets`` numbers."""
     sums = docs.mapInArrow(_counts(target_ids, buckets), "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    if not target_ids:
+        return np.zeros(buckets)
     raw, target = np.full(buckets, smoothing), np.full(buckets, smoothing)
     for r in sums.collect():
         raw[r["bucket"]] += r["raw"]
@@ -118,9 +120,9 @@ def importance_resample(
     nats, which chance gives a short clean text.
 
     Defined cases: a null or empty text has no n-grams and weight 0 (log).
-    A null id gets its own Gumbel noise from the text.  Documents that tie at
-    the k-th key are all kept.  Repeated rows have equal keys.  Without labels or
-    with an empty table, the target model is uniform over buckets.
+    Null ids share one Gumbel noise.  Documents that tie at the k-th key are
+    all kept.  Repeated rows have equal keys.  Without a good label both
+    models are the same and all weights are 0.  An empty table gives no rows.
 
     Scale: texts are read twice and never shuffled.  Counts cover all
     documents; only ``buckets`` sums reach the driver.  The target model takes

@@ -48,6 +48,12 @@ def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -68,6 +74,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op4_importance_resample": op4_importance_resample,
         "op5_pack_documents": op5_pack_documents,
+        "op6_extract_text": op6_extract_text,
         "op7_mix_sources": op7_mix_sources,
         "op1_exact_dedup": op1_exact_dedup,
     }
