@@ -61,6 +61,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup, without_lines
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    left = without_lines(docs, line_dedup(docs))
+    return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files_round_trip
 
@@ -76,6 +84,7 @@ def queries() -> dict:
         "op5_pack_documents": op5_pack_documents,
         "op6_extract_text": op6_extract_text,
         "op7_mix_sources": op7_mix_sources,
+        "op8_dedup_lines": op8_dedup_lines,
         "op1_exact_dedup": op1_exact_dedup,
     }
 
