@@ -69,6 +69,12 @@ def op8_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files_round_trip
 
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op6_extract_text": op6_extract_text,
         "op7_mix_sources": op7_mix_sources,
         "op8_dedup_lines": op8_dedup_lines,
+        "op9_jaccard_join": op9_jaccard_join,
         "op1_exact_dedup": op1_exact_dedup,
     }
 
