@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import block_queries, hit_queries, model_queries
+
+MODULES = [block_queries, hit_queries, model_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
