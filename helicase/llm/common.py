@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: How many tasks a single hot key is spread over in :func:`salted_join`.
@@ -60,6 +60,29 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread, *, how: str
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+#: Bits of the filter that :func:`likely_in` broadcasts: 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def likely_in(rows: DataFrame, key: Column, members: DataFrame, member_key: Column, *, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with the boolean ``_likely``: false only where ``key`` is surely not among ``members``.
+
+    The members' hashed keys make a bitmap of at most ``bits`` bits, whatever
+    their number, which is broadcast in pieces of 4 KB.  With many members
+    more rows are taken for likely; none that is a member is missed.
+    """
+    def cell(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+
+    pieces = members.select(cell(member_key).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("_bits"))
+    spot = F.bitmap_bit_position(cell(key))
+    joined = rows.withColumn("_piece", F.bitmap_bucket_number(cell(key))).join(F.broadcast(pieces), "_piece", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    hit = F.getbit(byte, F.pmod(spot, F.lit(8)).cast("int")) == 1
+    return joined.withColumn("_likely", F.coalesce(hit, F.lit(False))).drop("_piece", "_bits")
+
+
 def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` as (node, label), label the least node.
 

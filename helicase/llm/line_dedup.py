@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, stage
+from .common import likely_in, salted_join, stage
 from .words import finish, word_hashes
 
 #: Lines with fewer words are only compared for equality: one edit would be over a fifth of them.
@@ -130,7 +130,7 @@ def variant_keys(words: list[bytes]) -> tuple[list[bytes], bytes]:
 
 
 def _variants(batches):
-    """(line, order, key, place): each variant's key with the place of the deletion; -2 marks the whole line."""
+    """(line, key, place): each variant's key with the place of the deletion; -2 marks the whole line."""
     for b in batches:
         # a few lines at a time, as a line has a variant for each of its words
         for lo in range(0, b.num_rows, 200):
@@ -142,9 +142,8 @@ def _variants(batches):
                 places += [*range(len(own)), -2]
                 counts.append(len(own) + 1)
             back = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([
-                some.column("line").take(back), some.column("order").take(back), pa.array(keys, pa.binary()), pa.array(places, pa.int32()),
-            ], ["line", "order", "key", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [some.column("line").take(back), pa.array(keys, pa.binary()), pa.array(places, pa.int32())], ["line", "key", "place"])
 
 
 def _within_one_edit(a: bytes, b: bytes) -> bool:
@@ -171,43 +170,60 @@ def occurrence() -> Column:
         F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("line_no").alias("no"))
 
 
+def neighbours_wanted(distinct: DataFrame) -> DataFrame:
+    """(line, order) of the distinct lines that share a half with another."""
+    # a hash stands for the line: where two meet, one more line is asked
+    keys = distinct.select(F.xxhash64("line").alias("short"), F.explode("halves").alias("half"))
+    shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    # a common half is split between tasks as a skewed join
+    sharing = keys.join(shared, "half", "left_semi").select("short").distinct()
+    return distinct.select("line", "order", F.xxhash64("line").alias("short")).join(sharing, "short", "left_semi").drop("short")
+
+
+def words_of(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """(line, words, order) of lines, from the document in which each occurs first.
+
+    Documents without such a line are passed over before the shuffle.
+    """
+    per_doc = asked.groupBy(F.col("order.none").alias("none"), F.col("order.id").alias("doc_id")).agg(F.collect_set("order.no").alias("wanted"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    likely = likely_in(texts, F.col("doc_id"), per_doc, F.col("doc_id")).where("_likely").drop("_likely")
+    found = likely.join(per_doc, ["none", "doc_id"]).select("wanted", "text").mapInArrow(_chosen_words(min_words), "line binary, words binary")
+    return found.dropDuplicates(["line"]).join(asked, "line").select("line", "words", "order")
+
+
 def near_earlier(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(line, first): each distinct line with the earliest line that a key matches it to, verified.
 
     ``distinct`` has ``line, order, halves``; ``docs`` has ``doc_id, text``.
     """
-    keys = distinct.select("line", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    # a common half is split between tasks as a skewed join
-    sharing = keys.join(shared, "half", "left_semi").select("line").distinct()
-    asked = stage(distinct.join(sharing, "line", "left_semi").select("line", "order"), name="asked")
-
-    # the words of those lines, from the document in which each occurs first
-    where = asked.select(F.col("order.id").alias("doc_id"), F.col("order.none").alias("none"), F.col("order.no").alias("no"))
-    per_doc = where.groupBy("none", "doc_id").agg(F.collect_set("no").alias("wanted"))
-    texts = docs.select("doc_id", "text").withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
-    found = texts.join(per_doc, ["none", "doc_id"]).select("wanted", "text").mapInArrow(
-        _chosen_words(min_words), "line binary, words binary")
-    words = stage(found.dropDuplicates(["line"]).join(asked, "line").select("line", "words", "order"), name="words")
-
-    emitted = stage(words.mapInArrow(
-        _variants, "line binary, order struct<none:boolean,id:bigint,no:int>, key binary, place int"), name="variants")
-    at = emitted.where("place >= 0")
+    asked = stage(neighbours_wanted(distinct), name="asked")
+    words = stage(words_of(asked, docs, min_words), name="words")
+
+    # only variants that another line (or variant) shares go on
+    emitted = words.select("line", "words").mapInArrow(_variants, "line binary, key binary, place int").withColumn("short", F.xxhash64("key"))
+    shared = emitted.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
+    live = emitted.join(shared, "short", "left_semi").drop("short")
+    live = stage(live.join(words.select("line", "order"), "line"), name="variants")
+
+    at = live.where("place >= 0")
     # replaced: all lines of a (key, place) match each other
-    least = at.groupBy("key", "place").agg(F.min_by("line", "order").alias("first"), F.min("order").alias("first_order"), F.count("*").alias("n"))
-    replaced = least.where("n > 1").select(F.concat("key", F.lit(":").cast("binary"), F.col("place").cast("string").cast("binary")).alias("slot"), "first", "first_order")
-    slots = at.withColumn("slot", F.concat("key", F.lit(":").cast("binary"), F.col("place").cast("string").cast("binary"))).select("line", "order", "slot")
+    slot = F.concat("key", F.lit(":").cast("binary"), F.col("place").cast("string").cast("binary"))
+    slots = at.select("line", "order", slot.alias("slot"))
+    least = slots.groupBy("slot").agg(F.min(F.struct("order", "line")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    replaced = least.select("slot", F.col("least.line").alias("first"), F.col("least.order").alias("first_order"))
     one = salted_join(slots, replaced, "slot", ["line"], how="inner").where("first_order < order").select("line", "first", "first_order")
     # deleted or inserted: the whole line meets the variants of longer ones
-    whole = emitted.where("place = -2").select("key", F.col("line").alias("short"), F.col("order").alias("short_order"))
-    grown = at.groupBy("key").agg(F.min_by("line", "order").alias("long"), F.min("order").alias("long_order"))
+    whole = live.where("place = -2").select("key", F.col("line").alias("short"), F.col("order").alias("short_order"))
+    grown = at.groupBy("key").agg(F.min(F.struct("order", "line")).alias("long"))
     both = whole.join(grown, "key")
-    from_short = both.where("long_order < short_order").select(
-        F.col("short").alias("line"), F.col("long").alias("first"), F.col("long_order").alias("first_order"))
-    earlier = whole.join(grown.select("key"), "key", "left_semi").withColumnRenamed("short", "first").withColumnRenamed("short_order", "first_order")
+    from_short = both.where("long.order < short_order").select(
+        F.col("short").alias("line"), F.col("long.line").alias("first"), F.col("long.order").alias("first_order"))
+    earlier = both.select("key", F.col("short").alias("first"), F.col("short_order").alias("first_order"))
     from_long = salted_join(at.select("line", "order", "key"), earlier, "key", ["line"], how="inner").where(
         "first_order < order").select("line", "first", "first_order")
-    pairs = one.unionByName(from_short).unionByName(from_long).groupBy("line").agg(F.min_by("first", "first_order").alias("first"))
+    pairs = one.unionByName(from_short).unionByName(from_long).groupBy("line").agg(F.min(F.struct("first_order", "first")).alias("least"))
+    pairs = pairs.select("line", F.col("least.first").alias("first"))
 
     text_of = words.select("line", "words")
     told = pairs.join(text_of, "line")
@@ -242,12 +258,15 @@ def line_dedup(
     emit variants, one for each word.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = stage(rows.mapInArrow(_lines(min_words, min_words_near), LINES), name="lines").withColumn("order", occurrence())
-    distinct = stage(lines.groupBy("line").agg(F.min("order").alias("order"), F.first("halves").alias("halves"), F.count("*").alias("n")), name="distinct")
+    lines = stage(rows.mapInArrow(_lines(min_words, min_words_near), LINES), name="lines")
+    distinct = stage(lines.withColumn("order", occurrence()).groupBy("line").agg(F.min("order").alias("order"), F.first("halves").alias("halves"), F.count("*").alias("n")), name="distinct")
     near = stage(near_earlier(distinct, rows, min_words), name="near").select("line", F.lit(True).alias("near"))
     verdict = distinct.join(near, "line", "left").where("n > 1 OR near").select(
         "line", F.col("order").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    told = salted_join(lines.select("doc_id", "line_no", "line", "order"), verdict, "line", ["doc_id", "line_no"], how="inner")
+    verdict = stage(verdict, name="verdict")
+    # lines that occur once and have no neighbour need no join
+    likely = likely_in(lines.select("doc_id", "line_no", "line"), F.col("line"), verdict, F.col("line")).where("_likely").drop("_likely")
+    told = salted_join(likely, verdict, "line", ["doc_id", "line_no"], how="inner").withColumn("order", occurrence())
     dropped = told.where(F.col("near") | (F.col("order") > F.col("first")))
     return dropped.select(
         F.col("doc_id").alias(id_col), "line_no", (F.col("order") == F.col("first")).alias("near")).distinct()
@@ -256,12 +275,18 @@ def line_dedup(
 def without_lines(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the dropped lines, with its columns; also ``_n_lines`` and ``_n_dropped``.
 
-    A null text without dropped lines stays null.
+    A null text without dropped lines stays null.  Documents that lose nothing
+    pass straight through; only the others are shuffled.
     """
-    per = dropped.groupBy(F.col(id_col).alias("_line_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(per, docs[id_col].eqNullSafe(per["_line_id"]), "left")
+    per = stage(dropped.groupBy(F.col(id_col).alias("_line_id")).agg(F.collect_set("line_no").alias("_gone")), name="gone")
+    known = likely_in(docs, docs[id_col].cast("long"), per, F.col("_line_id"))
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.size(parts).cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"))
+
+    def counted(df: DataFrame, text: Column, gone: Column) -> DataFrame:
+        columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+        return df.select(*columns, F.size(parts).cast("long").alias("_n_lines"), gone.cast("long").alias("_n_dropped"))
+
+    joined = known.where("_likely").join(per, F.col(id_col).cast("long").eqNullSafe(F.col("_line_id")), "left")
+    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    touched = counted(joined, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept), F.coalesce(F.size("_gone"), F.lit(0)))
+    return counted(known.where("NOT _likely"), F.col(text_col), F.lit(0)).unionByName(touched)
