@@ -20,7 +20,7 @@ from .words import word_hashes
 BUCKETS = 1 << 14
 #: At most so many labelled documents make the target model.
 MAX_TARGET_DOCS = 50_000
-#: Added to every bucket's count, in both models.
+#: Weight of the raw model in the target model's counts, per bucket.
 SMOOTHING = 1.0
 
 
@@ -53,11 +53,14 @@ def log_ratios(docs: DataFrame, target_ids: set[int], buckets: int, smoothing: f
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     if not target_ids:
         return np.zeros(buckets)
-    raw, target = np.full(buckets, smoothing), np.full(buckets, smoothing)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in sums.collect():
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    # a bucket that the target lacks is as likely as in raw text, times a constant
+    share = (raw + 1e-3) / (raw + 1e-3).sum()
+    target += smoothing * buckets * share
+    return np.log(target / target.sum()) - np.log(share)
 
 
 def _scores(ratios: np.ndarray, seed: int):

@@ -107,8 +107,8 @@ def _chosen_words(min_words: int):
     return run
 
 
-def variant_keys(words: list[bytes]) -> tuple[list[bytes], bytes]:
-    """128-bit keys of the line's n variants with one word deleted, and of the line itself.
+def variant_keys(words: list[bytes]) -> np.ndarray:
+    """128-bit keys, as two columns of signed 64 bits: of the line's n variants with one word deleted, then of the line itself.
 
     A key is a sum of mixed word hashes, each mixed with its place in the
     variant, so all variants come from running sums in linear time.
@@ -122,28 +122,24 @@ def variant_keys(words: list[bytes]) -> tuple[list[bytes], bytes]:
         moved = finish(h[1:] ^ place[:-1]) if n else h  # those after it move up
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(stay, dtype=np.uint64)])
         after = np.concatenate([np.cumsum(moved[::-1], dtype=np.uint64)[::-1], np.zeros(1, np.uint64)])
-        halves.append((before[:n] + after[:n], before[n]))
-    pairs = np.stack([halves[0][0], halves[1][0]], axis=1).astype("<u8")
-    whole = np.array([halves[0][1], halves[1][1]], "<u8").tobytes()
-    raw = pairs.tobytes()
-    return [raw[16 * i:16 * i + 16] for i in range(n)], whole
+        halves.append(np.append(before[:n] + after[:n], before[n]))
+    return np.stack(halves, axis=1).view(np.int64)
 
 
 def _variants(batches):
-    """(line, key, place): each variant's key with the place of the deletion; -2 marks the whole line."""
+    """(line, k1, k2, place): each variant's key with the place of the deletion; -2 marks the whole line."""
     for b in batches:
         # a few lines at a time, as a line has a variant for each of its words
         for lo in range(0, b.num_rows, 200):
             some = b.slice(lo, 200)
-            keys, places, counts = [], [], []
-            for text in some.column("words").to_pylist():
-                own, whole = variant_keys(text.split())
-                keys += [*own, whole]
-                places += [*range(len(own)), -2]
-                counts.append(len(own) + 1)
+            keys = [variant_keys(text.split()) for text in some.column("words").to_pylist()]
+            counts = [len(k) for k in keys]
+            places = np.concatenate([np.append(np.arange(n - 1), -2) for n in counts])
+            both = np.concatenate(keys)
             back = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.RecordBatch.from_arrays(
-                [some.column("line").take(back), pa.array(keys, pa.binary()), pa.array(places, pa.int32())], ["line", "key", "place"])
+                [some.column("line").take(back), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(places.astype(np.int32))],
+                ["line", "k1", "k2", "place"])
 
 
 def _within_one_edit(a: bytes, b: bytes) -> bool:
@@ -176,7 +172,7 @@ def neighbours_wanted(distinct: DataFrame) -> DataFrame:
     keys = distinct.select(F.xxhash64("line").alias("short"), F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     # a common half is split between tasks as a skewed join
-    sharing = keys.join(shared, "half", "left_semi").select("short").distinct()
+    sharing = keys.join(shared.hint("merge"), "half", "left_semi").select("short").distinct()
     return distinct.select("line", "order", F.xxhash64("line").alias("short")).join(sharing, "short", "left_semi").drop("short")
 
 
@@ -188,7 +184,8 @@ def words_of(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     per_doc = asked.groupBy(F.col("order.none").alias("none"), F.col("order.id").alias("doc_id")).agg(F.collect_set("order.no").alias("wanted"))
     texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
     likely = likely_in(texts, F.col("doc_id"), per_doc, F.col("doc_id")).where("_likely").drop("_likely")
-    found = likely.join(per_doc, ["none", "doc_id"]).select("wanted", "text").mapInArrow(_chosen_words(min_words), "line binary, words binary")
+    # what is asked of documents grows with the corpus, so this is a merge join at any size
+    found = likely.join(per_doc.hint("merge"), ["none", "doc_id"]).select("wanted", "text").mapInArrow(_chosen_words(min_words), "line binary, words binary")
     return found.dropDuplicates(["line"]).join(asked, "line").select("line", "words", "order")
 
 
@@ -201,15 +198,14 @@ def near_earlier(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFr
     words = stage(words_of(asked, docs, min_words), name="words")
 
     # only variants that another line (or variant) shares go on
-    emitted = words.select("line", "words").mapInArrow(_variants, "line binary, key binary, place int").withColumn("short", F.xxhash64("key"))
-    shared = emitted.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
-    live = emitted.join(shared, "short", "left_semi").drop("short")
-    live = stage(live.join(words.select("line", "order"), "line"), name="variants")
+    emitted = words.select("line", "words").mapInArrow(_variants, "line binary, k1 long, k2 long, place int")
+    shared = emitted.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
+    live = emitted.join(shared.hint("merge"), "k1", "left_semi")
+    live = stage(live.join(words.select("line", "order"), "line").withColumn("key", F.struct("k1", "k2")), name="variants")
 
     at = live.where("place >= 0")
     # replaced: all lines of a (key, place) match each other
-    slot = F.concat("key", F.lit(":").cast("binary"), F.col("place").cast("string").cast("binary"))
-    slots = at.select("line", "order", slot.alias("slot"))
+    slots = at.select("line", "order", F.struct("k1", "k2", "place").alias("slot"))
     least = slots.groupBy("slot").agg(F.min(F.struct("order", "line")).alias("least"), F.count("*").alias("n")).where("n > 1")
     replaced = least.select("slot", F.col("least.line").alias("first"), F.col("least.order").alias("first_order"))
     one = salted_join(slots, replaced, "slot", ["line"], how="inner").where("first_order < order").select("line", "first", "first_order")
@@ -286,7 +282,8 @@ def without_lines(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id"
         columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
         return df.select(*columns, F.size(parts).cast("long").alias("_n_lines"), gone.cast("long").alias("_n_dropped"))
 
-    joined = known.where("_likely").join(per, F.col(id_col).cast("long").eqNullSafe(F.col("_line_id")), "left")
+    # lists of lines grow with the corpus, so this is a merge join at any size
+    joined = known.where("_likely").join(per.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_line_id")), "left")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
     touched = counted(joined, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept), F.coalesce(F.size("_gone"), F.lit(0)))
     return counted(known.where("NOT _likely"), F.col(text_col), F.lit(0)).unionByName(touched)

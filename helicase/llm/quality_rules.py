@@ -113,7 +113,8 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
     terms = F.zip_with(p, q, lambda x, y: half(x, y) + half(y, x))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
 
 
 def references(features: DataFrame, common: dict[str, list[str]]) -> DataFrame:
