@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import block_queries, hit_queries, model_queries
+from .plans import block_queries, fold_queries, hit_queries, model_queries
 
-MODULES = [block_queries, hit_queries, model_queries]
+MODULES = [block_queries, hit_queries, model_queries, fold_queries]
 
 
 def queries() -> dict:
