@@ -208,17 +208,28 @@ def count_uniques(rows: DataFrame, read, *, name: str) -> DataFrame:
     return stage(counted.repartition(parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_gather, COUNTED), name=name)
 
 
+def parities(grams: np.ndarray) -> list[int]:
+    """256 bits: whether the set has an odd number of n-grams in each of 256 hash classes.
+
+    Two sets differ in at least as many n-grams as these bits differ.
+    """
+    at = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    odd = np.bincount(at.astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8").tolist()
+
+
 def _keep_sets(size: int):
-    """(digest, n, grams) of the documents whose digest is the wanted one."""
+    """(digest, n, grams, mark) of the documents whose digest is the wanted one."""
     def run(batches):
         for b in batches:
             rows = []
             for raw, wanted in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
                 grams = shingles((raw or b"").lower().split(), size)
                 if _digest(grams) == wanted:
-                    rows.append((wanted, len(grams), grams.astype("<u8").tobytes()))
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.binary()))], ["digest", "n", "grams"])
+                    rows.append((wanted, len(grams), grams.astype("<u8").tobytes(), parities(grams)))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["digest", "n", "grams", "mark"])
 
     return run
 
@@ -295,14 +306,15 @@ def open_pairs(groups: DataFrame, verified: DataFrame, labels: DataFrame, percen
     with one home, both differ from it; n-grams that a set has alone are in its
     difference only, and of the others no more than the smaller number can
     agree.  Groups are compared by their classes of such numbers first, so
-    members of which no class can link are never paired.
+    members of which no class can link are never paired.  Of the rest, those
+    are paired whose parities leave room for a link.
     """
     gap = F.col("n_x") + F.col("n_y") - 2 * F.col("both")
     home = verified.groupBy(F.col("x").alias("digest")).agg(F.min(F.struct(gap.alias("gap"), F.col("y").alias("hub"))).alias("home"))
-    known = groups.select("digest", "n", "uniques").distinct().join(home, "digest", "left").join(
+    known = groups.select("digest", "n", "uniques", "mark").distinct().join(home, "digest", "left").join(
         labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
     known = known.select(
-        "digest", "n", "uniques", F.coalesce("label", "digest").alias("label"), F.coalesce("home.hub", "digest").alias("hub"),
+        "digest", "n", "uniques", "mark", F.coalesce("label", "digest").alias("label"), F.coalesce("home.hub", "digest").alias("hub"),
         (F.coalesce("home.gap", F.lit(0)) - F.when(F.col("home").isNull(), 0).otherwise(F.col("uniques"))).alias("rest"))
     hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     known = salted_join(known, hub_label, "hub", ["digest"]).withColumn("joined", F.coalesce("hub_label", "hub") == F.col("label")).drop("hub_label")
@@ -322,8 +334,9 @@ def open_pairs(groups: DataFrame, verified: DataFrame, labels: DataFrame, percen
     fit = side(classes, "x").join(side(classes, "y"), "gram").where(able)
     active = fit.select("gram", *[F.col(f"{c}_x").alias(c) for c in kinds]).distinct()
     live = stage(members.join(active, ["gram", *kinds], "left_semi"), name="live")
+    marked = sum((F.bit_count(F.col("mark_x")[i].bitwiseXOR(F.col("mark_y")[i])) for i in range(4)), F.lit(0))
     pairs = side(live, "x").join(side(live, "y"), "gram").where(
-        able & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y"))
+        able & may_link(percent, F.col("n_x"), F.col("n_y"), marked) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y"))
         & (F.col("hub_x") != F.col("digest_y")) & (F.col("hub_y") != F.col("digest_x")))
     return pairs.select(F.col("digest_x").alias("x"), F.col("digest_y").alias("y")).distinct()
 
@@ -363,12 +376,12 @@ def jaccard_components(
     stand = stand.select("digest", F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("none"))
     placed = rows.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), "text")
     sets = stage(placed.join(stand, ["id", "none"]).select("text", "digest").mapInArrow(
-        _keep_sets(size), "digest binary, n int, grams binary").dropDuplicates(["digest"]), name="sets")
+        _keep_sets(size), "digest binary, n int, grams binary, mark array<long>").dropDuplicates(["digest"]), name="sets")
     again = count_uniques(sets.select(F.lit(None).cast("long").alias("doc_id"), "digest", "grams"), _from_sets, name="recounted")
     near = again.where(100 * (F.col("n") - F.col("uniques")) >= percent * F.col("n")).select("digest", "uniques")
     near_sets = prefixed(sets.join(near, "digest"), percent)
 
-    groups = stage(near_sets.select("digest", "n", "uniques", F.explode("prefix_1").alias("gram")), name="groups")
+    groups = stage(near_sets.select("digest", "n", "uniques", "mark", F.explode("prefix_1").alias("gram")), name="groups")
     linked = 100 * F.col("both") >= percent * (F.col("n_x") + F.col("n_y") - F.col("both"))
     first = verify(star_pairs(groups, percent), near_sets)
     links = first.where(linked).select("x", "y")

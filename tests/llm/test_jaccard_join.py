@@ -70,3 +70,17 @@ def test_empty_and_first(spark, empty):
     left = first_of_each(docs, jaccard_components(docs))
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "None"]
+
+
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    from helicase.llm.jaccard_join import parities
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+        x, y = (np.sort(rng.choice(pool, rng.integers(0, 300), replace=False)) for _ in range(2))
+        bits = sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(parities(x), parities(y)))
+        assert bits <= len(np.setxor1d(x, y))
+    assert parities(np.array([], np.uint64)) == [0, 0, 0, 0]
