@@ -91,3 +91,16 @@ def test_pages(spark):
     assert extract_main_text(df.where("false")).count() == 0
     long = "<article>" + "<p>word, " * 20000 + "</article>"
     assert main_text(long).count("\n\n") == 19999
+
+
+@pytest.mark.parametrize("attribute", ['style="overflow: hidden"', 'title="the hidden city"', "title='x role=menu class=nav'", 'data-x="a" title=" hidden "', "href=/x/hidden"])
+@pytest.mark.parametrize("tag", ["article", "div", "p"])
+def test_values_are_no_attribute_names(tag, attribute):
+    inner = f"<{tag} {attribute}>First, one.</{tag}>"
+    assert main_text(f"<body>{inner}</body>") == "First, one."
+    assert main_text(f"<article><h1>Head</h1>{inner}</article>") == "Head\n\nFirst, one."
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN", 'title="a" hidden', 'hidden=""', "aria-hidden='true'", 'style="x" class="nav"', "data-a=1 role=menu"])
+def test_attributes_that_rule_out(attribute):
+    assert main_text(f"<article>yes<div {attribute}>no</div></article>") == "yes"
