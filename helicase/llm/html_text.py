@@ -26,6 +26,13 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ROOT_TAGS = frozenset(["article", "main"])
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Short parts that belong together: a run of them is weighed as one.
+RUN_TAGS = frozenset("li dt dd td th".split())
+#: In a marked root the mean score counts as this at most, so that long paragraphs don't rule out short ones.
+ROOT_MEAN = 40.0
+#: Share of links from which a path of a marked page is nothing else.
+MOST_LINKED = 0.8
 #: Elements whose start ends an open paragraph are the block elements; these also end their like.
 CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE_OF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -169,6 +176,15 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
+def _free(path: tuple[str, ...], linked: float, marked: bool) -> float:
+    """How far a tag path is free of links; in a marked root a few words besides them don't count, and a table is free unless all of it links."""
+    if not marked:
+        return 1 - linked
+    if path and path[-1] in ("td", "th"):
+        return float(linked < 1)
+    return max(0.0, 1 - linked / MOST_LINKED)
+
+
 def main_text(page: str | None, *, threshold: float = 0.15) -> str:
     """The main text of one page: its content blocks in order, joined by an empty line."""
     if not page:
@@ -182,17 +198,20 @@ def main_text(page: str | None, *, threshold: float = 0.15) -> str:
     if not open_:
         return ""
 
-    # text length, punctuation and link length per tag path
+    # text length, punctuation and link length per tag path; parts of a list or table count as one run
     per: dict[tuple[str, ...], list[float]] = {}
+    last = None
     for b, t in open_:
         s = per.setdefault(b.path, [0, 0, 0, 0])
-        s[0] += 1
+        s[0] += not (b.path == last and b.path[-1] in RUN_TAGS)
         s[1] += len(t)
         s[2] += len(MARKS.findall(t))
-        s[3] += min(b.links, len(t))
+        s[3] += 0 if b.path and b.path[-1] in HEADING_TAGS else min(b.links, len(t))  # a title often links to its page
+        last = b.path
     lengths = _smooth([per[b.path][1] / per[b.path][0] for b, _ in open_])
     marks = _smooth([per[b.path][2] / per[b.path][0] for b, _ in open_])
-    text_only = [1 - per[b.path][3] / per[b.path][1] for b, _ in open_]
+    marked = any(t in ROOT_TAGS for b, _ in open_ for t in b.path)
+    text_only = [_free(b.path, per[b.path][3] / per[b.path][1], marked) for b, _ in open_]
     fused = [math.sqrt(n * (1 + m)) * free for n, m, free in zip(lengths, marks, text_only)]
 
     # the content root: a main element if there is one, else the deepest
@@ -202,19 +221,20 @@ def main_text(page: str | None, *, threshold: float = 0.15) -> str:
         for i in range(len(b.path) + 1):
             score[b.path[:i]] = score.get(b.path[:i], 0.0) + f * len(t) ** 0.5
     roots = [p for p in score if p and p[-1] in ROOT_TAGS and not any(x in ROOT_TAGS for x in p[:-1])]
+    mean = sum(fused) / len(fused)
     if roots:
-        marked = True
         best = max(score[p] for p in roots)
         inside = [p for p in roots if score[p] >= best * threshold]
+        # a marked root lowers the threshold: only what is next to nothing but links falls under it
+        limit = threshold / 3 * min(mean, ROOT_MEAN)
     else:
-        marked = False
         containers = [p for p in score if not p or p[-1] in ("body", "div", "section", "td", "html", "main")]
         total = score[()]
         inside = [max((p for p in containers if score[p] >= 0.6 * total), key=len, default=())]
+        limit = threshold * mean
     kept = []
-    limit = threshold * (sum(fused) / len(fused))
     for (b, t), f in zip(open_, fused):
-        if any(b.path[:len(p)] == p for p in inside) and (marked or f >= limit):
+        if f >= limit and any(b.path[:len(p)] == p for p in inside):
             kept.append(t)
     return "\n\n".join(kept)
 

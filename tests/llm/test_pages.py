@@ -104,3 +104,22 @@ def test_values_are_no_attribute_names(tag, attribute):
 @pytest.mark.parametrize("attribute", ["hidden", "HIDDEN", 'title="a" hidden', 'hidden=""', "aria-hidden='true'", 'style="x" class="nav"', "data-a=1 role=menu"])
 def test_attributes_that_rule_out(attribute):
     assert main_text(f"<article>yes<div {attribute}>no</div></article>") == "yes"
+
+
+PROSE = "A sentence of the article, with some words in it; and then another, a bit longer than the first."
+
+
+@pytest.mark.parametrize("root", ["article", "main"])
+def test_paths_select_within_a_marked_root(root):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Story number {i}, here</a></li>" for i in range(5)) + "</ul>"
+    advert = "<div><a href=/buy>Cheap pens, today only!</a></div><section><p><a href=/x><b>Win</b> a prize today.</a> Go</p></section>"
+    page = f"<{root}><h1><a href=/self>Head</a></h1><p>{PROSE}</p>{links}<p>{PROSE} <a href=/y>Linked</a></p>{advert}<p>{PROSE}</p></{root}>"
+    assert main_text(page) == "\n\n".join(["Head", PROSE, PROSE + " Linked", PROSE])
+
+
+def test_short_text_within_a_marked_root_stays():
+    long = PROSE * 40
+    parts = ["Red", "Green", "Blue"]
+    page = f"<article><p>{long}</p><ul>{''.join(f'<li>{x}</li>' for x in parts)}</ul><h2>Sum</h2><p>Ja.</p><p>{long}</p><table><tr><td>1<td>2<td><a href=/x>three</a></table></article>"
+    assert main_text(page) == "\n\n".join([long, *parts, "Sum", "Ja.", long, "1", "2", "three"])
+    assert main_text("<article><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></article>") == "One\n\nTwo"
