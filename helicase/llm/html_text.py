@@ -3,9 +3,10 @@
 Every block of text hangs on a root-to-leaf tag path.  For each path of a page,
 text length and punctuation per block are aggregated; both ratios are smoothed
 along the page, fused, and thresholded, which tells content paths from
-menus and notices.  The content root is the container that holds most of what
-the fused score finds; tag names and class tokens that name page furniture
-rule a path out.
+menus and notices.  Content roots are the article and main elements; without
+any, the container that holds most of what the fused score finds and those of
+all other paths with a score like it.  Tag names and class tokens that name
+page furniture rule a path out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ RUN_TAGS = frozenset("li dt dd td th".split())
 ROOT_MEAN = 40.0
 #: Share of links from which a path of a marked page is nothing else.
 MOST_LINKED = 0.8
+CONTAINERS = frozenset("html body div section td".split())
 #: Elements whose start ends an open paragraph are the block elements; these also end their like.
 CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE_OF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -214,27 +216,30 @@ def main_text(page: str | None, *, threshold: float = 0.15) -> str:
     text_only = [_free(b.path, per[b.path][3] / per[b.path][1], marked) for b, _ in open_]
     fused = [math.sqrt(n * (1 + m)) * free for n, m, free in zip(lengths, marks, text_only)]
 
-    # the content root: a main element if there is one, else the deepest
-    # container with most of the fused score
+    # the content roots: main elements if there are any, else the deepest
+    # container with most of the fused score and those of all paths that
+    # score well for themselves, wherever they are
     score: dict[tuple[str, ...], float] = {}
     for (b, t), f in zip(open_, fused):
         for i in range(len(b.path) + 1):
             score[b.path[:i]] = score.get(b.path[:i], 0.0) + f * len(t) ** 0.5
-    roots = [p for p in score if p and p[-1] in ROOT_TAGS and not any(x in ROOT_TAGS for x in p[:-1])]
+    inside = {p for p in score if p and p[-1] in ROOT_TAGS}
     mean = sum(fused) / len(fused)
-    if roots:
-        best = max(score[p] for p in roots)
-        inside = [p for p in roots if score[p] >= best * threshold]
+    if marked:
         # a marked root lowers the threshold: only what is next to nothing but links falls under it
         limit = threshold / 3 * min(mean, ROOT_MEAN)
     else:
-        containers = [p for p in score if not p or p[-1] in ("body", "div", "section", "td", "html", "main")]
+        containers = [p for p in score if not p or p[-1] in CONTAINERS]
         total = score[()]
-        inside = [max((p for p in containers if score[p] >= 0.6 * total), key=len, default=())]
+        inside.add(max((p for p in containers if score[p] >= 0.6 * total), key=len, default=()))
+        # by characters, as menus have many blocks; by each path's own length and marks, as neighbours lend theirs
+        own = {p: math.sqrt(chars / n * (1 + m / n)) * _free(p, links / chars, marked) for p, (n, chars, m, links) in per.items()}
+        usual = sum(own[b.path] * len(t) for b, t in open_) / sum(len(t) for _, t in open_)
+        inside |= {p[:-1] if p and p[-1] not in CONTAINERS else p for p in own if own[p] >= usual / 2}
         limit = threshold * mean
     kept = []
     for (b, t), f in zip(open_, fused):
-        if f >= limit and any(b.path[:len(p)] == p for p in inside):
+        if f >= limit and any(b.path[:i] in inside for i in range(len(b.path) + 1)):
             kept.append(t)
     return "\n\n".join(kept)
 

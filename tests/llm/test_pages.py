@@ -123,3 +123,21 @@ def test_short_text_within_a_marked_root_stays():
     page = f"<article><p>{long}</p><ul>{''.join(f'<li>{x}</li>' for x in parts)}</ul><h2>Sum</h2><p>Ja.</p><p>{long}</p><table><tr><td>1<td>2<td><a href=/x>three</a></table></article>"
     assert main_text(page) == "\n\n".join([long, *parts, "Sum", "Ja.", long, "1", "2", "three"])
     assert main_text("<article><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></article>") == "One\n\nTwo"
+
+
+def test_article_split_over_containers():
+    first = "".join(f"<p>{PROSE}</p>" for _ in range(7))
+    menu = "<div><ul><li><a href=/a>Home</a><li><a href=/b>About us</a></ul></div>"
+    page = f"<body>{menu}<div><section><h2>One</h2>{first}</section></div><div><h2>Two</h2><p>{PROSE}</p><p>Short, yes.</p><p>{PROSE}</p></div><span>&copy; 2020 us</span></body>"
+    assert main_text(page) == "\n\n".join(["One", *[PROSE] * 7, "Two", PROSE, "Short, yes.", PROSE])
+
+
+@pytest.mark.parametrize("wrap", ["<table><tr><td>{}</table>", "<section><blockquote><p>{}</p></blockquote></section>", "<center>{}</center>"])
+def test_content_at_another_path(wrap):
+    page = "<body><div><div>" + f"<p>{PROSE}</p>" * 12 + "</div></div>" + wrap.format(PROSE) + "</body>"
+    assert main_text(page) == "\n\n".join([PROSE] * 13)
+
+
+def test_short_second_article():
+    page = "<body><div><article>" + f"<p>{PROSE}</p>" * 30 + f"</article></div><article><p>Short, yes.</p></article><div>Not in either, as it is.</div></body>"
+    assert main_text(page) == "\n\n".join([PROSE] * 30 + ["Short, yes."])
