@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; so do documents of which nothing is left."""
-    left = without_lines(docs, line_dedup(docs))
+    """Lines that repeat an earlier one go, however short; so do documents of which nothing is left."""
+    left = without_lines(docs, line_dedup(docs, min_words=1))
     emptied = (F.col("_n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     counted = {"n_chars": F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return left.where(~emptied).select(*[counted[c].alias(c) if c in counted else F.col(c) for c in docs.columns])

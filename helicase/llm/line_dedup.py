@@ -31,7 +31,7 @@ from .words import finish, word_hashes
 
 #: Lines with fewer words are only compared for equality: one edit would be over a fifth of them.
 MIN_WORDS_NEAR = 5
-#: Lines with fewer words are left alone altogether.
+#: Lines with fewer words are left alone altogether, unless ``min_words`` says otherwise: op8 and the pipeline take every line with a word.
 MIN_WORDS = 3
 
 LINES = "doc_id long, line_no int, line binary, halves array<long>"

@@ -65,7 +65,7 @@ def op8_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup, without_lines
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    left = without_lines(docs, line_dedup(docs))
+    left = without_lines(docs, line_dedup(docs, min_words=1))
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 

@@ -75,3 +75,33 @@ def test_without_lines(spark, documents, empty):
     assert line_dedup(empty).count() == 0 and without_lines(empty, line_dedup(empty)).count() == 0
     whole = spark.createDataFrame(rows_of([(1, near(prose(9), 1, 0))]), SCHEMA)
     assert line_dedup(whole).count() == 0
+
+
+SHORT = [
+    (1, "Les.\nAnd ornd.\n\none two three"), (2, "Les.\n and  ornd.\nAnd ornd.\n\none two"), (3, " \t\nLes."), (4, "one two three\none two four\nLes"),
+    (5, "a b c d\na b c e\na b c d\na b c d e"), (None, "Les.\nAnd\tornd. "),
+]
+
+
+def brute_short(rows):
+    """Lines with any word that repeat an earlier one, word for word or, from five words, but for one."""
+    lines = [
+        ((i is None, i or 0, no), i, no, line.split()) for i, text, *_ in rows for no, line in enumerate((text or "").encode().split(b"\n")) if line.split()]
+    same = lambda a, b: a == b or min(len(a), len(b)) >= 5 and _within_one_edit(b" ".join(a), b" ".join(b))
+    return {(i, no) for at, i, no, words in lines if any(other[0] < at and same(words, other[3]) for other in lines)}
+
+
+def test_short_lines_in_op8_and_the_pipeline(spark, tmp_path):
+    from corpus_pipeline import lines as stage_of_lines
+    from helicase.llm.queries import op8_dedup_lines
+
+    rows = rows_of(SHORT)
+    rows = [(i, *r[1:]) for (i, _), r in zip(SHORT, rows)] + [r for r in awkward() if (r[0] or 0) > 5]
+    gone = brute_short(rows)
+    assert {(2, 0), (2, 2), (3, 1), (4, 0), (5, 2), (None, 0), (None, 1), (9, 0)} <= gone and not gone & {(2, 1), (4, 1), (4, 2), (5, 1), (5, 3)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(("\n".join(x for no, x in enumerate((t or "").split("\n")) if (i, no) not in gone) for i, t, *_ in rows))
+    assert sorted(r.text or "" for r in op8_dedup_lines(spark, str(tmp_path)).collect()) == want
+    left = sorted(r.text or "" for r in stage_of_lines(spark, df, str(tmp_path)).collect())
+    assert [x for x in left if x.split()] == [x for x in want if x.split()]
