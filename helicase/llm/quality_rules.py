@@ -3,11 +3,14 @@
 A document's histogram of character classes and of its language's common words
 is compared with the reference of that language by Jensen-Shannon distance.
 References are averages over the whole corpus.  A document too short for a
-histogram to mean anything is not judged by it.
+histogram to mean anything is not judged by it; one of fewer words than a
+histogram of common words needs is judged by both together, with an allowance
+for what chance adds.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import numpy as np
@@ -150,7 +153,10 @@ def quality_rules(
     Returns one row per document: ``id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, class_distance,
     common_distance, kept``.  A distance is null, and judges nothing, below
-    its minimum length or without a reference.
+    its minimum length or without a reference.  From ``min_words`` up to
+    ``min_words_for_common`` words, common words judge only together with a
+    class distance over half its limit, and their limit is raised by the mean
+    divergence of a sample of so many words.
 
     Defined cases: a null text has no words and fails; a null or unknown
     language has no reference; ties don't arise; repeated rows are judged
@@ -168,15 +174,20 @@ def quality_rules(
     features = stage(rows.mapInArrow(_features(common), FEATURES), name="features").withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
+    # n words over k + 1 bins diverge from their own source by k / (8 n ln 2) on average
+    chance = (F.size("ref_common") - 1) / (8 * math.log(2)) * F.greatest(1 / F.col("n_words") - 1 / min_words_for_common, F.lit(0.0))
+    enough = (F.col("n_words") >= min_words_for_common) | (F.col("class_distance") > max_class_distance / 2)
+    strange = enough & (F.col("common_distance") > F.sqrt(max_common_distance ** 2 + chance))
+
     def measured(refs: DataFrame) -> DataFrame:
         # at most one row per language of ``common``
         joined = features.join(F.broadcast(refs), F.col("lang") == F.col("ref_lang"), "left")
         return joined.withColumn(
             "class_distance", F.when(F.col("n_chars") >= min_chars_for_classes, js_distance(F.col("chars"), F.col("ref_chars")))
         ).withColumn(
-            "common_distance", F.when(F.col("n_words") >= min_words_for_common, js_distance(F.col("common"), F.col("ref_common")))
+            "common_distance", F.when(F.col("n_words") >= min(min_words, min_words_for_common), js_distance(F.col("common"), F.col("ref_common")))
         ).withColumn(
-            "near", (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("common_distance", F.lit(0.0)) <= max_common_distance))
+            "near", (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & ~F.coalesce(strange, F.lit(False)))
 
     sound = features.where("NOT base_failed")
     first = stage(references(sound, common), name="references")

@@ -74,3 +74,13 @@ def test_kth_largest(spark):
     for k in (1, 2, 10, 499, 1000):
         assert kth_largest(df, "v", k, parts=4, few=3) == order[k - 1]
     assert kth_largest(df, "v", 0) is None
+
+
+def test_junk_just_over_the_base_rule(spark):
+    good = [(1000 + i, prose(i, 150)) for i in range(400)] + [(100 + n, prose(500 + n, n)) for n in range(50, 100)]
+    menus = [(200 + n, " | ".join(f"river{'abcdefghij'[k % 10]}{'stone'[:k // 10]}" for k in range(n // 2))) for n in range(54, 100, 6)]
+    signs = [(300 + n, " ".join(f"{w}%%%" for w in prose(n, n).split())) for n in range(50, 100, 6)]
+    judged = quality_rules(spark.createDataFrame(rows_of(good + menus + signs), SCHEMA)).collect()
+    assert not [r for r in judged if r.base_failed]
+    assert {r.doc_id for r in judged if r.kept} == {i for i, _ in good}
+    assert any(r.class_distance <= 0.25 for r in judged if 200 <= r.doc_id < 300)
