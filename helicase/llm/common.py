@@ -42,6 +42,50 @@ def stage(df: DataFrame, *, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, and bytes of the slices of it that a kernel sees.
+BATCH_ROWS = 1000
+BATCH_BYTES = 4_000_000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(df: DataFrame, kernel, schema: str) -> DataFrame:
+    """``df.mapInArrow(kernel, schema)`` with batches of bounded rows, dealt to the kernel in slices of bounded bytes.
+
+    A row larger than that comes alone.  The session's own limit of rows stays
+    if it is lower.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+    def sliced(batches):
+        for b in batches:
+            rows = max(1, b.num_rows * BATCH_BYTES // max(BATCH_BYTES, b.nbytes))
+            for lo in range(0, b.num_rows, rows):
+                yield b.slice(lo, rows)
+
+    return df.mapInArrow(lambda batches: kernel(sliced(batches)), schema)
+
+
+def row_key(*columns: Column) -> Column:
+    """A 64-bit hash of values, nulls told apart, that tells rows with one id (or none) from each other."""
+    return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` without the rows whose id and ``key`` are in ``gone`` (columns ``_id, _key``).
+
+    Rows that a filter of bounded size clears pass straight through; only the
+    others are shuffled, texts and all.
+    """
+    spot = F.xxhash64(F.col(id_col).cast("long"), key)
+    known = likely_in(docs, spot, gone, F.xxhash64("_id", "_key"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    # what goes grows with the corpus, so this is a merge join at any size
+    checked = known.where("_likely").join(gone.select("_id", "_key").distinct().hint("merge"), same, "left_anti")
+    return known.where("NOT _likely").unionByName(checked).select(*docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

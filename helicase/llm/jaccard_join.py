@@ -15,7 +15,8 @@ first few (the prefix filter).  The steps:
 4.  Candidates are verified on their whole sets.  In each prefix group all
     members meet the group's most typical member first.  What is then in
     different components is compared only where the differences already known
-    leave room for a link, so copies of one text are not expanded into pairs.
+    leave room for a link; large groups are split by those differences first,
+    so copies of one text are not expanded into pairs.
 5.  Connected components of the verified links.
 """
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, salted_join, shuffle_partitions, stage
+from .common import components, in_batches, row_key, salted_join, shuffle_partitions, stage, without_rows
 from .words import shingles
 
 #: Seeds of the global orders.
@@ -37,12 +38,18 @@ ORDERS = (1, 2, 3)
 #: A batch of documents ends at so many of them, or so many n-grams.
 BATCH_DOCS = 20_000
 BATCH_GRAMS = 1_500_000
+#: Members of a prefix group that are compared pair by pair; a larger group is split first.
+PAIRED = 48
+#: The same for groups that have been split, whose members bounds tell apart better.
+PAIRED_SPLIT = 512
+#: How often groups are split; what is large even then is compared pair by pair.
+SPLITS = 12
 #: Blocks for each shuffle partition.
 BLOCKS_EACH = 4
 MANY = 65_535
 
 ROWS = "block int, batch long, kind int, payload binary"
-COUNTED = "doc_id long, digest binary, n int, uniques int"
+COUNTED = "doc_id long, text_key long, digest binary, n int, uniques int"
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -50,21 +57,22 @@ def _digest(grams: np.ndarray) -> bytes:
 
 
 def _from_text(size: int):
-    """(id, digest, n-grams) of documents given as (id, text)."""
+    """(id, key, digest, n-grams) of documents given as (id, key, text)."""
     def read(batches):
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            for i, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 grams = shingles((raw or b"").lower().split(), size)
-                yield i, _digest(grams), grams
+                yield i, key, _digest(grams), grams
 
     return read
 
 
 def _from_sets(batches):
-    """The same of stored sets (id, digest, n-grams as bytes)."""
+    """The same of stored sets (id, key, digest, n-grams)."""
     for b in batches:
-        for i, digest, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
-            yield i, digest, np.frombuffer(raw, "<u8")
+        values, ends = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+        for k, (i, text_key, digest) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
+            yield i, text_key, digest, values[ends[k]:ends[k + 1]].view(np.uint64)
 
 
 def _to_blocks(read, blocks: int):
@@ -95,15 +103,16 @@ def _to_blocks(read, blocks: int):
                 keys = np.ascontiguousarray(low[lo:hi].astype("<u4"))
                 planes = keys.view(np.uint8).reshape(-1, 4).T.tobytes()  # equal bytes side by side compress
                 rows.append((int(block[lo]), batch, 0, planes + owner[lo:hi].astype("<u2").tobytes()))
-            ids = np.array([0 if i is None else i for i, _ in docs], "<i8").tobytes()
-            none = bytes(i is None for i, _ in docs)
-            rows.append((batch % blocks, batch, 1, ids + none + counts.astype("<u4").tobytes() + b"".join(d for _, d in docs)))
+            ids = np.array([0 if i is None else i for i, _, _ in docs], "<i8").tobytes()
+            keys = np.array([k for _, k, _ in docs], "<i8").tobytes()
+            none = bytes(i is None for i, _, _ in docs)
+            rows.append((batch % blocks, batch, 1, ids + keys + none + counts.astype("<u4").tobytes() + b"".join(d for _, _, d in docs)))
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["block", "batch", "kind", "payload"])
 
-        for i, digest, grams in read(batches):
-            docs.append((i, digest))
+        for i, key, digest, grams in read(batches):
+            docs.append((i, key, digest))
             held.append(grams)
             size += len(grams)
             if size >= BATCH_GRAMS or len(docs) >= BATCH_DOCS:
@@ -170,14 +179,15 @@ def _gather(batches):
     batch, docs, uniques = None, None, None
 
     def done():
-        n = len(docs) // 29
+        n = len(docs) // 37
         ids = np.frombuffer(docs, "<i8", n)
-        none = np.frombuffer(docs, "u1", n, 8 * n).astype(bool)
-        counts = np.frombuffer(docs, "<u4", n, 9 * n).astype(np.int32)
-        digests = [docs[13 * n + 16 * i:13 * n + 16 * i + 16] for i in range(n)]
+        keys = np.frombuffer(docs, "<i8", n, 8 * n)
+        none = np.frombuffer(docs, "u1", n, 16 * n).astype(bool)
+        counts = np.frombuffer(docs, "<u4", n, 17 * n).astype(np.int32)
+        digests = [docs[21 * n + 16 * i:21 * n + 16 * i + 16] for i in range(n)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=none), pa.array(digests, pa.binary()), pa.array(counts), pa.array(uniques[:n].astype(np.int32))],
-            ["doc_id", "digest", "n", "uniques"])
+            [pa.array(ids, pa.int64(), mask=none), pa.array(keys), pa.array(digests, pa.binary()), pa.array(counts), pa.array(uniques[:n].astype(np.int32))],
+            ["doc_id", "text_key", "digest", "n", "uniques"])
 
     for b in batches:
         for k, kind, payload in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
@@ -203,9 +213,9 @@ def count_uniques(rows: DataFrame, read, *, name: str) -> DataFrame:
     """
     parts = shuffle_partitions(rows.sparkSession)
     blocks = parts * BLOCKS_EACH
-    sent = rows.mapInArrow(_to_blocks(read, blocks), ROWS)
-    counted = sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_count_in_blocks, ROWS)
-    return stage(counted.repartition(parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_gather, COUNTED), name=name)
+    sent = in_batches(rows, _to_blocks(read, blocks), ROWS)
+    counted = in_batches(sent.repartition(parts, "block").sortWithinPartitions("block"), _count_in_blocks, ROWS)
+    return stage(in_batches(counted.repartition(parts, "batch").sortWithinPartitions("batch", "kind"), _gather, COUNTED), name=name)
 
 
 def parities(grams: np.ndarray) -> list[int]:
@@ -226,54 +236,42 @@ def _keep_sets(size: int):
             for raw, wanted in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
                 grams = shingles((raw or b"").lower().split(), size)
                 if _digest(grams) == wanted:
-                    rows.append((wanted, len(grams), grams.astype("<u8").tobytes(), parities(grams)))
+                    rows.append((wanted, len(grams), grams.view(np.int64), parities(grams)))
             cols = list(zip(*rows)) if rows else [[]] * 4
-            kinds = pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+            kinds = pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["digest", "n", "grams", "mark"])
 
     return run
 
 
-def _explode_grams(batches):
-    for b in batches:
-        for lo in range(0, b.num_rows, 100):
-            some = b.slice(lo, 100)
-            grams = [np.frombuffer(g, "<i8") for g in some.column(3).to_pylist()]
-            back = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
-            yield pa.RecordBatch.from_arrays(
-                [*(some.column(i).take(back) for i in range(3)), pa.array(np.concatenate(grams) if grams else [], pa.int64())],
-                ["digest", "n", "uniques", "gram"])
-
-
-def _intersect(batches):
-    for b in batches:
-        both = [
-            len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(both, pa.int32())], ["x", "y", "n_x", "n_y", "both"])
-
-
 def may_link(percent: int, n_x: Column, n_y: Column, apart: Column) -> Column:
     """Whether sets of these sizes that differ in at least ``apart`` n-grams can reach the threshold."""
     sizes = (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
     return sizes & ((100 + percent) * apart <= (100 - percent) * (n_x + n_y))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (x, y) that share a prefix n-gram under the further orders, with sizes and common n-grams."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (x, y, wide) with sizes and whether they link; wide ones also with the n-grams ``d`` that one of the two has alone.
+
+    Whole sets meet only where the prefixes of the further orders share an
+    n-gram too, or the pair is wide.
+    """
     side = sets.select("digest", "n", "grams", "prefix_2", "prefix_3")
-    x = side.select(F.col("digest").alias("x"), F.col("n").alias("n_x"), F.col("grams").alias("g_x"), F.col("prefix_2").alias("x2"), F.col("prefix_3").alias("x3"))
-    y = side.select(F.col("digest").alias("y"), F.col("n").alias("n_y"), F.col("grams").alias("g_y"), F.col("prefix_2").alias("y2"), F.col("prefix_3").alias("y3"))
-    known = salted_join(salted_join(pairs, x, "x", ["y"], how="inner"), y, "y", ["x"], how="inner")
-    agreed = known.where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3"))
-    return stage(agreed.select("x", "y", "n_x", "n_y", "g_x", "g_y").mapInArrow(
-        _intersect, "x binary, y binary, n_x int, n_y int, both int"), name="verified")
+
+    def of(s: str) -> DataFrame:
+        return side.select(F.col("digest").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in side.columns[1:]])
+
+    known = salted_join(salted_join(pairs, of("x"), "x", ["y"], how="inner"), of("y"), "y", ["x"], how="inner")
+    agreed = F.arrays_overlap("prefix_2_x", "prefix_2_y") & F.arrays_overlap("prefix_3_x", "prefix_3_y")
+    both = F.when(F.col("agreed"), F.size(F.array_intersect("grams_x", "grams_y"))).otherwise(0)
+    apart = F.concat(F.array_except("grams_x", "grams_y"), F.array_except("grams_y", "grams_x"))
+    return known.withColumn("agreed", agreed).where("agreed OR wide").select(
+        "x", "y", "n_x", "n_y", (100 * both >= percent * (F.col("n_x") + F.col("n_y") - both)).alias("linked"), F.when(F.col("wide"), apart).alias("d"))
 
 
 def prefixed(sets: DataFrame, percent: int) -> DataFrame:
     """``sets`` with the n-grams of its prefix under each order that other sets have too."""
-    rows = sets.select("digest", "n", "uniques", "grams").mapInArrow(_explode_grams, "digest binary, n int, uniques int, gram long")
+    rows = sets.select("digest", F.explode("grams").alias("gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
     # n-grams of one set alone come first under every order and match nothing
     shared = salted_join(rows, often, "gram", ["digest"], how="inner")
@@ -291,54 +289,106 @@ def prefixed(sets: DataFrame, percent: int) -> DataFrame:
     return stage(out.drop("tokens").where(F.size("prefix_1") > 0), name="prefixed")
 
 
-def star_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """In each prefix group, pairs of the member with fewest n-grams alone and every other that may link with it."""
-    hub = groups.groupBy("gram").agg(F.min(F.struct("uniques", "n", "digest")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = salted_join(groups, hub.select("gram", "hub"), "gram", ["digest"], how="inner").where(F.col("hub.digest") != F.col("digest"))
-    met = met.where(may_link(percent, F.col("n"), F.col("hub.n"), F.col("uniques") + F.col("hub.uniques")))
-    return met.select(F.col("digest").alias("x"), F.col("hub.digest").alias("y")).distinct()
+def star_pairs(groups: DataFrame, first: str, *, wide: Column, percent: int) -> DataFrame:
+    """In each group, pairs of its hub, the member with the least ``first``, and every other: (x, y, wide).
+
+    Of groups that aren't wide, only pairs that may link.
+    """
+    hub = groups.groupBy("key").agg(F.min(F.struct(F.col(first).alias("first"), "n", "digest", "uniques")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    met = salted_join(groups, hub, "key", ["digest"], how="inner").where("hub.digest <> digest").withColumn("wide", wide)
+    met = met.where(F.col("wide") | may_link(percent, F.col("n"), F.col("hub.n"), F.col("uniques") + F.col("hub.uniques")))
+    return met.groupBy(F.col("digest").alias("x"), F.col("hub.digest").alias("y")).agg(F.max("wide").alias("wide"))
 
 
-def open_pairs(groups: DataFrame, verified: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a prefix group in different components that the known differences leave room for.
+def pairs_within(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one group in different components that their sizes, lone n-grams and parities leave room for."""
+    def side(s: str) -> DataFrame:
+        return groups.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "uniques", "mark", "joined", "own", "width", "label")])
 
-    Each set has a home, the verified hub it differs least from.  Of two sets
-    with one home, both differ from it; n-grams that a set has alone are in its
-    difference only, and of the others no more than the smaller number can
-    agree.  Groups are compared by their classes of such numbers first, so
-    members of which no class can link are never paired.  Of the rest, those
-    are paired whose parities leave room for a link.
-    """
-    gap = F.col("n_x") + F.col("n_y") - 2 * F.col("both")
-    home = verified.groupBy(F.col("x").alias("digest")).agg(F.min(F.struct(gap.alias("gap"), F.col("y").alias("hub"))).alias("home"))
-    known = groups.select("digest", "n", "uniques", "mark").distinct().join(home, "digest", "left").join(
-        labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-    known = known.select(
-        "digest", "n", "uniques", "mark", F.coalesce("label", "digest").alias("label"), F.coalesce("home.hub", "digest").alias("hub"),
-        (F.coalesce("home.gap", F.lit(0)) - F.when(F.col("home").isNull(), 0).otherwise(F.col("uniques"))).alias("rest"))
-    hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    known = salted_join(known, hub_label, "hub", ["digest"]).withColumn("joined", F.coalesce("hub_label", "hub") == F.col("label")).drop("hub_label")
-    members = groups.select("gram", "digest").join(known, "digest")
-    split = members.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram", F.lit(True).alias("split"))
-    members = stage(salted_join(members, split, "gram", ["digest"], how="inner").drop("split"), name="members")
-
-    kinds = ["hub", "joined", "n", "uniques", "rest"]
-    classes = members.groupBy("gram", *kinds).agg(F.count("*").alias("held"))
-
-    def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "gram"])
-
-    same_home = F.col("hub_x") == F.col("hub_y")
-    apart = F.col("uniques_x") + F.col("uniques_y") + F.when(same_home, F.abs(F.col("rest_x") - F.col("rest_y"))).otherwise(0)
-    able = may_link(percent, F.col("n_x"), F.col("n_y"), apart) & ~(same_home & F.col("joined_x") & F.col("joined_y"))
-    fit = side(classes, "x").join(side(classes, "y"), "gram").where(able)
-    active = fit.select("gram", *[F.col(f"{c}_x").alias(c) for c in kinds]).distinct()
-    live = stage(members.join(active, ["gram", *kinds], "left_semi"), name="live")
     marked = sum((F.bit_count(F.col("mark_x")[i].bitwiseXOR(F.col("mark_y")[i])) for i in range(4)), F.lit(0))
-    pairs = side(live, "x").join(side(live, "y"), "gram").where(
-        able & may_link(percent, F.col("n_x"), F.col("n_y"), marked) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y"))
-        & (F.col("hub_x") != F.col("digest_y")) & (F.col("hub_y") != F.col("digest_x")))
-    return pairs.select(F.col("digest_x").alias("x"), F.col("digest_y").alias("y")).distinct()
+    # what a set has alone is in its own difference from the hub only; of the rest no more than the smaller number can agree
+    rest = F.abs(F.col("width_x") - F.col("uniques_x") - F.col("width_y") + F.col("uniques_y"))
+    apart = F.greatest(marked, F.col("uniques_x") + F.col("uniques_y") + F.coalesce(rest, F.lit(0)))
+    met = (F.col("own_x") & F.col("own_y")) | F.col("joined_x") | F.col("joined_y")
+    pairs = side("x").join(side("y"), "key").where(
+        (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y")) & met & ~(F.col("joined_x") & F.col("joined_y"))
+        & may_link(percent, F.col("n_x"), F.col("n_y"), apart))
+    return pairs.select(F.col("digest_x").alias("x"), F.col("digest_y").alias("y"), F.lit(False).alias("wide")).distinct()
+
+
+def split_groups(members: DataFrame, percent: int) -> DataFrame:
+    """Groups of the members of a hub by what they differ from it in: (key, digest, width, joined, own).
+
+    ``members`` has ``hub, n_hub, digest, n, joined, d``; ``joined`` tells
+    whether the member links with the hub, ``d`` holds the n-grams that only
+    one of the two has.  Members x and y differ in |d_x| + |d_y| - 2 |d_x & d_y|
+    n-grams, so a link needs a number of common ones that grows with their
+    distance from the hub, and a prefix filter on ``d`` finds them.  What all
+    copies of a text share is in no ``d``.  Two that both link with the hub
+    need no pair; two that don't meet only where both are ``own``, as a
+    longer prefix of one that doesn't is there for those that do.
+    """
+    width = F.size("d")
+    told = members.select("hub", "digest", "n", "n_hub", "joined", width.alias("width"))
+    tokens = members.select("hub", "digest", F.explode("d").alias("gram")).select("hub", "digest", F.xxhash64("hub", "gram").alias("key"))
+    often = tokens.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    shared = salted_join(tokens, often, "key", ["digest"], how="inner")
+    per = shared.groupBy("hub", "digest").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("tokens"))
+    # the least number of common n-grams, with a partner that doesn't link with the hub, or one that does
+    apart = ((100 + percent) * F.col("width") - (100 - percent) * (F.col("n") - F.col("n_hub"))) / (2 * (100 + percent))
+    largest = F.least(F.floor(100 * F.least("n", "n_hub") / percent), F.coalesce("n_joined", F.lit(0)))
+    beside = ((100 + percent) * F.col("width") - (100 - percent) * (F.col("n") + largest)) / (100 + percent)
+
+    def room(common: Column) -> Column:
+        return F.greatest(F.size("tokens") - F.greatest(F.lit(1), F.ceil(common)) + 1, F.lit(0)).cast("int")
+
+    joined = members.where("joined").groupBy("hub").agg(F.max("n").alias("n_joined"))
+    near = salted_join(told, joined, "hub", ["digest"]).join(per, ["hub", "digest"])
+    near = near.withColumn("inner", room(apart)).withColumn("outer", F.when(F.col("joined"), F.col("inner")).otherwise(room(F.least(apart, beside))))
+    rows = near.select(F.posexplode(F.slice("tokens", F.lit(1), F.col("outer"))).alias("at", "t"), "digest", "width", "joined", "inner")
+    return rows.select("t.key", "digest", "width", "joined", (F.col("at") < F.col("inner")).alias("own"))
+
+
+def link_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """Components (node, label) of the links between ``sets`` (as :func:`prefixed` gives them), by candidates that share prefix n-grams.
+
+    First all members of a prefix group meet its hub.  Of groups that still
+    hold several components, small ones are compared pair by pair, where
+    bounds leave room; large ones are split by what their members differ from
+    the hub in, and the same again.  So a group of m copies makes m pairs
+    with each of its hubs, not m squared.
+    """
+    about = sets.select("digest", "n", "uniques", "mark")
+    groups = stage(about.join(sets.select("digest", F.explode("prefix_1").alias("key")), "digest"), name="groups")
+    told = stage(verify(star_pairs(groups, "uniques", wide=F.col("members") > PAIRED, percent=percent), sets, percent), name="verified")
+    labels = stage(components(told.where("linked"), src="x", dst="y"), name="labels")
+    groups = groups.select("*", F.lit(False).alias("joined"), F.lit(True).alias("own"), F.lit(None).cast("int").alias("width"))
+    for split in range(SPLITS + 1):
+        last = split == SPLITS
+        members = groups.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        members = stage(members, name="members")
+        held = members.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        held = held.select("key", (F.lit(not last) & (F.col("members") > (PAIRED_SPLIT if split else PAIRED))).alias("large"))
+        opened = stage(salted_join(members, held, "key", ["digest"], how="inner"), name="open")
+        pairs = pairs_within(opened.where("NOT large"), percent)
+        if split:
+            pairs = pairs.unionByName(star_pairs(opened.where("large"), "width", wide=F.lit(True), percent=percent))
+        more = stage(verify(pairs, sets, percent), name="verified")
+        told = more if split else told.unionByName(more)
+        found = more.where("linked").select("x", "y")
+        if not found.isEmpty():
+            known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
+            labels = stage(components(known.unionByName(found), src="x", dst="y"), name="labels")
+        near = told.where("d IS NOT NULL").select(
+            F.col("y").alias("hub"), F.col("n_y").alias("n_hub"), F.col("x").alias("digest"), F.col("n_x").alias("n"), F.col("linked").alias("joined"), "d")
+        place = near.select("hub", "digest", "joined").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        active = place.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("joined").alias("all_joined")).where(
+            "a <> b AND NOT all_joined").select("hub")
+        if last or active.isEmpty():
+            return labels
+        near = stage(salted_join(near, active, "hub", ["digest"], how="inner"), name="near")
+        groups = stage(split_groups(near, percent).join(about, "digest"), name="groups")
+    return labels
 
 
 def jaccard_components(
@@ -351,7 +401,9 @@ def jaccard_components(
 ) -> DataFrame:
     """Group documents by links of Jaccard similarity ``percent`` / 100 or more.
 
-    Returns one row per document: ``id, n_shingles, component_id``.  A
+    Returns one row per document: ``id, n_shingles, component_id, text_key,
+    leads``; ``leads`` marks the document of each component that
+    :func:`first_of_each` keeps, told from others of its id by ``text_key``.  A
     document's set is its distinct word ``size``-grams, A-Z lower-cased, or
     its whole sequence of words if that is shorter.  ``component_id`` is the
     smallest id that links reach, its own included.
@@ -367,41 +419,46 @@ def jaccard_components(
     n-grams, and once more for those of a document per set that survives
     step 1.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = count_uniques(rows, _from_text(size), name="counted")
-    copied = counted.where((F.col("n") > 0) & (100 * (F.col("n") - F.col("uniques")) >= percent * F.col("n")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    counted = count_uniques(rows, _from_text(size), name="counted").withColumn(
+        "copied", (F.col("n") > 0) & (100 * (F.col("n") - F.col("uniques")) >= percent * F.col("n")))
+    copied = counted.where("copied")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_key")
 
     # one document stands for each distinct set; its n-grams are fetched
-    stand = copied.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    stand = stand.select("digest", F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("none"))
-    placed = rows.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), "text")
-    sets = stage(placed.join(stand, ["id", "none"]).select("text", "digest").mapInArrow(
-        _keep_sets(size), "digest binary, n int, grams binary, mark array<long>").dropDuplicates(["digest"]), name="sets")
-    again = count_uniques(sets.select(F.lit(None).cast("long").alias("doc_id"), "digest", "grams"), _from_sets, name="recounted")
+    stand = copied.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
+    placed = rows.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), "text_key", "text")
+    sets = stage(in_batches(placed.join(stand, ["id", "none", "text_key"]).select("text", "digest"),
+        _keep_sets(size), "digest binary, n int, grams array<long>, mark array<long>").dropDuplicates(["digest"]), name="sets")
+    again = count_uniques(sets.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "digest", "grams"), _from_sets, name="recounted")
     near = again.where(100 * (F.col("n") - F.col("uniques")) >= percent * F.col("n")).select("digest", "uniques")
-    near_sets = prefixed(sets.join(near, "digest"), percent)
-
-    groups = stage(near_sets.select("digest", "n", "uniques", "mark", F.explode("prefix_1").alias("gram")), name="groups")
-    linked = 100 * F.col("both") >= percent * (F.col("n_x") + F.col("n_y") - F.col("both"))
-    first = verify(star_pairs(groups, percent), near_sets)
-    links = first.where(linked).select("x", "y")
-    labels = stage(components(links, src="x", dst="y"), name="labels")
-    more = verify(open_pairs(groups, first, labels, percent), near_sets).where(linked).select("x", "y")
-    if not more.isEmpty():
-        labels = stage(components(links.unionByName(more), src="x", dst="y"), name="labels")
-
-    members = salted_join(copied.select("doc_id", "n", "digest"), labels.withColumnRenamed("node", "digest"), "digest", ["doc_id"])
-    members = stage(members.select("doc_id", "n", F.coalesce("label", "digest").alias("label")), name="labelled")
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    joined = salted_join(members, least, "label", ["doc_id"], how="inner").select("doc_id", "n", "component_id")
-    alone = counted.where(~((F.col("n") > 0) & (100 * (F.col("n") - F.col("uniques")) >= percent * F.col("n")))).select(
-        "doc_id", "n", F.col("doc_id").alias("component_id"))
+    labels = link_sets(prefixed(sets.join(near, "digest"), percent), percent)
+
+    members = salted_join(copied.select("doc_id", "text_key", "n", "digest"), labels.withColumnRenamed("node", "digest"), "digest", ["doc_id", "text_key"])
+    members = stage(members.select("doc_id", "text_key", "n", F.coalesce("label", "digest").alias("label")), name="labelled")
+    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("lead"))
+    joined = salted_join(members, least, "label", ["doc_id", "text_key"], how="inner").select(
+        "doc_id", "n", "component_id", "text_key", (place == F.col("lead")).alias("leads"))
+    alone = counted.where("NOT copied").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key", F.lit(True).alias("leads"))
     return joined.unionByName(alone).select(
-        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "text_key", "leads")
 
 
-def first_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The document with the smallest id of each component, with its columns; rows without an id stay."""
-    lead = grouped.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_lead_id")).distinct()
-    with_id = docs.join(lead, docs[id_col] == lead["_lead_id"], "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()))
+def first_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with its columns: that of the smallest id (null last), of those the least hash of the text.
+
+    Documents without words stay, all of them.  Of rows that agree in id and
+    text one stays.
+    """
+    key = row_key(F.col(text_col))
+    gone = grouped.where("NOT leads").select(F.col(id_col).cast("long").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    left = without_rows(docs, stage(gone, name="gone"), id_col, key)
+    repeated = grouped.where("leads AND n_shingles > 0").groupBy(F.col(id_col).cast("long").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.count("*").alias("n")).where("n > 1")
+    repeated = stage(repeated, name="repeated")
+    if repeated.isEmpty():
+        return left
+    kept = without_rows(left, repeated, id_col, key)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    once = left.join(repeated, same).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    return kept.unionByName(once)

@@ -72,7 +72,7 @@ def op8_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    return jaccard_components(_read(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_components(_read(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def brute(rows, size, percent):
 
 def check(spark, rows, size, percent):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = sorted((tuple(r) for r in jaccard_components(df, size=size, percent=percent).collect()), key=str)
+    got = sorted((tuple(r) for r in jaccard_components(df, size=size, percent=percent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == brute(rows, size, percent)
 
 
@@ -69,7 +69,67 @@ def test_empty_and_first(spark, empty):
     docs = spark.createDataFrame(rows_of([(3, prose(1)), (1, prose(1)), (2, prose(2)), (None, prose(1)), (1, prose(1))]), SCHEMA)
     left = first_of_each(docs, jaccard_components(docs))
     assert left.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2"]
+    assert first_of_each(empty, jaccard_components(empty)).count() == 0
+
+
+def test_first_of_each_keeps_different_texts(spark, documents):
+    """Over all awkward rows: one row of each group, whatever ids they share; rows without words all stay."""
+    rows = awkward()
+    sets = [shingle_set(r[1], 3) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = [r[1] for r, s in zip(rows, sets) if not s]
+    for g in set(group):
+        held = [r for r, x, s in zip(rows, group, sets) if x == g and s]
+        if held:
+            best = min((r[0] is None, r[0] or 0) for r in held)
+            want.append({r[1] for r in held if (r[0] is None, r[0] or 0) == best})
+    left = [r.text for r in first_of_each(documents, jaccard_components(documents, size=3, percent=90)).collect()]
+    assert len(left) == len(want)
+    for w in want:
+        left.remove(w if not isinstance(w, set) else next(t for t in left if t in w))
+    assert not left
+
+
+def copies(m, words=150):
+    base = prose(77, words)
+    return rows_of([(i, near(base, i, 1 + i % 14)) for i in range(m)])
+
+
+def test_pairs_grow_with_the_group(spark, monkeypatch):
+    """Doubling a group of near copies no more than about doubles the pairs that are made."""
+    import helicase.llm.jaccard_join as module
+
+    made = []
+    real = module.verify
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(module, "verify", counted)
+    totals = []
+    for m in (150, 300):
+        made.clear()
+        jaccard_components(spark.createDataFrame(copies(m), SCHEMA), size=5, percent=80).count()
+        totals.append(sum(made))
+    assert totals[1] <= 3 * totals[0]
+
+
+@pytest.mark.parametrize("split", [4, 512])
+def test_split_groups_lose_nothing(spark, monkeypatch, split):
+    """Groups split again and again give the same components as brute force."""
+    monkeypatch.setattr("helicase.llm.jaccard_join.PAIRED", 6)
+    monkeypatch.setattr("helicase.llm.jaccard_join.PAIRED_SPLIT", split)
+    r = random.Random(4)
+    second = near(prose(77, 100), 9999, 6)
+    texts = [near(r.choice([prose(77, 100), second]), i, r.choice([1, 2, 3, 5, 7])) for i in range(70)]
+    check(spark, rows_of(list(enumerate(texts))), 3, 90)
 
 
 def test_parities_never_exceed_the_difference():
