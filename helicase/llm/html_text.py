@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: Elements by their role in the page.
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog button select fieldset noscript iframe object svg canvas template audio video map".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -267,5 +269,5 @@ def extract_main_text(
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    out = rows.mapInArrow(_extract, "page_id long, url string, text string")
+    out = in_batches(rows, _extract, "page_id long, url string, text string")
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

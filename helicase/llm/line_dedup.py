@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_in, salted_join, stage
+from .common import in_batches, likely_in, row_key, salted_join, stage
 from .words import finish, word_hashes
 
 #: Lines with fewer words are only compared for equality: one edit would be over a fifth of them.
@@ -34,7 +34,9 @@ MIN_WORDS_NEAR = 5
 #: Lines with fewer words are left alone altogether, unless ``min_words`` says otherwise: op8 and the pipeline take every line with a word.
 MIN_WORDS = 3
 
-LINES = "doc_id long, line_no int, line binary, halves array<long>"
+LINES = "doc_id long, text_key long, line_no int, line binary, halves array<long>"
+#: Words of the lines whose variants leave a task together.
+VARIANT_WORDS = 20_000
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -64,25 +66,25 @@ def half_keys(words: list[bytes]) -> list[int]:
 
 
 def _lines(min_words: int, near_words: int):
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    names = ["doc_id", "line_no", "line", "halves"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    names = ["doc_id", "text_key", "line_no", "line", "halves"]
 
     def table(rows):
-        cols = list(zip(*rows)) if rows else [[]] * 4
+        cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches):
         for b in batches:
             rows, size = [], 0
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            for doc, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 for i, line in enumerate((raw or b"").split(b"\n")):
                     words = line.split()
                     if len(words) < min_words:
                         continue
                     near = len(words) >= near_words
-                    rows.append((doc, i, _digest(words), half_keys(words) if near else []))
+                    rows.append((doc, key, i, _digest(words), half_keys(words) if near else []))
                     size += len(line)
-                    if size > 8_000_000:
+                    if size > 2_000_000:
                         yield table(rows)
                         rows, size = [], 0
             yield table(rows)
@@ -129,10 +131,15 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
 def _variants(batches):
     """(line, k1, k2, place): each variant's key with the place of the deletion; -2 marks the whole line."""
     for b in batches:
-        # a few lines at a time, as a line has a variant for each of its words
-        for lo in range(0, b.num_rows, 200):
-            some = b.slice(lo, 200)
-            keys = [variant_keys(text.split()) for text in some.column("words").to_pylist()]
+        texts = [text.split() for text in b.column("words").to_pylist()]
+        # so many lines at a time as bound their words, as a line has a variant for each of them
+        part = np.cumsum([len(t) for t in texts]) // VARIANT_WORDS
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            some = b.slice(lo, hi - lo)
+            keys = [variant_keys(t) for t in texts[lo:hi]]
             counts = [len(k) for k in keys]
             places = np.concatenate([np.append(np.arange(n - 1), -2) for n in counts])
             both = np.concatenate(keys)
@@ -161,9 +168,9 @@ def _verify(batches):
 
 
 def occurrence() -> Column:
-    """Order of occurrence: by document id (null last), then line."""
+    """Order of occurrence: by document id (null last), of rows of one id by the hash of their text, then line."""
     return F.struct(
-        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("line_no").alias("no"))
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_key", F.col("line_no").alias("no"))
 
 
 def neighbours_wanted(distinct: DataFrame) -> DataFrame:
@@ -181,24 +188,25 @@ def words_of(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
 
     Documents without such a line are passed over before the shuffle.
     """
-    per_doc = asked.groupBy(F.col("order.none").alias("none"), F.col("order.id").alias("doc_id")).agg(F.collect_set("order.no").alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
-    likely = likely_in(texts, F.col("doc_id"), per_doc, F.col("doc_id")).where("_likely").drop("_likely")
+    per_doc = asked.groupBy(F.col("order.none").alias("none"), F.col("order.id").alias("doc_id"), F.col("order.text_key").alias("text_key")).agg(
+        F.collect_set("order.no").alias("wanted"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text_key", "text")
+    likely = likely_in(texts, F.col("text_key"), per_doc, F.col("text_key")).where("_likely").drop("_likely")
     # what is asked of documents grows with the corpus, so this is a merge join at any size
-    found = likely.join(per_doc.hint("merge"), ["none", "doc_id"]).select("wanted", "text").mapInArrow(_chosen_words(min_words), "line binary, words binary")
+    found = in_batches(likely.join(per_doc.hint("merge"), ["none", "doc_id", "text_key"]).select("wanted", "text"), _chosen_words(min_words), "line binary, words binary")
     return found.dropDuplicates(["line"]).join(asked, "line").select("line", "words", "order")
 
 
 def near_earlier(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(line, first): each distinct line with the earliest line that a key matches it to, verified.
 
-    ``distinct`` has ``line, order, halves``; ``docs`` has ``doc_id, text``.
+    ``distinct`` has ``line, order, halves``; ``docs`` has ``doc_id, text_key, text``.
     """
     asked = stage(neighbours_wanted(distinct), name="asked")
     words = stage(words_of(asked, docs, min_words), name="words")
 
     # only variants that another line (or variant) shares go on
-    emitted = words.select("line", "words").mapInArrow(_variants, "line binary, k1 long, k2 long, place int")
+    emitted = in_batches(words.select("line", "words"), _variants, "line binary, k1 long, k2 long, place int")
     shared = emitted.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
     live = emitted.join(shared.hint("merge"), "k1", "left_semi")
     live = stage(live.join(words.select("line", "order"), "line").withColumn("key", F.struct("k1", "k2")), name="variants")
@@ -224,8 +232,8 @@ def near_earlier(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFr
     text_of = words.select("line", "words")
     told = pairs.join(text_of, "line")
     other = text_of.select(F.col("line").alias("first"), F.col("words").alias("other_words"))
-    return salted_join(told, other, "first", ["line"], how="inner").select("line", "first", "words", "other_words").mapInArrow(
-        _verify, "line binary, first binary")
+    return in_batches(salted_join(told, other, "first", ["line"], how="inner").select("line", "first", "words", "other_words"),
+                      _verify, "line binary, first binary")
 
 
 def line_dedup(
@@ -236,12 +244,13 @@ def line_dedup(
     min_words: int = MIN_WORDS,
     min_words_near: int = MIN_WORDS_NEAR,
 ) -> DataFrame:
-    """Find the lines that repeat an earlier one: ``id, line_no, near``.
+    """Find the lines that repeat an earlier one: ``id, text_key, line_no, near``.
 
     A row is a line to drop: ``near`` is false where an earlier line is equal
     word for word, true where one is a single word edit away.  Lines come in
-    the order of their document's id (null last) and their number from 0.
-    A line counts as repeated whether or not the earlier one itself stays.
+    the order of their document's id (null last) and their number from 0;
+    documents of one id, or of none, in the order of ``text_key``, a hash of
+    the text that also tells their rows apart.  A line counts as repeated whether or not the earlier one itself stays.
 
     Defined cases: a null or empty text has one empty line; lines under
     ``min_words`` are never dropped, those under ``min_words_near`` only if
@@ -253,29 +262,32 @@ def line_dedup(
     share half of themselves with another distinct line fetch their words and
     emit variants, one for each word.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = stage(rows.mapInArrow(_lines(min_words, min_words_near), LINES), name="lines")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    lines = stage(in_batches(rows, _lines(min_words, min_words_near), LINES), name="lines")
     distinct = stage(lines.withColumn("order", occurrence()).groupBy("line").agg(F.min("order").alias("order"), F.first("halves").alias("halves"), F.count("*").alias("n")), name="distinct")
     near = stage(near_earlier(distinct, rows, min_words), name="near").select("line", F.lit(True).alias("near"))
     verdict = distinct.join(near, "line", "left").where("n > 1 OR near").select(
         "line", F.col("order").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     verdict = stage(verdict, name="verdict")
     # lines that occur once and have no neighbour need no join
-    likely = likely_in(lines.select("doc_id", "line_no", "line"), F.col("line"), verdict, F.col("line")).where("_likely").drop("_likely")
-    told = salted_join(likely, verdict, "line", ["doc_id", "line_no"], how="inner").withColumn("order", occurrence())
+    likely = likely_in(lines.select("doc_id", "text_key", "line_no", "line"), F.col("line"), verdict, F.col("line")).where("_likely").drop("_likely")
+    told = salted_join(likely, verdict, "line", ["doc_id", "text_key", "line_no"], how="inner").withColumn("order", occurrence())
     dropped = told.where(F.col("near") | (F.col("order") > F.col("first")))
     return dropped.select(
-        F.col("doc_id").alias(id_col), "line_no", (F.col("order") == F.col("first")).alias("near")).distinct()
+        F.col("doc_id").alias(id_col), "text_key", "line_no", (F.col("order") == F.col("first")).alias("near")).distinct()
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the dropped lines, with its columns; also ``_n_lines`` and ``_n_dropped``.
 
-    A null text without dropped lines stays null.  Documents that lose nothing
-    pass straight through; only the others are shuffled.
+    A null text without dropped lines stays null.  Rows are told apart by id
+    and text, so those that share an id, or have none, lose only their own
+    lines.  Documents that lose nothing pass straight through; only the others
+    are shuffled.
     """
-    per = stage(dropped.groupBy(F.col(id_col).alias("_line_id")).agg(F.collect_set("line_no").alias("_gone")), name="gone")
-    known = likely_in(docs, docs[id_col].cast("long"), per, F.col("_line_id"))
+    key = row_key(F.col(text_col))
+    per = stage(dropped.groupBy(F.col(id_col).alias("_line_id"), F.col("text_key").alias("_line_key")).agg(F.collect_set("line_no").alias("_gone")), name="gone")
+    known = likely_in(docs, key, per, F.col("_line_key"))
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
     def counted(df: DataFrame, text: Column, gone: Column) -> DataFrame:
@@ -283,7 +295,7 @@ def without_lines(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id"
         return df.select(*columns, F.size(parts).cast("long").alias("_n_lines"), gone.cast("long").alias("_n_dropped"))
 
     # lists of lines grow with the corpus, so this is a merge join at any size
-    joined = known.where("_likely").join(per.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_line_id")), "left")
+    joined = known.where("_likely").join(per.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_line_id")) & (key == F.col("_line_key")), "left")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
     touched = counted(joined, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept), F.coalesce(F.size("_gone"), F.lit(0)))
     return counted(known.where("NOT _likely"), F.col(text_col), F.lit(0)).unionByName(touched)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, stage
+from .common import row_key, salted_join, stage
 
 #: Characters that clean prose seldom has; they lower a document's weight.
 NOISE = "#*$%&|<>{}[]~^=_\\"
@@ -89,8 +89,9 @@ def mix_sources(
     """How often the mix takes each document.
 
     Returns one row per document: ``id, source, size, source_size, target,
-    copies, taken`` with ``size`` in words, ``target`` the words wanted from
-    its source and ``taken = copies * size``.  A source's taken words differ
+    copies, taken, row_key`` with ``size`` in words, ``target`` the words wanted from
+    its source and ``taken = copies * size``; ``row_key``, a hash of text and source, tells
+    rows of one id apart.  A source's taken words differ
     from its target by at most half the document at which its budget ends.
 
     Defined cases: a null or empty text has size 0; null sources are one
@@ -106,10 +107,10 @@ def mix_sources(
     weights = weights or [5.0, 2.0, 1.0]
     u = uniform(F.col(id_col), seed)
     digest = stage(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"), row_key(F.col(text_col), F.col(source_col)).alias("row_key"), F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"), quality(F.col(text_col)).alias("weight"), u.alias("u"),
     ), name="sizes").select(
-        "id", "source", "size", (-F.log("u") / F.col("weight")).alias("key"),
+        "id", "row_key", "source", "size", (-F.log("u") / F.col("weight")).alias("key"),
         F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit(""))).alias("skey"),
     ).withColumn("part", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int"))
 
@@ -136,7 +137,7 @@ def mix_sources(
     plan = targets.join(cut, "skey", "left")
     known = salted_join(digest, plan, "skey", ["id", "size"])
     within = F.col("part") == F.col("cut")
-    base = ["id", "source", "size", "source_size", "target", "epochs"]
+    base = ["id", "row_key", "source", "size", "source_size", "target", "epochs"]
     # without a cut the rest covers nothing (0) or, by rounding, everything
     early = F.when(F.col("part") < F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(ranges)).otherwise(F.lit(-1))), 1).otherwise(0)
     clear = known.where(~F.coalesce(within, F.lit(False))).select(*base, early.alias("more"))
@@ -148,17 +149,21 @@ def mix_sources(
     return clear.unionByName(edge).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         (F.col("epochs") + F.col("more")).alias("copies"),
-        ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"),
+        ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"), "row_key",
     )
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def repeat_documents(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it; its columns are kept.
 
-    Expects one row per id in ``mixed``; rows of ``docs`` with a null id or one
-    that ``mixed`` lacks are dropped.
+    Rows of one id, or of none, are told apart by text and source.  Rows that
+    agree in all three come as often as the mix takes them together, all as
+    one of them.  Rows that ``mixed`` lacks are dropped.
     """
-    plan = mixed.where("copies > 0").select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    joined = docs.join(plan, docs[id_col] == plan["_mix_id"])
-    often = joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-    return often.select(*[docs[c] for c in docs.columns])
+    plan = mixed.groupBy(F.col(id_col).alias("_id"), F.col("row_key").alias("_key")).agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (row_key(F.col(text_col), F.col(source_col)) == F.col("_key"))
+    joined = docs.join(stage(plan, name="copies"), same)
+    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id", "_key"]))
+    often = once.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return often.select(*docs.columns)

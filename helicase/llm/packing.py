@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage
+from .common import in_batches, shuffle_partitions, stage
 from .tokens import encoder
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -177,11 +177,12 @@ def pack_documents(
     Scale: texts are read and encoded once and never shuffled.  A task holds
     fewer than ``k`` pieces of class ``k``, a bounded number.  Only those
     leftovers are shuffled; what is left after that is fewer than ``k``
-    pieces of each class, in all under ``capacity * (2 + ln(min_cut))``
+    pieces of each class, under ``capacity`` tokens for each of the classes
+    that occur (63 at most with a capacity of 1024 and ``min_cut`` 32)
     whatever the input's size, and is packed in one task.
     """
     spark = docs.sparkSession
-    filled = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    filled = stage(in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
         _tokenize_and_fill(vocabulary, end_id, capacity, min_cut), PLACED), name="filled")
     settled = filled.where("sequence_id IS NOT NULL")
     left = filled.where("sequence_id IS NULL").drop("sequence_id", "offset")
@@ -204,7 +205,7 @@ def pack_documents(
         (F.lit(LEFTOVER) + F.col("class").cast("long") * F.lit(1 << 40) + F.col("bin")).alias("sequence_id"),
         (F.sum("length").over(inside) - F.col("length")).alias("offset"),
     )
-    mixed = numbered.where("not whole").select("doc_id", "start", "length", "doc_tokens", "ids").coalesce(1).mapInArrow(
+    mixed = in_batches(numbered.where("not whole").select("doc_id", "start", "length", "doc_tokens", "ids").coalesce(1),
         _pack_mixed(capacity), PLACED)
     return settled.unionByName(dealt).unionByName(mixed)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_batches, row_key, stage, without_rows
 
 #: Common function words of the languages that have references.
 COMMON_WORDS = {
@@ -34,7 +34,7 @@ LOWER, UPPER, LETTER, DIGIT, SPACE, STOP, MARK, SYMBOL = range(8)
 TABLE_SIZE = 0x3000
 
 FEATURES = (
-    "doc_id long, lang string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, row_key long, lang string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, chars array<double>, common array<double>"
 )
 
@@ -98,13 +98,13 @@ def _features(common: dict[str, list[str]]):
 
     def run(batches):
         for b in batches:
-            ids, langs = b.column(0).to_pylist(), b.column(2).to_pylist()
-            raws = b.column(1).cast(pa.binary()).to_pylist()
+            ids, row_keys, langs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
+            raws = b.column(2).cast(pa.binary()).to_pylist()
             rows = [count_text(raw or b"", encoded.get(lang, [])) for raw, lang in zip(raws, langs)]
             cols = [list(c) for c in zip(*rows)] if rows else [[]] * 8
             kinds = [pa.int64()] * 6 + [pa.list_(pa.float64())] * 2
-            arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string())] + [pa.array(c, k) for c, k in zip(cols, kinds)]
-            names = ["doc_id", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"]
+            arrays = [pa.array(ids, pa.int64()), pa.array(row_keys, pa.int64()), pa.array(langs, pa.string())] + [pa.array(c, k) for c, k in zip(cols, kinds)]
+            names = ["doc_id", "row_key", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -152,7 +152,8 @@ def quality_rules(
 
     Returns one row per document: ``id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, class_distance,
-    common_distance, kept``.  A distance is null, and judges nothing, below
+    common_distance, kept, row_key``, the last a hash of text and language that
+    tells rows of one id apart.  A distance is null, and judges nothing, below
     its minimum length or without a reference.  From ``min_words`` up to
     ``min_words_for_common`` words, common words judge only together with a
     class distance over half its limit, and their limit is raised by the mean
@@ -170,8 +171,9 @@ def quality_rules(
     """
     common = COMMON_WORDS if common is None else common
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    features = stage(rows.mapInArrow(_features(common), FEATURES), name="features").withColumn(
+        F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col), F.col(lang_col)).alias("row_key"),
+        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    features = stage(in_batches(rows, _features(common), FEATURES), name="features").withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
     # n words over k + 1 bins diverge from their own source by k / (8 n ln 2) on average
@@ -197,10 +199,10 @@ def quality_rules(
     final = stage(second.unionByName(first.join(second.select("ref_lang"), "ref_lang", "left_anti")), name="references")
     return measured(final).select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & F.col("near")).alias("kept"))
+        "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & F.col("near")).alias("kept"), "row_key")
 
 
-def keep_good(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id was kept, with their columns."""
-    good = judged.where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["_kept_id"]), "left_semi")
+def keep_good(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that were kept, with their columns; rows of one id, or of none, each by their own text and language."""
+    gone = judged.where("NOT kept").select(F.col(id_col).cast("long").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    return without_rows(docs, stage(gone, name="gone"), id_col, row_key(F.col(text_col), F.col(lang_col)))

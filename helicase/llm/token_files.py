@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage, temp_path
+from .common import in_batches, shuffle_partitions, stage, temp_path
 from .packing import _grouped
 from .tokens import encoder
 
@@ -196,7 +196,7 @@ def write_token_files(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), mark).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), mark)
-    files = ordered.mapInArrow(_segments(vocabulary, end_id, segment_ids), "file binary")
+    files = in_batches(ordered, _segments(vocabulary, end_id, segment_ids), "file binary")
     # the text writer puts the bytes as they are and ends them with a line feed
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
@@ -222,7 +222,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     running sum over segments (one row per file, about ``SEGMENT_IDS`` ids).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 72").select("content")
-    docs = stage(files.mapInArrow(_documents_of, DOCS), name="read-back")
+    docs = stage(in_batches(files, _documents_of, DOCS), name="read-back")
     segments = docs.where("position = 0").select("part", "number", "segment_ids")
     along = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = segments.select("part", "number", F.coalesce(F.sum("segment_ids").over(along), F.lit(0)).alias("base"))
