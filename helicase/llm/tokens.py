@@ -3,7 +3,8 @@
 Words repeat, so a worker encodes each distinct word once and looks it up
 afterwards.  A text takes that way only where its words are separated by
 single spaces (and single line feeds): there a byte-level or word-level BPE
-never joins what such a separator divides.  Any other text is encoded whole.
+never joins what such a separator divides.  Any other text, and one that may
+hold a special token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import numpy as np
 
 from .common import tokenizer_path
 
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 1_200_000
+#: Bytes of words and their ids that a worker remembers before it starts afresh.
+REMEMBERED = 24_000_000
 
 _loaded: dict[str, Encoder] = {}
 
@@ -35,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path if os.path.exists(path) else tokenizer_path(path))
-        self.tok.encode_special_tokens = True
+        # a special token's text is one id wherever it stands, so texts that may hold one are encoded whole
+        self.special = sorted({t.content.lower()[:2] for t in self.tok.get_added_tokens_decoder().values() if t.content})
         # whether white space yields ids: a space then belongs to the next word
         self.keeps_space = bool(self.tok.encode(" ", add_special_tokens=False).ids)
         self.newline = self._whole("\n")
@@ -43,6 +45,7 @@ class Encoder:
         self.divider = "\n" if self.keeps_space else " 0 "
         self.divides = np.frombuffer(self._whole(self.divider), "<u4")
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.marks = {m: self._whole(m) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
@@ -50,12 +53,12 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode distinct words, each on its own, and remember them."""
-        # a letter and a mark after it are never one piece
+        # an ASCII letter and a mark after it are never one piece; other letters may be normalised to end in a mark of their own
         stems: dict[str, str] = {}
         ask: dict[str, None] = {}
         for w in words:
             stem = w[:-1]
-            if w[-1:] in self.marks and stem[-1:].isalpha():
+            if w[-1:] in self.marks and w.isascii() and stem[-1:].isalpha():
                 stems[w] = stem
                 if stem not in self.known:
                     ask[stem] = None
@@ -66,6 +69,7 @@ class Encoder:
         self._encode([w for w in ask if w not in self.known])
         for w, stem in stems.items():
             self.known[w] = self.known[stem] + self.marks[w[-1]]
+        self.held += sum(len(w) + len(self.known[w]) for w in words)
 
     def _encode_joined(self, words: list[str]) -> None:
         """Words of ASCII letters in one text, which costs less than each alone."""
@@ -88,14 +92,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         known = self.known
         plans: list = []
         missing: set[str] = set()
         for text in texts:
             spaced = " ".join(text.split())
-            if not text or spaced != text.replace("\n", " ") or "\0" in text:
+            low = text.lower()
+            if not text or spaced != text.replace("\n", " ") or "\0" in text or any(s in low for s in self.special):
                 plans.append(text)
             elif self.keeps_space:
                 lines = [line.replace(" ", "\0 ").split("\0") for line in text.split("\n")]

@@ -16,7 +16,6 @@ from .conftest import awkward, prose
 
 def ids_of(name, texts, end):
     tok = Tokenizer.from_file(tokenizer_path(name))
-    tok.encode_special_tokens = True
     return [[*e.ids, end] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
