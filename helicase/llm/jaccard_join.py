@@ -362,6 +362,9 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     groups = stage(about.join(sets.select("digest", F.explode("prefix_1").alias("key")), "digest"), name="groups")
     told = stage(verify(star_pairs(groups, "uniques", wide=F.col("members") > PAIRED, percent=percent), sets, percent), name="verified")
     labels = stage(components(told.where("linked"), src="x", dst="y"), name="labels")
+    # further links come on top of these components, which are enough to tell what is still open
+    known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
+    links = known.limit(0)
     groups = groups.select("*", F.lit(False).alias("joined"), F.lit(True).alias("own"), F.lit(None).cast("int").alias("width"))
     for split in range(SPLITS + 1):
         last = split == SPLITS
@@ -375,17 +378,14 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.unionByName(star_pairs(opened.where("large"), "width", wide=F.lit(True), percent=percent))
         more = stage(verify(pairs, sets, percent), name="verified")
         told = more if split else told.unionByName(more)
-        found = more.where("linked").select("x", "y")
-        if not found.isEmpty():
-            known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
-            labels = stage(components(known.unionByName(found), src="x", dst="y"), name="labels")
+        links = links.unionByName(more.where("linked").select("x", "y"))
         near = told.where("d IS NOT NULL").select(
             F.col("y").alias("hub"), F.col("n_y").alias("n_hub"), F.col("x").alias("digest"), F.col("n_x").alias("n"), F.col("linked").alias("joined"), "d")
         place = near.select("hub", "digest", "joined").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         active = place.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("joined").alias("all_joined")).where(
             "a <> b AND NOT all_joined").select("hub")
         if last or active.isEmpty():
-            return labels
+            return labels if links.isEmpty() else stage(components(known.unionByName(links), src="x", dst="y"), name="labels")
         near = stage(salted_join(near, active, "hub", ["digest"], how="inner"), name="near")
         groups = stage(split_groups(near, percent).join(about, "digest"), name="groups")
     return labels
