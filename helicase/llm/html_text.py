@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,10 +55,44 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 MARKS = re.compile(r"[.,;:!?。、،؟]")
 
 
+class _Paths:
+    """The tag paths of a page as numbers: 0 is the empty path; a path's parent has a smaller number."""
+
+    def __init__(self):
+        self.tags, self.parents, self._known = [""], [0], {}
+
+    def child(self, path: int, tag: str) -> int:
+        found = self._known.setdefault((path, tag), len(self.tags))
+        if found == len(self.tags):
+            self.tags.append(tag)
+            self.parents.append(path)
+        return found
+
+    def depths(self) -> list[int]:
+        out = [0]
+        for p in self.parents[1:]:
+            out.append(out[p] + 1)
+        return out
+
+    def summed(self, own: dict[int, float]) -> list[float]:
+        """For each path, the values of itself and all paths under it."""
+        total = [own.get(p, 0.0) for p in range(len(self.tags))]
+        for p in range(len(total) - 1, 0, -1):
+            total[self.parents[p]] += total[p]
+        return total
+
+    def under(self, tops: set[int]) -> list[bool]:
+        """For each path, whether it or a path above it is among ``tops``."""
+        out = [0 in tops]
+        for p in range(1, len(self.tags)):
+            out.append(p in tops or out[self.parents[p]])
+        return out
+
+
 class _Block:
     __slots__ = ("path", "parts", "links", "banned")
 
-    def __init__(self, path: tuple[str, ...], banned: bool):
+    def __init__(self, path: int, banned: bool):
         self.path, self.parts, self.links, self.banned = path, [], 0, banned
 
 
@@ -79,9 +114,14 @@ def _furniture(tag: str, attrs: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[_Block]:
-    """The page's blocks of text in order; each has its root-to-leaf tag path."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, block element
+def blocks_of(page: str) -> tuple[list[_Block], _Paths]:
+    """The page's blocks of text in order, each with its root-to-leaf tag path, and the paths.
+
+    The time is linear in the page, however deep its elements nest: open
+    elements are counted by tag, so the stack is only searched for what is there.
+    """
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, block element, path
+    paths, opened = _Paths(), Counter()
     blocks: list[_Block] = []
     current: _Block | None = None
     banned = links = 0
@@ -89,7 +129,8 @@ def blocks_of(page: str) -> list[_Block]:
     def pop(to: int) -> None:
         nonlocal banned, links, current
         while len(stack) > to:
-            tag, furniture, block = stack.pop()
+            tag, furniture, block, _ = stack.pop()
+            opened[tag] -= 1
             banned -= furniture
             links -= tag == "a"
             if block:
@@ -100,8 +141,7 @@ def blocks_of(page: str) -> list[_Block]:
         if current is None:
             if not text or text.isspace():
                 return
-            path = tuple(t for t, _, b in stack if b)
-            current = _Block(path, banned > 0)
+            current = _Block(stack[-1][3] if stack else 0, banned > 0)
             blocks.append(current)
         elif banned and not current.banned:
             return  # furniture within a line of text, such as a button
@@ -128,7 +168,7 @@ def blocks_of(page: str) -> list[_Block]:
             if tag == "br":
                 add(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -145,14 +185,14 @@ def blocks_of(page: str) -> list[_Block]:
         is_block = tag in BLOCK_TAGS
         if is_block:
             # a block ends an open paragraph, and list or table parts end their like
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[i][0] == "p":
                     pop(i)
                     break
                 if stack[i][0] in ("td", "th", "button", "html", "table"):
                     break
             like, scope = CLOSES_LIKE.get(tag, ()), SCOPE_OF.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened[t] for t in like) else ():
                 if stack[i][0] in scope:
                     break
                 if stack[i][0] in like:
@@ -164,10 +204,12 @@ def blocks_of(page: str) -> list[_Block]:
                 current = None
             continue
         furniture = _furniture(tag, token[named.end():])
-        stack.append((tag, furniture, is_block))
+        above = stack[-1][3] if stack else 0
+        stack.append((tag, furniture, is_block, paths.child(above, tag) if is_block else above))
+        opened[tag] += 1
         banned += furniture
         links += tag == "a"
-    return blocks
+    return blocks, paths
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -180,11 +222,11 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def _free(path: tuple[str, ...], linked: float, marked: bool) -> float:
+def _free(leaf: str, linked: float, marked: bool) -> float:
     """How far a tag path is free of links; in a marked root a few words besides them don't count, and a table is free unless all of it links."""
     if not marked:
         return 1 - linked
-    if path and path[-1] in ("td", "th"):
+    if leaf in ("td", "th"):
         return float(linked < 1)
     return max(0.0, 1 - linked / MOST_LINKED)
 
@@ -194,7 +236,9 @@ def main_text(page: str | None, *, threshold: float = 0.15) -> str:
     if not page:
         return ""
     blocks = []
-    for b in blocks_of(page):
+    found, paths = blocks_of(page)
+    tags = paths.tags
+    for b in found:
         text = " ".join("".join(b.parts).split())
         if text:
             blocks.append((b, text))
@@ -203,45 +247,46 @@ def main_text(page: str | None, *, threshold: float = 0.15) -> str:
         return ""
 
     # text length, punctuation and link length per tag path; parts of a list or table count as one run
-    per: dict[tuple[str, ...], list[float]] = {}
+    per: dict[int, list[float]] = {}
     last = None
     for b, t in open_:
         s = per.setdefault(b.path, [0, 0, 0, 0])
-        s[0] += not (b.path == last and b.path[-1] in RUN_TAGS)
+        s[0] += not (b.path == last and tags[b.path] in RUN_TAGS)
         s[1] += len(t)
         s[2] += len(MARKS.findall(t))
-        s[3] += 0 if b.path and b.path[-1] in HEADING_TAGS else min(b.links, len(t))  # a title often links to its page
+        s[3] += 0 if tags[b.path] in HEADING_TAGS else min(b.links, len(t))  # a title often links to its page
         last = b.path
     lengths = _smooth([per[b.path][1] / per[b.path][0] for b, _ in open_])
     marks = _smooth([per[b.path][2] / per[b.path][0] for b, _ in open_])
-    marked = any(t in ROOT_TAGS for b, _ in open_ for t in b.path)
-    text_only = [_free(b.path, per[b.path][3] / per[b.path][1], marked) for b, _ in open_]
+    marked_under = paths.under({p for p, t in enumerate(tags) if t in ROOT_TAGS})
+    marked = any(marked_under[b.path] for b, _ in open_)
+    text_only = [_free(tags[b.path], per[b.path][3] / per[b.path][1], marked) for b, _ in open_]
     fused = [math.sqrt(n * (1 + m)) * free for n, m, free in zip(lengths, marks, text_only)]
 
     # the content roots: main elements if there are any, else the deepest
     # container with most of the fused score and those of all paths that
     # score well for themselves, wherever they are
-    score: dict[tuple[str, ...], float] = {}
-    for (b, t), f in zip(open_, fused):
-        for i in range(len(b.path) + 1):
-            score[b.path[:i]] = score.get(b.path[:i], 0.0) + f * len(t) ** 0.5
-    inside = {p for p in score if p and p[-1] in ROOT_TAGS}
     mean = sum(fused) / len(fused)
     if marked:
         # a marked root lowers the threshold: only what is next to nothing but links falls under it
         limit = threshold / 3 * min(mean, ROOT_MEAN)
+        inside = marked_under
     else:
-        containers = [p for p in score if not p or p[-1] in CONTAINERS]
-        total = score[()]
-        inside.add(max((p for p in containers if score[p] >= 0.6 * total), key=len, default=()))
+        own_score: dict[int, float] = {}
+        for (b, t), f in zip(open_, fused):
+            own_score[b.path] = own_score.get(b.path, 0.0) + f * len(t) ** 0.5
+        score, depth = paths.summed(own_score), paths.depths()
+        containers = [p for p in range(len(tags)) if not p or tags[p] in CONTAINERS]
+        tops = {max((p for p in containers if score[p] >= 0.6 * score[0] and score[p] > 0), key=depth.__getitem__, default=0)}
         # by characters, as menus have many blocks; by each path's own length and marks, as neighbours lend theirs
-        own = {p: math.sqrt(chars / n * (1 + m / n)) * _free(p, links / chars, marked) for p, (n, chars, m, links) in per.items()}
+        own = {p: math.sqrt(chars / n * (1 + m / n)) * _free(tags[p], links / chars, marked) for p, (n, chars, m, links) in per.items()}
         usual = sum(own[b.path] * len(t) for b, t in open_) / sum(len(t) for _, t in open_)
-        inside |= {p[:-1] if p and p[-1] not in CONTAINERS else p for p in own if own[p] >= usual / 2}
+        tops |= {p if tags[p] in CONTAINERS else paths.parents[p] for p in own if own[p] >= usual / 2}
+        inside = paths.under(tops)
         limit = threshold * mean
     kept = []
     for (b, t), f in zip(open_, fused):
-        if f >= limit and any(b.path[:i] in inside for i in range(len(b.path) + 1)):
+        if f >= limit and inside[b.path]:
             kept.append(t)
     return "\n\n".join(kept)
 

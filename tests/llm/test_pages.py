@@ -141,3 +141,30 @@ def test_content_at_another_path(wrap):
 def test_short_second_article():
     page = "<body><div><article>" + f"<p>{PROSE}</p>" * 30 + f"</article></div><article><p>Short, yes.</p></article><div>Not in either, as it is.</div></body>"
     assert main_text(page) == "\n\n".join([PROSE] * 30 + ["Short, yes."])
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    deep = "<div>text, " * 20_000
+    start = time.perf_counter()
+    assert main_text(f"<article>{deep}</article>").count("text,") == 20_000
+    assert main_text(deep).count("text,") == 20_000
+    assert main_text("<p>" + "<b>x " * 20_000 + "</b>" * 20_000).count("x") == 20_000
+    assert time.perf_counter() - start < 20
+
+
+def test_sums_and_ancestors_of_paths():
+    from helicase.llm.html_text import _Paths
+
+    paths = _Paths()
+    made = [(), ("div",), ("div", "p"), ("div", "ul"), ("div", "ul", "li"), ("p",)]
+    number = {(): 0}
+    for p in made[1:]:
+        number[p] = paths.child(number[p[:-1]], p[-1])
+        assert paths.child(number[p[:-1]], p[-1]) == number[p]
+    own = {number[p]: 10.0 ** i for i, p in enumerate(made)}
+    for p in made:
+        assert paths.summed(own)[number[p]] == sum(10.0 ** i for i, q in enumerate(made) if q[:len(p)] == p)
+        assert paths.under({number[("div", "ul")], number[("p",)]})[number[p]] == (p[:2] == ("div", "ul") or p == ("p",))
+        assert paths.depths()[number[p]] == len(p)
