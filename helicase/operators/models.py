@@ -110,8 +110,12 @@ def decision_values(rows: DataFrame, model: KernelModel, *, key: str, features:
 
 def score_against(rows: DataFrame, model: DataFrame, *, gamma: float, rho: float, key: str, features: str) -> DataFrame:
     """The same for a one-row table ``model`` of ``array<struct<coef, vector>>``."""
-    return rows.join(F.broadcast(model)).select(key, (F.aggregate(
-        "model", F.lit(0.0), lambda s, v: s + v["coef"] * F.exp(-gamma * squared_distance(F.col(features), v["vector"]))) - rho).alias("decision"))
+    return rows.join(F.broadcast(model)).select(key, decision_of(F.col(features), F.col("model"), gamma=gamma, rho=rho).alias("decision"))
+
+
+def decision_of(features: Column, model: Column, *, gamma: float, rho: float) -> Column:
+    """Sum of coefficient times kernel, less ``rho``, for ``model`` an ``array<struct<coef, vector>>``."""
+    return F.aggregate(model, F.lit(0.0), lambda s, v: s + v["coef"] * F.exp(-gamma * squared_distance(features, v["vector"]))) - rho
 
 
 def probability(decision: Column, prob_a: float, prob_b: float) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..operators import folding as ops
+from ..operators import models, screen as screens
+from ..operators.hits import locus_stats
 from .fixtures import CELLS_SQL, blocks, read
 
 
@@ -50,7 +52,30 @@ def shuffle_alignment(spark, sf_dir):
     return ops.shuffle_columns(columns.select("block_id", F.col("col").cast("long").alias("col"), "letters"))
 
 
-QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, shuffle_alignment)}
+def stand_in_model() -> models.KernelModel:
+    """A decision model of two vectors, in place of a published one that users hand to ``models.parse_model``."""
+    ranges = models.DECISION_RANGES["di"].values()
+    likely, unlikely = ([-1 + 2 * (x - low) / (high - low) for x, (low, high) in zip(row, ranges)] for row in [(-4.0, 0.9, 0.6), (0.0, 0.3, 0.6)])
+    return models.KernelModel(gamma=0.5, rho=0.0, coef=[4.0, -4.0], vectors=[likely, unlikely], prob_a=-2.0, prob_b=0.0)
+
+
+#: The test blocks are prose in four letters: mostly masked, far from alike and out of the models' range.
+SCREEN_FILTERS = {"max_gap": 0.35, "max_masked": 1.0, "range_check": False, "min_identity": 0.0}
+
+
+def screen(spark, sf_dir):
+    """Every window of every block through the whole screen, both strands, without shuffles and without a cutoff."""
+    found = screens.screen(blocks(spark, sf_dir), decision=stand_in_model(), cutoff=0.0, filters=SCREEN_FILTERS)
+    return found.select("block_id", "slice_start", "strand", "seq_id", "start", "end", "n", "columns", "identity", "entropy", "gc", "mean_mfe", "consensus_mfe",
+                        "energy", "covariance", "comb_per_pair", "z", "sci", "dec_value", "p", "locus")
+
+
+def screen_loci(spark, sf_dir):
+    """Loci of the screen's windows at the usual cutoff."""
+    return locus_stats(screens.screen(blocks(spark, sf_dir), decision=stand_in_model(), cutoff=0.5, filters=SCREEN_FILTERS))
+
+
+QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, shuffle_alignment, screen, screen_loci)}
 
 SQL = {
     "shuffle_alignment": f"""WITH {CELLS_SQL}, k AS (

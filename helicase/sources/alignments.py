@@ -53,7 +53,7 @@ def read_maf(spark: SparkSession, path: str | list[str], *, forward: bool = True
 def read_clustal(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, rows, n_cols``: one alignment per file, rows in order of first appearance, chunks joined by name."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    seq = whole.where(F.col("line").rlike(r"^[^\s#/]+\s+[A-Za-z.-]+(\s+\d+)?\s*$") & ~F.col("line").rlike("(?i)^clustal")).select(
+    seq = whole.where(F.col("line").rlike(r"^(?!//)[^\s#]+\s+[A-Za-z.-]+(\s+\d+)?\s*$") & ~F.col("line").rlike("(?i)^clustal")).select(
         "file", "line_no", F.split("line", r"\s+")[0].alias("name"), F.split("line", r"\s+")[1].alias("part"))
     rows = seq.groupBy("file", "name").agg(F.min("line_no").alias("first"), F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("parts"))
     joined = rows.select("file", F.struct("first", "name", F.translate(F.array_join(F.transform("parts", lambda p: p["part"]), ""), ".", "-").alias("seq")).alias("r"))
@@ -99,3 +99,50 @@ def write_text(df: DataFrame, value: Column, path: str, *, mode: str = "errorife
     """One record per row of ``df``; at most ``per_file`` to a file, if given."""
     writer = df.select(value.alias("value")).write.mode(mode)
     (writer.option("maxRecordsPerFile", per_file) if per_file else writer).text(path)
+
+
+def sniff_format(spark: SparkSession, path: str | list[str], *, loose: bool = False) -> str:
+    """``clustal``, ``maf`` or ``unknown``, by the first line of the input that is neither empty nor a comment.
+
+    ``loose`` takes the word anywhere in the line and in any case, and any
+    line that begins with ``a``.  An empty input is an error.
+    """
+    text = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)")).head(1)
+    if not text:
+        raise ValueError(f"{path}: empty alignment file")
+    line = text[0][0]
+    words = line.split()
+    if "clustal" in line.lower() if loose else words[0] == "CLUSTAL":
+        return "clustal"
+    return "maf" if (line.startswith("a") if loose else words[0] == "a") else "unknown"
+
+
+def read_alignments(spark: SparkSession, path: str | list[str], *, format: str = "auto") -> DataFrame:
+    """``file, rows, n_cols`` of alignments of either format; ``auto`` looks at the first line."""
+    kind = sniff_format(spark, path, loose=True) if format == "auto" else format
+    readers = {"maf": read_maf, "clustal": read_clustal}
+    if kind not in readers:
+        raise ValueError(f"{path}: not an alignment format: {kind}")
+    return readers[kind](spark, path)
+
+
+def numbered_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` of one file with ``block_no``, from 0 in the file's order; to take one out, filter by it.
+
+    Blocks are counted per partition of the file first, so none is gathered.
+    """
+    placed = blocks.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    first = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("_low"))
+    from pyspark.sql import Window
+
+    # one row per partition
+    ahead = first.select("_part", "_low", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_ahead"))
+    return placed.join(F.broadcast(ahead), "_part").withColumn("block_no", F.col("_id") - F.col("_low") + F.col("_ahead")).drop("_part", "_id", "_low", "_ahead")
+
+
+def named_ranges(rows: Column) -> Column:
+    """Rows of a CLUSTAL alignment whose names end in ``/start-end``, with ``name, start, end`` taken apart; null positions elsewhere."""
+    part = lambda r, i: F.nullif(F.regexp_extract(r["name"], r"^(.*)/(\d+)-(\d+)$", i), F.lit(""))
+    return F.transform(rows, lambda r: F.struct(
+        r["idx"].alias("idx"), F.coalesce(part(r, 1), r["name"]).alias("name"), part(r, 2).cast("long").alias("start"),
+        part(r, 3).cast("long").alias("end"), r["seq"].alias("seq")))
