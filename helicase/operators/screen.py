@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..functions.energy import energies
 from ..functions.folding import Fold, dot_bracket, encode
+from ..session import settled
 from . import models
 from .blocks import filter_rows, materialised, reject_blocks, remove_common_gaps, slide_windows
 from .folding import background_udf, consensus_udf, in_batches, select_rows_udf
@@ -191,4 +192,5 @@ def screen(blocks: DataFrame, *, decision: models.KernelModel, kind: str = "di",
     loci up.
     """
     scored = score_windows(windows_to_score(blocks, **(filters or {})), decision=decision, kind=kind, **options)
-    return cluster_hits(scored, cutoff=cutoff)
+    # clustering reads its rows several times, and folds are dear
+    return cluster_hits(settled(scored.where(F.col("p") >= cutoff)), cutoff=cutoff)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..operators import folding as ops
 from ..operators import models, screen as screens
-from ..operators.hits import locus_stats
 from .fixtures import CELLS_SQL, blocks, read
 
 
@@ -70,12 +69,7 @@ def screen(spark, sf_dir):
                         "energy", "covariance", "comb_per_pair", "z", "sci", "dec_value", "p", "locus")
 
 
-def screen_loci(spark, sf_dir):
-    """Loci of the screen's windows at the usual cutoff."""
-    return locus_stats(screens.screen(blocks(spark, sf_dir), decision=stand_in_model(), cutoff=0.5, filters=SCREEN_FILTERS))
-
-
-QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, shuffle_alignment, screen, screen_loci)}
+QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, shuffle_alignment, screen)}
 
 SQL = {
     "shuffle_alignment": f"""WITH {CELLS_SQL}, k AS (

@@ -8,11 +8,22 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once: checkpointed where the session names a folder for that, else kept on disk.
+
+    For results that cost much and are used several times.
+    """
+    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers, once per application.
 
