@@ -16,7 +16,7 @@ from helicase.llm.mixing import mix_sources, repeat_documents
 from helicase.llm.packing import pack_documents
 from helicase.llm.quality_rules import keep_good, quality_rules
 
-#: No SQL can express the stages; ``tests/llm`` holds each against a brute-force version.
+#: No SQL can express the stages.  ``tests/llm`` holds line numbers, groups, copies and pieces against brute force, and what stages keep against planted cases.
 ORACLE_SQL = None
 
 
