@@ -28,6 +28,25 @@ def test_encoder_is_exact(name):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [x[:-1] for x in ids_of(name, texts, 0)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_and_mixed_scripts(name):
+    """Every letter of Unicode before a comma and a full stop, mixed scripts, and texts of special tokens, as the library's plain call has them."""
+    import random
+    import sys
+
+    letters = [chr(c) for c in range(0x80, sys.maxunicode + 1) if chr(c).isalpha() and not 0x3400 <= c < 0xE000 and c < 0x20000]
+    texts = [" ".join(f"x{c}, {c}. {c}" for c in letters[i:i + 50]) for i in range(0, len(letters), 50)]
+    r = random.Random(3)
+    pool = letters + list("abcXYZ019.,;'-!  \n\u0301\u0323") * 400
+    texts += ["".join(r.choice(pool) for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    special = [t.content for t in Tokenizer.from_file(tokenizer_path(name)).get_added_tokens_decoder().values()]
+    texts += [form.format(t=x) for t in special for x in (t, t.upper()) for form in ("{t}", "a {t} b", "a{t}b, c", "x. {t}{t}\ny")]
+    enc = Encoder(name)
+    want = [x[:-1] for x in ids_of(name, texts, 0)]
+    wrong = [t for t, raw, w in zip(texts, enc.encode(texts), want) if np.frombuffer(raw, "<u4").tolist() != w]
+    assert not wrong, wrong[:3]
+
+
 @given(st.integers(1, 5000))
 def test_cuts_fill_classes(total):
     lengths = cut_lengths(total, 1024, 32)
