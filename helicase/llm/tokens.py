@@ -47,18 +47,33 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.marks = {m: self._whole(m) for m in ".,"}
+        self.letters: dict[str, bool] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
+    def _may_be_special(self, text: str) -> bool:
+        """Whether the text holds the first two characters of a special token, in either case."""
+        if not any(s[0] in text or s[0].upper() in text for s in self.special):
+            return False
+        low = text.lower()
+        return any(s in low for s in self.special)
+
+    def _ends_in_letter(self, c: str) -> bool:
+        """Whether ``c`` is a letter and still ends in one as the vocabulary normalises it."""
+        if c not in self.letters:
+            form = self.tok.normalizer.normalize_str(c) if self.tok.normalizer else c
+            self.letters[c] = c.isalpha() and form[-1:].isalpha()
+        return self.letters[c]
+
     def _learn(self, words: list[str]) -> None:
         """Encode distinct words, each on its own, and remember them."""
-        # an ASCII letter and a mark after it are never one piece; other letters may be normalised to end in a mark of their own
+        # a letter and a mark after it are never one piece, unless the letter is normalised to end in a mark of its own
         stems: dict[str, str] = {}
         ask: dict[str, None] = {}
         for w in words:
             stem = w[:-1]
-            if w[-1:] in self.marks and w.isascii() and stem[-1:].isalpha():
+            if w[-1:] in self.marks and stem and self._ends_in_letter(stem[-1]):
                 stems[w] = stem
                 if stem not in self.known:
                     ask[stem] = None
@@ -100,8 +115,7 @@ class Encoder:
         missing: set[str] = set()
         for text in texts:
             spaced = " ".join(text.split())
-            low = text.lower()
-            if not text or spaced != text.replace("\n", " ") or "\0" in text or any(s in low for s in self.special):
+            if not text or spaced != text.replace("\n", " ") or "\0" in text or self._may_be_special(text):
                 plans.append(text)
             elif self.keeps_space:
                 lines = [line.replace(" ", "\0 ").split("\0") for line in text.split("\n")]
