@@ -44,15 +44,28 @@ MISMATCH_HAIRPIN = {
     5: [[0, -30, -50, -30, -30], [0, -10, -20, -150, -20], [0, -110, -120, -20, 20], [0, -30, -30, -60, -110]],
     6: [[0, -50, -30, -60, -50], [0, -20, -10, -120, 0], [0, -140, -120, -70, -20], [0, -30, -10, -50, -80]],
 }
+#: Mismatches in interior loops by pair type: rows and columns are gap A C G U.
+MISMATCH_INTERIOR = {
+    1: [[0, 0, 0, 0, 0], [0, 0, 0, -110, 0], [0, 0, 0, 0, 0], [0, -110, 0, 0, 0], [0, 0, 0, 0, -70]],
+    2: [[0, 0, 0, 0, 0], [0, 0, 0, -110, 0], [0, 0, 0, 0, 0], [0, -110, 0, 0, 0], [0, 0, 0, 0, -70]],
+    3: [[0, 0, 0, 0, 0], [0, 70, 70, -40, 70], [0, 70, 70, 70, 70], [0, -40, 70, 70, 70], [0, 70, 70, 70, 0]],
+    4: [[0, 0, 0, 0, 0], [0, 70, 70, -40, 70], [0, 70, 70, 70, 70], [0, -40, 70, 70, 70], [0, 70, 70, 70, 0]],
+    5: [[0, 0, 0, 0, 0], [0, 70, 70, -40, 70], [0, 70, 70, 70, 70], [0, -40, 70, 70, 70], [0, 70, 70, 70, 0]],
+    6: [[0, 0, 0, 0, 0], [0, 70, 70, -40, 70], [0, 70, 70, 70, 70], [0, -40, 70, 70, 70], [0, 70, 70, 70, 0]],
+    7: [[90, 90, 90, 90, 90], [90, 90, 90, 90, -20], [90, 90, 90, 90, 90], [90, -20, 90, 90, 90], [90, 90, 90, 90, 20]],
+}
 #: Dangling bases A C G U on pair types 1 to 6.
 DANGLE_5 = [[-50, -30, -20, -10], [-20, -30, 0, 0], [-30, -30, -40, -20], [-30, -10, -20, -20], [-30, -30, -40, -20], [-30, -10, -20, -20]]
 DANGLE_3 = [[-110, -40, -130, -60], [-170, -80, -170, -120], [-70, -10, -70, -10], [-80, -50, -80, -60], [-70, -10, -70, -10], [-80, -50, -80, -60]]
-TETRALOOPS = {
-    -300: "GGGGAC GGUGAC CGAAAG GGAGAC CGCAAG GGAAAC CGGAAG CUUCGG CGUGAG",
-    -250: "CGAAGG CUACGG GGCAAC CGCGAG UGAGAG",
-    -200: "CGAGAG AGAAAU CGUAAG CUAACG UGAAAG",
-    -150: "GGAAGC GGGAAC UGAAAA AGCAAU AGUAAU CGGGAG AGUGAU GGCGAC GGGAGC GUGAAC UGGAAA",
-}
+TETRALOOPS = [
+    "GGGGAC", "GGUGAC", "CGAAAG", "GGAGAC", "CGCAAG", "GGAAAC", "CGGAAG", "CUUCGG", "CGUGAG", "CGAAGG",
+    "CUACGG", "GGCAAC", "CGCGAG", "UGAGAG", "CGAGAG", "AGAAAU", "CGUAAG", "CUAACG", "UGAAAG", "GGAAGC",
+    "GGGAAC", "UGAAAA", "AGCAAU", "AGUAAU", "CGGGAG", "AGUGAU", "GGCGAC", "GGGAGC", "GUGAAC", "UGGAAA",
+]
+TETRALOOP_BONUS = [
+    -300, -300, -300, -300, -300, -300, -300, -300, -300, -250, -250, -250, -250, -250, -200,
+    -200, -200, -200, -200, -150, -150, -150, -150, -150, -150, -150, -150, -150, -150, -150,
+]
 MULTI_CLOSING, MULTI_STEM, WEAK_END = 340, 40, 50
 NINIO, NINIO_MOST = 50, 300
 LOG_SLOPE = 107.856
@@ -64,17 +77,6 @@ for _type, _bases in enumerate(["CG", "GC", "GU", "UG", "AU", "UA"], 1):
 TURNED = np.array([0, 2, 1, 4, 3, 6, 5, 7], np.int8)
 
 
-def _interior_mismatch() -> np.ndarray:
-    """By rule: 70 for a weak pair, 90 for none; less 110 for A against G, less 70 for U against U (without a pair: A against U, not G)."""
-    out = np.zeros((8, 5, 5), np.int32)
-    out[3:7, 1:, 1:] = 70
-    out[7] = 90
-    for a, b, bonus in [(1, 3, 110), (3, 1, 110), (4, 4, 70)]:
-        out[1:, a, b] -= bonus
-    out[7, 1, 3], out[7, 1, 4] = 90, -20
-    return out
-
-
 @dataclass(frozen=True)
 class Energies:
     """Tables by pair type and base; ``int11``, ``int21`` and ``int22`` are those of small interior loops."""
@@ -115,9 +117,12 @@ def energies(text: str = "") -> Energies:
     hairpin = np.zeros((8, 5, 5), np.int32)
     for t, rows in MISMATCH_HAIRPIN.items():
         hairpin[t, 1:] = rows
+    interior = np.zeros((8, 5, 5), np.int32)
+    for t, rows in MISMATCH_INTERIOR.items():
+        interior[t] = rows
     d5, d3 = np.zeros((8, 5), np.int32), np.zeros((8, 5), np.int32)
     d5[1:7, 1:], d3[1:7, 1:] = DANGLE_5, DANGLE_3
-    tables = {"stack": stack, "mismatch_hairpin": hairpin, "mismatch_interior": _interior_mismatch(), "dangle5": d5, "dangle3": d3, **_small_loops()}
+    tables = {"stack": stack, "mismatch_hairpin": hairpin, "mismatch_interior": interior, "dangle5": d5, "dangle3": d3, **_small_loops()}
     for name, body in re.findall(r"^#\s*(\w+)\s*$([^#]*)", text, re.M):
         if name not in tables:
             raise ValueError(f"no energy table is called {name}")
@@ -127,4 +132,4 @@ def energies(text: str = "") -> Energies:
 
 @functools.cache
 def tetraloop_bonus() -> dict[str, int]:
-    return {loop: bonus for bonus, loops in TETRALOOPS.items() for loop in loops.split()}
+    return dict(zip(TETRALOOPS, TETRALOOP_BONUS))
