@@ -3,11 +3,14 @@
 A block is one row: ``block_id, n_cols, rows`` with ``rows`` an array of structs
 that hold at least ``idx, name, start, strand, seq``, all sequences ``n_cols``
 long.  Blocks are the unit of parallelism: row and column work stays inside
-them, in array functions, and only per-block results are aggregated.
+them, in array functions or an Arrow kernel, and only per-block results are
+aggregated.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,52 +47,59 @@ def count_letters(columns: DataFrame) -> DataFrame:
     return counted.withColumn("n_other", F.col("n_rows") - F.col("n_a") - F.col("n_c") - F.col("n_g") - F.col("n_u") - F.col("n_gap"))
 
 
+#: Columns of a block that the kernel below looks at together.
+COLUMNS_AT_ONCE = 100_000
+COLUMN_FACTS = "matches long, pairs long, entropy_e9 long, consensus string"
+
+
+def column_facts(seqs: list[str], n_cols: int) -> tuple[int, int, int, str]:
+    """Sums over an alignment's columns: equal pairs, pairs that aren't both gaps, entropy in units of 1e-9; and the consensus."""
+    n, matches, pairs, entropy, symbols = len(seqs), 0, 0, 0, []
+    for lo in range(0, n_cols, COLUMNS_AT_ONCE):
+        width = min(COLUMNS_AT_ONCE, n_cols - lo)
+        codes = np.stack([np.frombuffer(s[lo:lo + width].ljust(width, "\0").encode("utf-32-le", "surrogatepass"), "<u4") for s in seqs])
+        counts = np.stack([(codes == ord(x)).sum(0) for x in ["-", *LETTERS]])
+        matches += int((counts[1:] * (counts[1:] - 1) // 2).sum())
+        for x in np.setdiff1d(codes, [0, *map(ord, ["-", *LETTERS])]):
+            same = (codes == x).sum(0)
+            matches += int((same * (same - 1) // 2).sum())
+        pairs += width * (n * (n - 1) // 2) - int((counts[0] * (counts[0] - 1) // 2).sum())
+        share = np.vstack([counts[1:], n - counts[1:].sum(0)]) / n
+        parts = np.where(share > 0, -share * np.log2(np.where(share > 0, share, 1.0)), 0.0).sum(0)
+        # added up as integers, so that slices don't matter
+        entropy += int(np.floor(parts * 1e9 + 0.5).astype(np.int64).sum())
+        symbols.append("".join(np.array(["_", *LETTERS])[counts.argmax(0)]))
+    return matches, pairs, entropy, "".join(symbols)
+
+
+def with_column_facts(blocks: DataFrame) -> DataFrame:
+    """``block_id, n_cols, f`` of every block with columns, ``f`` as :func:`column_facts`; one row in, one out, no exchange."""
+    @F.pandas_udf(COLUMN_FACTS)
+    def facts(rows: pd.Series, n_cols: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([column_facts(list(r), int(n)) for r, n in zip(rows, n_cols)], columns=["matches", "pairs", "entropy_e9", "consensus"])
+
+    seqs = F.transform("rows", lambda r: sq.as_rna(r["seq"]))
+    return blocks.where((F.col("n_cols") > 0) & (F.size("rows") > 0)).select("block_id", "n_cols", facts(seqs, F.col("n_cols")).alias("f"))
+
+
 def mean_pairwise_identity(blocks: DataFrame) -> DataFrame:
     """Per block: matching pairs over pairs that aren't both gaps, pooled over all pairs of rows and columns.
 
     Column counts give both numbers, so rows are never paired.  Letters other
     than A, C, G and U match if they are the same.
     """
-    pairs = lambda n: n * (n - 1) / 2
-    rest = F.filter("letters", lambda c: ~c.isin(*LETTERS, "-"))
-    cols = with_columns(blocks)
-    other = F.aggregate(F.array_distinct(rest), F.lit(0.0), lambda a, x: a + pairs(F.size(F.filter(rest, lambda c: c == x))))
-    def n_of(x: str) -> Column:
-        return F.size(F.filter("letters", lambda c: c == x))
-
-    counts = cols.select("block_id", "n_rows", other.alias("same_other"), *[n_of(x).alias(f"n_{x}") for x in [*LETTERS, "-"]])
-    same = sum((pairs(F.col(f"n_{x}")) for x in LETTERS), F.col("same_other"))
-    return counts.groupBy("block_id").agg(
-        F.sum(same.cast("long")).alias("matches"),
-        F.sum((pairs(F.col("n_rows")) - pairs(F.col("n_-"))).cast("long")).alias("pairs"),
-    ).withColumn("identity", F.round(sq.ratio(100 * F.col("matches"), F.col("pairs")), 4))
+    return with_column_facts(blocks).select("block_id", "f.matches", "f.pairs").withColumn(
+        "identity", F.round(sq.ratio(100 * F.col("matches"), F.col("pairs")), 4))
 
 
 def column_entropy(blocks: DataFrame) -> DataFrame:
     """Per block: mean over columns of the Shannon entropy (base 2) of A, C, G, U and anything else."""
-    c = count_letters(with_columns(blocks))
-
-    def part(n: Column) -> Column:
-        p = n / F.col("n_rows")
-        return F.when(n > 0, -p * F.ln(p) / F.ln(F.lit(2.0))).otherwise(0.0)
-
-    terms = [part(F.col(f"n_{x.lower()}")) for x in LETTERS] + [part(F.col("n_other") + F.col("n_gap"))]
-    # summed as integers, so that the order of rows doesn't matter
-    fixed = F.round(sum(terms[1:], terms[0]) * 1e9).cast("long")
-    return c.groupBy("block_id").agg(F.sum(fixed).alias("s"), F.count("*").alias("n")).select(
-        "block_id", F.round(F.col("s") / F.col("n") / 1e9, 5).alias("entropy"))
+    return with_column_facts(blocks).select("block_id", F.round(F.col("f.entropy_e9") / F.col("n_cols") / 1e9, 5).alias("entropy"))
 
 
 def consensus(blocks: DataFrame) -> DataFrame:
     """Per block: the most frequent symbol of each column, ties to the first of ``_ACGU``; a gap prints ``_``."""
-    c = count_letters(with_columns(blocks))
-    best = F.greatest("n_gap", *[f"n_{x.lower()}" for x in LETTERS])
-    symbol = F.when(F.col("n_gap") == best, "_")
-    for x in LETTERS:
-        symbol = symbol.when(F.col(f"n_{x.lower()}") == best, x)
-    per = c.select("block_id", "col", symbol.alias("symbol"))
-    return per.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("col", "symbol"))).alias("s")).select(
-        "block_id", F.array_join(F.transform("s", lambda x: x["symbol"]), "").alias("consensus"))
+    return with_column_facts(blocks).select("block_id", "f.consensus")
 
 
 def conservation(blocks: DataFrame) -> DataFrame:
@@ -205,9 +215,8 @@ def covariance_of_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
 def block_statistics(blocks: DataFrame) -> DataFrame:
     """Counts of blocks by number of rows and length, with totals, in one grouping-sets aggregation."""
     facts = blocks.select("block_id", F.size("rows").alias("n_rows"), "n_cols")
-    facts.createOrReplaceTempView("_block_facts")
-    return facts.sparkSession.sql("""
-        SELECT CASE WHEN grouping(n_rows) = 0 THEN 'n_rows' WHEN grouping(n_cols) = 0 THEN 'n_cols' ELSE 'total' END AS metric,
-               coalesce(n_rows, n_cols, 0) AS value, count(*) AS blocks, sum(CASE WHEN n_cols = 1 THEN 1 ELSE 0 END) AS single_column
-        FROM _block_facts GROUP BY GROUPING SETS ((n_rows), (n_cols), ())
-    """)
+    metric = F.when(F.grouping("n_rows") == 0, "n_rows").when(F.grouping("n_cols") == 0, "n_cols").otherwise("total")
+    return facts.groupingSets([["n_rows"], ["n_cols"], []], "n_rows", "n_cols").agg(
+        metric.alias("metric"), F.coalesce("n_rows", "n_cols", F.lit(0)).alias("value"), F.count("*").alias("blocks"),
+        F.sum(F.when(F.col("n_cols") == 1, 1).otherwise(0)).alias("single_column"),
+    ).select("metric", "value", "blocks", "single_column")

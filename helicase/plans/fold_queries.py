@@ -72,15 +72,16 @@ def screen(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, shuffle_alignment, screen)}
 
 SQL = {
-    "shuffle_alignment": f"""WITH {CELLS_SQL}, k AS (
+    "shuffle_alignment": f"""WITH {CELLS_SQL}, k AS MATERIALIZED (
             SELECT block_id, col, string_agg(c, '' ORDER BY idx) AS letters FROM cells GROUP BY block_id, col
         ), e AS (
-            SELECT *, length(letters) AS n, list_sum(list_transform(['A', 'C', 'G', 'U', '-'],
-                lambda x: (length(letters) - length(replace(letters, x, ''))) * (length(letters) - length(replace(letters, x, '')) - 1))) AS equal FROM k
+            SELECT block_id, col, letters, n, n_a * (n_a - 1) + n_c * (n_c - 1) + n_g * (n_g - 1) + n_u * (n_u - 1) + n_gap * (n_gap - 1) AS equal FROM (
+                SELECT *, length(letters) AS n, length(letters) - length(replace(letters, 'A', '')) AS n_a, length(letters) - length(replace(letters, 'C', '')) AS n_c, length(letters) - length(replace(letters, 'G', '')) AS n_g, length(letters) - length(replace(letters, 'U', '')) AS n_u, length(letters) - length(replace(letters, '-', '')) AS n_gap FROM k
+            ) counted
         ), g AS (
             SELECT *, regexp_replace(letters, '[^-]', 'N', 'g') || ':' || CASE WHEN n > 1
                 THEN floor((equal * 20 + n * (n - 1)) / (2 * n * (n - 1))::DOUBLE)::BIGINT ELSE 0 END AS kind FROM e
-        ), r AS (
+        ), r AS MATERIALIZED (
             SELECT *, row_number() OVER (PARTITION BY block_id, kind ORDER BY col) AS place,
                    row_number() OVER (PARTITION BY block_id, kind ORDER BY md5(concat_ws(':', 1, block_id, col)), col) AS drawn FROM g
         )
