@@ -18,8 +18,8 @@ from .common import row_key, salted_join, stage
 
 #: Characters that clean prose seldom has; they lower a document's weight.
 NOISE = "#*$%&|<>{}[]~^=_\\"
-#: Ranges that the keys of a source are dealt into.
-RANGES = 4096
+#: Ranges of keys in each unit of their natural logarithm.
+RANGES = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -102,7 +102,10 @@ def mix_sources(
 
     Scale: texts are read once, for a digest of ids and sizes.  Documents
     meet their source's row through salted keys.  Only the range of keys
-    where a source's budget ends, about 1/``ranges`` of it, is sorted.
+    where a source's budget ends is sorted.  Ranges are cut along the
+    logarithm of the keys, where the density of an exponential variable is at
+    most 1/e whatever its weight, so about 1/(e * ``ranges``) of a source's
+    documents is the most that a range holds.
     """
     weights = weights or [5.0, 2.0, 1.0]
     u = uniform(F.col(id_col), seed)
@@ -112,7 +115,7 @@ def mix_sources(
     ), name="sizes").select(
         "id", "row_key", "source", "size", (-F.log("u") / F.col("weight")).alias("key"),
         F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit(""))).alias("skey"),
-    ).withColumn("part", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int"))
+    ).withColumn("part", F.floor((F.ln(F.greatest("key", F.lit(1e-300))) + 700) * ranges).cast("int"))
 
     sums = stage(digest.groupBy("source", "skey", "part").agg(F.sum("size").alias("words")), name="ranges")
     targets = source_targets(
@@ -139,7 +142,7 @@ def mix_sources(
     within = F.col("part") == F.col("cut")
     base = ["id", "row_key", "source", "size", "source_size", "target", "epochs"]
     # without a cut the rest covers nothing (0) or, by rounding, everything
-    early = F.when(F.col("part") < F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(ranges)).otherwise(F.lit(-1))), 1).otherwise(0)
+    early = F.when(F.col("part") < F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(2**31 - 1)).otherwise(F.lit(-1))), 1).otherwise(0)
     clear = known.where(~F.coalesce(within, F.lit(False))).select(*base, early.alias("more"))
     inside = Window.partitionBy("skey").orderBy("key", "id", "size")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))

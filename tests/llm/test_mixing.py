@@ -1,3 +1,4 @@
+from helicase.llm.common import stage
 from helicase.llm.mixing import mix_sources, repeat_documents
 
 from .conftest import SCHEMA, awkward
@@ -50,6 +51,27 @@ def test_reruns_and_partitions_agree(documents):
     assert a == b == c
 
 
+def test_the_sorted_range_is_small_at_any_weight(spark, monkeypatch):
+    """Documents of the least weight fall into as many ranges as others; no range holds over a 100th of a source."""
+    import helicase.llm.mixing as mixing
+
+    staged = {}
+
+    def spied(df, *, name="stage"):
+        staged[name] = stage(df, name=name)
+        return staged[name]
+
+    monkeypatch.setattr(mixing, "stage", spied)
+    texts = ["# " * 12, "word " * 12]
+    df = spark.range(6000).selectExpr("id AS doc_id", f"CASE WHEN id % 2 = 0 THEN '{texts[0]}' ELSE '{texts[1]}' END AS text",
+                                      "CASE WHEN id % 2 = 0 THEN 'noise' ELSE 'prose' END AS source")
+    taken = {r.source: (r.n, r.target) for r in mixing.mix_sources(df).groupBy("source").agg({"taken": "sum", "target": "max"}).toDF("source", "n", "target").collect()}
+    largest = {r.source: r.n for r in staged["ranges"].groupBy("source").agg({"words": "max"}).toDF("source", "n").collect()}
+    for s in ("noise", "prose"):
+        assert largest[s] <= 3000 * 12 / 100
+        assert abs(taken[s][0] - taken[s][1]) <= 12
+
+
 def test_epochs_come_first(spark):
     df = spark.createDataFrame([(i, "w " * 10, "en", "a" if i % 10 else "b", 1, 1, "", "") for i in range(200)], SCHEMA)
     got = mix_sources(df, weights=[1.0, 9.0]).collect()
