@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_batches, stage
 from .words import word_hashes
 
 BUCKETS = 1 << 14
@@ -32,15 +32,17 @@ def ngram_buckets(raw: bytes, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _counts(target_ids: set[int], buckets: int):
+def _counts(target_ids, buckets: int):
+    """Counts of a partition's buckets, in all its texts and in those whose ids the broadcast ``target_ids`` holds."""
     def run(batches):
+        targets = target_ids.value
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                n = np.bincount(ngram_buckets(text or b"", buckets), minlength=buckets)
-                raw += n
-                if i in target_ids:
-                    target += n
+            ids = b.column(0).to_pylist()
+            grams = [ngram_buckets(t or b"", buckets) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            good = [g for i, g in zip(ids, grams) if i in targets]
+            raw += np.bincount(np.concatenate(grams), minlength=buckets) if grams else 0
+            target += np.bincount(np.concatenate(good), minlength=buckets) if good else 0
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
@@ -49,10 +51,11 @@ def _counts(target_ids: set[int], buckets: int):
 
 def log_ratios(docs: DataFrame, target_ids: set[int], buckets: int, smoothing: float) -> np.ndarray:
     """Per bucket, the log of target over raw probability.  Counts cover all documents; the result has ``buckets`` numbers."""
-    sums = docs.mapInArrow(_counts(target_ids, buckets), "bucket long, raw long, target long").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     if not target_ids:
         return np.zeros(buckets)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(target_ids))
+    sums = in_batches(docs, _counts(shared, buckets), "bucket long, raw long, target long").groupBy("bucket").agg(
+        F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in sums.collect():
         raw[r["bucket"]] += r["raw"]
@@ -63,12 +66,12 @@ def log_ratios(docs: DataFrame, target_ids: set[int], buckets: int, smoothing: f
     return np.log(target / target.sum()) - np.log(share)
 
 
-def _scores(ratios: np.ndarray, seed: int):
+def _scores(ratios: np.ndarray):
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
             grams = [ngram_buckets(t or b"", len(ratios)) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            weight = [float(np.bincount(g, minlength=len(ratios)) @ ratios) if len(g) else 0.0 for g in grams]
+            weight = [float(ratios[g].sum()) for g in grams]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(g) for g in grams], pa.int64()), pa.array(weight, pa.float64())],
                 ["doc_id", "n_grams", "log_weight"])
@@ -138,7 +141,7 @@ def importance_resample(
     ratios = log_ratios(rows, ids, buckets, smoothing)
     digest = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.lit(seed))
     u = (F.pmod(digest, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    scored = stage(rows.mapInArrow(_scores(ratios, seed), "doc_id long, n_grams long, log_weight double").withColumn(
+    scored = stage(in_batches(rows, _scores(ratios), "doc_id long, n_grams long, log_weight double").withColumn(
         "key", F.col("log_weight") - F.log(-F.log(u))), name="weights")
     if share is None:
         k = scored.where(F.col("log_weight") >= -margin).count()
