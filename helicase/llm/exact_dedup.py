@@ -20,6 +20,14 @@ from .common import salted_join, shuffle_partitions, stage
 BLOCKS = 256
 #: Cells a hash falls into.
 PROBES = 2
+#: Least and most bytes of a filter whose size the caller leaves open.
+FILTER_BYTES = 1 << 20, 1 << 26
+
+
+def filter_size(rows: int) -> int:
+    """Bytes of the filter for so many rows: the power of two from one byte a row on, within FILTER_BYTES."""
+    low, high = FILTER_BYTES
+    return min(high, max(low, 1 << max(rows - 1, 1).bit_length()))
 
 
 def _cells(h: np.ndarray, cells: int) -> np.ndarray:
@@ -121,7 +129,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     normalise=None,
-    filter_bytes: int = 16 << 20,
+    filter_bytes: int | None = None,
 ) -> DataFrame:
     """One row per document: which copy of its text stays.
 
@@ -135,9 +143,10 @@ def exact_dedup(
     empty table gives no rows.  Other columns are not read.
 
     Scale: ``filter_bytes`` bounds the filter and with it what is sent to the
-    driver and broadcast.  Beyond about two hashes per byte more unique rows
-    are taken for possibly repeated and join the shuffle (of 48-byte
-    digests, not of texts); results don't change.  Groups are counted before
+    driver and broadcast; by default it grows with the rows, a byte or two for
+    each, up to 64 MB.  Beyond about two hashes per byte more unique rows are
+    taken for possibly repeated and join the shuffle (of 48-byte digests, not
+    of texts); results don't change.  Groups are counted before
     the shuffle and joined back with salted keys.
     """
     spark = docs.sparkSession
@@ -149,6 +158,7 @@ def exact_dedup(
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"),
     ), name="digests").withColumn("h", F.xxhash64("sha"))
 
+    filter_bytes = filter_bytes or filter_size(digests.count())
     cells = filter_bytes * 8
     per = cells // BLOCKS
     shared = spark.sparkContext.broadcast(repeated_filter(digests, "h", filter_bytes))
