@@ -2,7 +2,7 @@
 
 A document's histogram of character classes and of its language's common words
 is compared with the reference of that language by Jensen-Shannon distance.
-References are averages over the whole corpus.  A document too short for a
+References are averages over trusted text, or over the whole corpus.  A document too short for a
 histogram to mean anything is not judged by it; one of fewer words than a
 histogram of common words needs is judged by both together, with an allowance
 for what chance adds.
@@ -141,6 +141,7 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str = "lang",
     common: dict[str, list[str]] | None = None,
+    trusted: DataFrame | None = None,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_chars_for_classes: int = 200,
@@ -166,15 +167,21 @@ def quality_rules(
 
     Scale: texts are read once; the shuffle holds one row of means per task
     and language.  References (one row per language of ``common``) are made
-    from all documents that pass the base rules, then once more from those
-    of them within the limits, and broadcast.
+    from all rows of ``trusted`` (columns as ``docs``) that pass the base
+    rules.  Without such text they come from all documents that pass them, then
+    once more from those of them within the limits; a corpus of mostly junk
+    then takes junk for the norm.  They are broadcast.
     """
     common = COMMON_WORDS if common is None else common
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col), F.col(lang_col)).alias("row_key"),
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    features = stage(in_batches(rows, _features(common), FEATURES), name="features").withColumn(
-        "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+
+    def counted(table: DataFrame, doc_id: Column) -> DataFrame:
+        rows = table.select(
+            doc_id.cast("long").alias("doc_id"), row_key(F.col(text_col), F.col(lang_col)).alias("row_key"),
+            F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        return in_batches(rows, _features(common), FEATURES).withColumn(
+            "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+
+    features = stage(counted(docs, F.col(id_col)), name="features")
 
     # n words over k + 1 bins diverge from their own source by k / (8 n ln 2) on average
     chance = (F.size("ref_common") - 1) / (8 * math.log(2)) * F.greatest(1 / F.col("n_words") - 1 / min_words_for_common, F.lit(0.0))
@@ -191,12 +198,14 @@ def quality_rules(
         ).withColumn(
             "near", (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & ~F.coalesce(strange, F.lit(False)))
 
-    sound = features.where("NOT base_failed")
-    first = stage(references(sound, common), name="references")
-    within = measured(first).where("NOT base_failed AND near").select("lang", "chars", "common")
-    second = references(within, common)
-    # a language of which nothing is near its first reference keeps that
-    final = stage(second.unionByName(first.join(second.select("ref_lang"), "ref_lang", "left_anti")), name="references")
+    sound = (features if trusted is None else counted(trusted, F.lit(None))).where("NOT base_failed")
+    final = stage(references(sound, common), name="references")
+    if trusted is None:
+        first = final
+        within = measured(first).where("NOT base_failed AND near").select("lang", "chars", "common")
+        second = references(within, common)
+        # a language of which nothing is near its first reference keeps that
+        final = stage(second.unionByName(first.join(second.select("ref_lang"), "ref_lang", "left_anti")), name="references")
     return measured(final).select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & F.col("near")).alias("kept"), "row_key")

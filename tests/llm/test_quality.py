@@ -1,8 +1,12 @@
+import math
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 
-from helicase.llm.importance import importance_resample, kth_largest
-from helicase.llm.quality_rules import keep_good, quality_rules
+import pytest
+
+from helicase.llm.importance import BUCKETS, importance_resample, kth_largest, ngram_buckets
+from helicase.llm.quality_rules import COMMON_WORDS, keep_good, quality_rules
 
 from .conftest import SCHEMA, awkward, prose, rows_of
 
@@ -84,3 +88,106 @@ def test_junk_just_over_the_base_rule(spark):
     assert not [r for r in judged if r.base_failed]
     assert {r.doc_id for r in judged if r.kept} == {i for i, _ in good}
     assert any(r.class_distance <= 0.25 for r in judged if 200 <= r.doc_id < 300)
+
+
+def brute_weights(docs, good, smoothing=1.0):
+    """Log weights by dictionaries of n-gram counts."""
+    grams = {i: [int(x) for x in ngram_buckets((t or "").encode())] for i, t in docs}
+    raw = Counter(x for g in grams.values() for x in g)
+    target = Counter(x for i in good for x in grams[i])
+    unseen = 1e-3
+    mass = sum(raw.values()) + unseen * BUCKETS
+    whole = sum(target.values()) + smoothing * BUCKETS
+
+    def log_ratio(x):
+        share = (raw[x] + unseen) / mass
+        return math.log((target[x] + smoothing * BUCKETS * share) / whole) - math.log(share)
+
+    return {i: sum(map(log_ratio, g)) for i, g in grams.items()}
+
+
+def test_importance_weights_by_brute_force(spark):
+    docs = [(i, t) for i, (_, t, *_) in enumerate(awkward())]
+    good = [0, 4, 11]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(2, 0, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows_of(docs), SCHEMA)
+    got = importance_resample(df, labels, share=0.4).collect()
+    want = brute_weights(docs, good)
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        assert r.log_weight == pytest.approx(want[r.doc_id], abs=1e-8)
+    largest = sorted((r.key for r in got), reverse=True)[:round(0.4 * len(docs))]
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in got if r.key >= largest[-1]}
+
+
+def histograms(text, lang):
+    kinds = Counter()
+    for c in text:
+        category = unicodedata.category(c)
+        if c in " \t\n\v\f\r":
+            kind = "space"
+        elif c in ".,;:?!'\"()-":
+            kind = "stop"
+        elif c in "#*$%&|<>":
+            kind = "symbol"
+        else:
+            kind = {"Ll": "lower", "Lu": "upper", "Lt": "upper"}.get(category, "letter" if category[0] in "LM" else "digit" if category[0] == "N" else "mark")
+        kinds[kind] += 1
+    words = Counter(re.findall(r"[^\x20\x09-\x0D]+", text))
+    n = sum(words.values())
+    own = {w: words[w] / n for w in COMMON_WORDS[lang]}
+    return {k: v / len(text) for k, v in kinds.items()}, own | {None: 1 - sum(own.values())}
+
+
+def distance(p, q):
+    middle = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in [*p, *q]}
+    parts = [x * math.log2(x / middle[k]) for h in (p, q) for k, x in h.items() if x > 0]
+    return math.sqrt(max(sum(parts) / 2, 0))
+
+
+def mean(rows):
+    total = defaultdict(float)
+    for r in rows:
+        for k, x in r.items():
+            total[k] += x / len(rows)
+    return total
+
+
+@pytest.mark.parametrize("by_trust", [False, True])
+def test_distances_by_brute_force(spark, by_trust):
+    texts = {i: prose(i, 120 + i) for i in range(30)}
+    texts |= {100: prose(70, 150).upper(), 101: " | ".join(f"w{i}x" for i in range(150)), 102: "Ünï 12 — " * 2 + prose(8, 130), 103: prose(9, 60)}
+    trust = {500 + i: prose(500 + i, 110) for i in range(10)}
+    table = lambda t: spark.createDataFrame(rows_of(list(t.items())), SCHEMA)
+    got = {r.doc_id: r for r in quality_rules(table(texts), trusted=table(trust) if by_trust else None).collect()}
+    assert not any(r.base_failed for r in got.values())
+    shown = {i: histograms(t, "en") for i, t in texts.items()}
+
+    def judged(refs):
+        out = {}
+        for i, t in texts.items():
+            n = len(t.split())
+            classes, words = (distance(a, b) for a, b in zip(shown[i], refs))
+            chance = len(COMMON_WORDS["en"]) / (8 * math.log(2)) * max(1 / n - 1 / 100, 0)
+            strange = (n >= 100 or classes > 0.125) and words > math.sqrt(0.27**2 + chance)
+            out[i] = classes, words, classes <= 0.25 and not strange
+        return out
+
+    if by_trust:
+        want = judged([mean(h) for h in zip(*[histograms(t, "en") for t in trust.values()])])
+    else:
+        first = judged([mean(h) for h in zip(*shown.values())])
+        want = judged([mean(h) for h in zip(*[shown[i] for i, (_, _, kept) in first.items() if kept])])
+    for i, (classes, words, kept) in want.items():
+        assert got[i].class_distance == pytest.approx(classes, abs=1e-9)
+        assert got[i].common_distance == pytest.approx(words, abs=1e-9)
+        assert got[i].kept == kept
+    assert not got[100].kept and not got[101].kept
+
+
+def test_trusted_text_judges_a_corpus_of_junk(spark):
+    junk = [(i, " ".join(f"{w}%%%".upper() for w in prose(i, 120).split())) for i in range(40)]
+    docs = spark.createDataFrame(rows_of(junk + [(100, prose(100, 150))]), SCHEMA)
+    trusted = spark.createDataFrame(rows_of([(i, prose(200 + i, 150)) for i in range(5)]), SCHEMA)
+    assert {r.doc_id for r in quality_rules(docs, trusted=trusted).where("kept").collect()} == {100}
+    assert quality_rules(docs, trusted=trusted.where("false")).where("class_distance IS NOT NULL").count() == 0
