@@ -30,14 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """The folder of this application's staged tables, for :func:`remove_staged` or, once it has ended, anyone to delete."""
+    return f"{shared_dir(spark)}/helicase/{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged.
+
+    Results that aren't written yet read them, so this comes last.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, *, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This runs the plan once, cuts its lineage and survives the loss of any
-    executor, as the files don't live on one.
+    executor, as the files don't live on one.  The table stays until
+    :func:`remove_staged`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/helicase/{name}-{uuid.uuid4().hex}"
+    path = temp_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -171,8 +186,8 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def temp_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/helicase/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def tokenizer_path(name: str) -> str:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from helicase.llm.exact_dedup import exact_dedup
+from helicase.llm.exact_dedup import exact_dedup, filter_size
 
 from .conftest import SCHEMA, awkward, rows_of
 
@@ -47,3 +47,19 @@ def test_large_group(spark):
     out = exact_dedup(df)
     assert out.where("kept").count() == 2001
     assert out.where("group_size = 1000 AND keep_id = 2997").count() == 1000
+
+
+def test_filter_size_follows_the_rows():
+    assert [filter_size(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 10**7, 10**12)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 24, 1 << 26]
+
+
+def test_staged_tables_can_be_removed(spark, documents):
+    import os
+
+    from helicase.llm import common
+
+    staged = common.stage(documents.limit(1))
+    assert staged.count() == 1
+    assert os.listdir(common.staged_dir(spark).removeprefix("file:"))
+    common.remove_staged(spark)
+    assert not os.path.exists(common.staged_dir(spark).removeprefix("file:"))
