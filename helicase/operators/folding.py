@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.energy import energies
 from ..functions.folding import Fold, dot_bracket, encode, pair_scores
+from .blocks import remove_common_gaps
 
 #: Cells (rows times width squared) that one batch may fill.
 BATCH_CELLS = 400_000
@@ -184,6 +185,61 @@ def shuffle_columns(columns: DataFrame, *, level: int = 2, seed: int = 1) -> Dat
     return to.join(what, ["block_id", "kind", "rank"]).select("block_id", "col", "letters", "from_col")
 
 
+def identities(rows: list[str]) -> np.ndarray:
+    """Share of equal letters of every two rows, columns in which both have a gap left out."""
+    codes = np.stack([np.frombuffer(r.upper().encode(), np.uint8) for r in rows])
+    shown = (codes[:, None] != ord("-")) | (codes[None] != ord("-"))
+    return ((codes[:, None] == codes[None]) & shown).sum(2) / np.maximum(1, shown.sum(2))
+
+
+def farthest(same: np.ndarray, left: list[int], best: float) -> int:
+    """Of ``left`` but its first, the row whose identities with the others lie furthest from ``best``."""
+    costs = [((same[i, left] - best) ** 2).sum() - (same[i, i] - best) ** 2 for i in left[1:]]
+    return left[1 + int(np.argmax(costs))]
+
+
+def samples_of_rows(rows: list[str], samples: int, *, most: int, least: int, best: float, alike: float, seed: int) -> list[list[int]]:
+    """Indices of ``samples`` choices of rows, the first row in each; later choices avoid rows that earlier ones took."""
+    same, used = identities(rows), np.zeros(len(rows))
+    rng, out = np.random.default_rng(seed), []
+    for number in range(samples):
+        left = list(range(len(rows)))
+        for i, j in [(i, j) for i in left for j in left if i < j and same[i, j] > alike]:
+            if i in left and j in left and len(left) > least:
+                # of two alike, rather the one that has been taken before
+                earlier = i > 0 and rng.random() * (used[i] + used[j]) < used[i]
+                left.remove(i if earlier else j)
+        for _ in range((len(left) - most) // 2 if number else 0):
+            weights = used[left[1:]]
+            if weights.sum() > 0:
+                left.remove(int(rng.choice(left[1:], p=weights / weights.sum())))
+        while len(left) > most:
+            left.remove(farthest(same, left, best))
+        used[left] += 1
+        out.append(left)
+    return out
+
+
+def sample_rows(blocks: DataFrame, *, samples: int = 1, most: int = 6, least: int = 2, best: float = 0.8, alike: float = 0.95) -> DataFrame:
+    """``samples`` choices of rows of every block, each a block with ``sample_no`` (from 1) and without columns of gaps alone.
+
+    Of two rows more than ``alike`` identical one goes while more than
+    ``least`` are left; then, while more than ``most`` are left, the one whose
+    identities lie furthest from ``best``.  Choices after the first drop rows
+    taken before with a chance by how often they were.  The first row stays
+    in each.  Draws are seeded by the rows, so reruns agree.  Blocks without
+    rows go.
+    """
+    @F.pandas_udf("array<array<int>>")
+    def chosen(rows: pd.Series) -> pd.Series:
+        return pd.Series([samples_of_rows(list(r), samples, most=most, least=least, best=best, alike=alike, seed=zlib.crc32("\n".join(r).encode())) for r in rows])
+
+    each = blocks.where(F.size("rows") > 0).withColumn("_chosen", chosen(F.transform("rows", lambda r: r["seq"])))
+    each = each.select("*", F.posexplode("_chosen").alias("_no", "_kept")).withColumn("sample_no", F.col("_no") + 1)
+    cut = each.withColumn("rows", F.transform("_kept", lambda i: F.get("rows", i))).drop("_chosen", "_no", "_kept")
+    return remove_common_gaps(cut)
+
+
 def select_rows_udf(*, most: int = 6, best: float = 0.8, alike: float = 0.95):
     """A function of an alignment's rows: indices of those to keep, the first always among them.
 
@@ -193,16 +249,12 @@ def select_rows_udf(*, most: int = 6, best: float = 0.8, alike: float = 0.95):
     @F.pandas_udf("array<int>")
     def select(blocks: pd.Series) -> pd.Series:
         def one(rows):
-            codes = np.stack([np.frombuffer(r.upper().encode(), np.uint8) for r in rows])
-            shown = (codes[:, None] != ord("-")) | (codes[None] != ord("-"))
-            same = ((codes[:, None] == codes[None]) & shown).sum(2) / np.maximum(1, shown.sum(2))
-            left = []
+            same, left = identities(rows), []
             for i in range(len(rows)):
                 if all(same[i, j] <= alike for j in left):
                     left.append(i)
             while len(left) > most:
-                far = [((same[i, left] - best) ** 2).sum() - (same[i, i] - best) ** 2 for i in left[1:]]
-                left.pop(1 + int(np.argmax(far)))
+                left.remove(farthest(same, left, best))
             return left
 
         return pd.Series([None if b is None or not len(b) else one(list(b)) for b in blocks])

@@ -76,10 +76,15 @@ def slice_features(blocks: DataFrame, features: DataFrame, *, flank: int = 0, se
     return left.withColumn("local_start", F.greatest(F.col("o_start") - F.get("rows", F.lit(0))["start"], F.lit(0)))
 
 
-def ragged_windows(blocks: DataFrame, *, size: int, step: int | None = None) -> DataFrame:
-    """Windows of ``size`` columns every ``step`` (``size`` if not given); the last may be shorter."""
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n_cols") - 1, F.lit(0)), F.lit(step or size))
-    each = blocks.where("n_cols > 0").withColumn("_at", F.explode(starts))
+def ragged_windows(blocks: DataFrame, *, size: int, step: int | None = None, past_end: bool = True) -> DataFrame:
+    """Windows of ``size`` columns every ``step`` (``size`` if not given); the last may be shorter.
+
+    Without ``past_end`` none begins after the first that reaches the end.
+    """
+    step = step or size
+    n = F.col("n_cols")
+    last = n - 1 if past_end else F.ceil((n - size) / step).cast("int") * step
+    each = blocks.where("n_cols > 0").withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))))
     return slice_columns(each, F.col("_at"), F.col("_at") + size).drop("_at")
 
 

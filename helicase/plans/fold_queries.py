@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..operators import folding as ops
 from ..operators import models, screen as screens
+from ..operators.shuffled_screen import shuffled_screen as screen_by_shuffles
 from .fixtures import CELLS_SQL, blocks, read
 
 
@@ -44,6 +45,19 @@ def select_sequences(spark, sf_dir):
     return blocks(spark, sf_dir).select("block_id", F.size("rows").alias("n_rows"), chosen.alias("kept_rows"))
 
 
+def sample_sequences(spark, sf_dir):
+    """Two choices of three rows of every block."""
+    out = ops.sample_rows(blocks(spark, sf_dir).where("n_cols > 0"), samples=2, most=3)
+    return out.select("block_id", "sample_no", F.col("n_cols").cast("long").alias("n_cols"), F.transform("rows", lambda r: r["idx"]).alias("kept_rows"))
+
+
+def shuffled_screen(spark, sf_dir):
+    """Alignments of up to four sequences against a hundred shuffled copies, where they fold at all."""
+    row = lambda s, i: F.struct(i.alias("idx"), F.lit(0).cast("long").alias("start"), F.lit("+").alias("strand"), s.alias("seq"))
+    made = small_blocks(spark, sf_dir).select("block_id", F.length(F.get("seqs", F.lit(0))).alias("n_cols"), F.transform("seqs", row).alias("rows"))
+    return screen_by_shuffles(made, samples=100, threshold=-0.01)
+
+
 def shuffle_alignment(spark, sf_dir):
     b = blocks(spark, sf_dir).where("n_cols > 0").select("block_id", F.transform("rows", lambda r: F.split(sq.as_rna(F.upper(r["seq"])), "")).alias("cells"))
     columns = b.select("block_id", F.posexplode(F.transform(
@@ -69,7 +83,7 @@ def screen(spark, sf_dir):
                         "energy", "covariance", "comb_per_pair", "z", "sci", "dec_value", "p", "locus")
 
 
-QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, shuffle_alignment, screen)}
+QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, sample_sequences, shuffled_screen, shuffle_alignment, screen)}
 
 SQL = {
     "shuffle_alignment": f"""WITH {CELLS_SQL}, k AS MATERIALIZED (

@@ -1,6 +1,7 @@
 """Folding against exhaustive enumeration, and the shuffles' invariants."""
 
 import os
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from helicase.functions.energy import energies
 from helicase.functions.folding import Fold, dot_bracket, encode, pair_list, pair_scores, structure_energy
 from helicase.operators import folding as ops
+from helicase.operators.shuffled_screen import shuffled_pattern, shuffled_screen
 
 TRNA = [
     "GCCTTGTTGGCGCAATCGGTAGCGCGTATGACTCTTAATCATAAGGTTAGGGGTTCGAGCCCCCTACAGGGCT",
@@ -88,3 +90,54 @@ def test_operators(spark):
     assert made[1]["consensus_mfe"] == Fold([TRNA], energies(), scores=pair_scores(encode(TRNA))[None]).energy()[0] and made[2]["structure"] is None and made[3]["n_pairs"] is None
     kept = {r["b"]: r["k"] for r in blocks.select("b", ops.select_rows_udf(most=2)("rows").alias("k")).collect()}
     assert kept == {1: [0, 3], 2: None, 3: None}
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.tuples(*[st.sampled_from("ACGU-")] * n), min_size=1, max_size=30)), st.integers(0, 99))
+def test_pattern_shuffle_moves_columns_among_their_kind(columns, seed):
+    rows = ["".join(r) for r in zip(*columns)]
+    got = shuffled_pattern(rows, np.random.default_rng(seed))
+    assert Counter(zip(*got)) == Counter(columns)
+    kind = lambda col: tuple("-" if c == "-" else col.index(c) for c in col)
+    assert [kind(c) for c in zip(*got)] == [kind(c) for c in columns]
+
+
+def test_shuffled_screen(spark):
+    rows = lambda seqs: [(i, 0, "+", s) for i, s in enumerate(seqs)]
+    data = [(1, 73, rows(TRNA)), (2, 20, rows(["A" * 20, "A" * 20])), (3, 0, []), (4, 14, rows(["GGGGCUUCGGCCCC"]))]
+    df = spark.createDataFrame(data, "block_id long, n_cols int, rows array<struct<idx: int, start: long, strand: string, seq: string>>")
+    got = {(r.block_id, r.strand): r for r in shuffled_screen(df, samples=7, threshold=-0.01).collect()}
+    assert set(got) == {(b, s) for b in (1, 2, 4) for s in "+-"}
+    assert got[2, "+"].mfe == 0.0 and got[2, "+"].z is None and got[2, "-"].mean_mfe is None
+    assert got[4, "+"].mfe == pytest.approx(-12.5, abs=1e-4)
+    rna = [s.replace("T", "U") for s in TRNA]
+    seed = zlib.crc32("\n".join(rna).encode())
+    drawn = [shuffled_pattern(rna, np.random.default_rng([seed, i])) for i in range(7)]
+    each = [Fold([d], energies(), scores=pair_scores(encode(d))[None]).energy()[0] for d in drawn]
+    r = got[1, "+"]
+    assert (r.mean_mfe, r.sd_mfe) == (pytest.approx(np.mean(each)), pytest.approx(np.std(each)))
+    assert r.z == pytest.approx((r.mfe - np.mean(each)) / np.std(each)) and r.z < 0
+    cut = shuffled_screen(df, size=40, step=20, samples=2, strands="+", threshold=-99).orderBy("block_id", "slice_start").collect()
+    assert [(r.block_id, r.slice_start, r.slice_end) for r in cut] == [(1, 0, 40), (1, 20, 60), (1, 40, 73), (2, 0, 20), (4, 0, 14)]
+
+
+def test_samples_of_rows(spark):
+    rng = np.random.default_rng(5)
+    base = rng.choice(list("ACGU"), 60)
+    seqs = []
+    for i in range(12):
+        own = base.copy()
+        at = rng.choice(60, 4 + 2 * i, replace=False)
+        own[at] = rng.choice(list("ACGU-"), len(at))
+        seqs.append("".join(own))
+    got = ops.samples_of_rows(seqs, 3, most=4, least=2, best=0.8, alike=0.95, seed=1)
+    assert all(g[0] == 0 and len(g) == 4 == len(set(g)) for g in got) and len(set(map(tuple, got))) > 1
+    same = ops.samples_of_rows([seqs[0]] * 5, 2, most=4, least=2, best=0.8, alike=0.95, seed=1)
+    assert [len(g) for g in same] == [2, 2]
+    blocks = spark.createDataFrame([(1, 60, [(i, s) for i, s in enumerate(seqs)]), (2, 0, []), (3, 3, [(0, "A-C"), (1, "A-G")])],
+                                   "block_id int, n_cols int, rows array<struct<idx: int, seq: string>>")
+    made = {(r.block_id, r.sample_no): r for r in ops.sample_rows(blocks, samples=2, most=4).collect()}
+    assert set(made) == {(1, 1), (1, 2), (3, 1), (3, 2)}
+    chosen = blocks.select(ops.select_rows_udf(most=4)(F.transform("rows", lambda r: r["seq"])).alias("k")).first()["k"]
+    assert [r.idx for r in made[1, 1].rows] == chosen
+    assert made[3, 1].n_cols == 2 and [r.seq for r in made[3, 1].rows] == ["AC", "AG"]
