@@ -44,6 +44,7 @@ class Encoder:
         #: what parts words that are encoded together; its id marks their ends
         self.divider = "\n" if self.keeps_space else " 0 "
         self.divides = np.frombuffer(self._whole(self.divider), "<u4")
+        self.joint, self.bound = self._boundaries()
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.marks = {m: self._whole(m) for m in ".,"}
@@ -52,6 +53,19 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
+    def _boundaries(self) -> tuple[str, np.ndarray]:
+        """What parts words in one text, and which ids tell them apart: those that start with a space, or that end a word."""
+        vocabulary = self.tok.get_vocab()
+        bound = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.keeps_space:
+            space = self.tok.id_to_token(int(np.frombuffer(self._whole(" "), "<u4")[0]))
+            bound[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+            return "", bound
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        if suffix:
+            bound[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return " ", bound
+
     def _may_be_special(self, text: str) -> bool:
         """Whether the text holds the first two characters of a special token, in either case."""
         if not any(s[0] in text or s[0].upper() in text for s in self.special):
@@ -69,25 +83,42 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Encode distinct words, each on its own, and remember them."""
         # a letter and a mark after it are never one piece, unless the letter is normalised to end in a mark of its own
-        stems: dict[str, str] = {}
-        ask: dict[str, None] = {}
-        for w in words:
-            stem = w[:-1]
-            if w[-1:] in self.marks and stem and self._ends_in_letter(stem[-1]):
-                stems[w] = stem
-                if stem not in self.known:
-                    ask[stem] = None
-            else:
-                ask[w] = None
-        together = [w for w in ask if w.isascii() and w.lstrip(" ").isalpha()]
-        self._encode_joined(together)
-        self._encode([w for w in ask if w not in self.known])
+        stems = {w: w[:-1] for w in words if w[-1:] in self.marks and w[:-1] and self._ends_in_letter(w[-2])}
+        known = self.known
+        ask = {w for w in words if w not in stems}
+        ask.update(stem for stem in stems.values() if stem not in known)
+        # a word that starts with a space has one id that does; a word of letters has one id that ends it
+        marked = [w for w in ask if (w[:1] == " " if self.keeps_space else w.isalpha())]
+        if not self._encode_marked(marked):
+            self._encode_joined([w for w in marked if w.isascii() and w.lstrip(" ").isalpha()])
+        ask = ask.difference(known)
+        if not self.keeps_space:
+            self._encode_joined([w for w in ask if "0" not in w])
+            ask = ask.difference(known)
+        self._encode(list(ask))
         for w, stem in stems.items():
-            self.known[w] = self.known[stem] + self.marks[w[-1]]
-        self.held += sum(len(w) + len(self.known[w]) for w in words)
+            known[w] = known[stem] + self.marks[w[-1]]
+        self.held += sum(map(len, words)) + sum(map(len, map(known.__getitem__, words)))
+
+    def _encode_marked(self, words: list[str]) -> bool:
+        """Words in one text, told apart by the ids that begin or end a word; whether that is certain.
+
+        Every word has at least one such id, so as many of them as words means one each.
+        """
+        if not words:
+            return True
+        raw = self._whole(self.joint.join(words))
+        at = np.flatnonzero(self.bound[np.frombuffer(raw, "<u4")])
+        if len(at) != len(words):
+            return False
+        cuts = [*(at * 4).tolist(), len(raw)] if self.keeps_space else [0, *((at + 1) * 4).tolist()]
+        if cuts[0] or cuts[-1] != len(raw):
+            return False
+        self.known.update((w, raw[cuts[i]:cuts[i + 1]]) for i, w in enumerate(words))
+        return True
 
     def _encode_joined(self, words: list[str]) -> None:
-        """Words of ASCII letters in one text, which costs less than each alone."""
+        """Words without the divider's digit or line feed in one text, parted by it, which costs less than each alone."""
         if not words or len(self.divides) != 1:
             return
         raw = self._whole(self.divider.join(words))
@@ -114,18 +145,17 @@ class Encoder:
         plans: list = []
         missing: set[str] = set()
         for text in texts:
-            spaced = " ".join(text.split())
-            if not text or spaced != text.replace("\n", " ") or "\0" in text or self._may_be_special(text):
+            words = text.split()
+            if not text or " ".join(words) != text.replace("\n", " ") or "\0" in text or self._may_be_special(text):
                 plans.append(text)
             elif self.keeps_space:
                 lines = [line.replace(" ", "\0 ").split("\0") for line in text.split("\n")]
                 plans.append(lines)
                 for line in lines:
-                    missing.update([w for w in line if w not in known])
+                    missing.update(set(line).difference(known))
             else:
-                words = spaced.split(" ")
                 plans.append([words])
-                missing.update([w for w in words if w not in known])
+                missing.update(set(words).difference(known))
         if missing:
             self._learn(list(missing))
         get = known.__getitem__
