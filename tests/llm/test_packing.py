@@ -47,6 +47,20 @@ def test_every_letter_and_mixed_scripts(name):
     assert not wrong, wrong[:3]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_boundaries_do_not_tell_apart(name):
+    """Where ids at word boundaries can't tell joined words apart, they are encoded otherwise, to the same ids."""
+    texts = [prose(i) for i in range(5)] + ["ab cd ef. 10 a0b\nx-y z, \u0958 \u0958x.", "ab cd"]
+    want = [x[:-1] for x in ids_of(name, texts, 0)]
+    enc = Encoder(name)
+    assert enc._encode_marked([" ab", " cd"] if enc.keeps_space else ["ab", "cd"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    enc = Encoder(name)
+    enc.bound = np.zeros_like(enc.bound)
+    assert not enc._encode_marked(["ab"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
 @given(st.integers(1, 5000))
 def test_cuts_fill_classes(total):
     lengths = cut_lengths(total, 1024, 32)
