@@ -7,10 +7,12 @@ all positions of all alignments of the batch at once, summed over rows;
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
-from .energy import BULGE, INF, INTERIOR, MAX_LOOP, MULTI_CLOSING, MULTI_STEM, NINIO, NINIO_MOST, PAIR, TURNED, WEAK_END, Energies, tetraloop_bonus
+from .energy import BULGE, INF, INTERIOR, LOG_SLOPE, MAX_LOOP, MULTI_CLOSING, MULTI_STEM, NINIO, NINIO_MOST, PAIR, TURNED, WEAK_END, Energies, tetraloop_bonus
 
 TURN = 3
 #: Least covariance score of a consensus pair.
@@ -219,11 +221,62 @@ def pair_list(structure: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _by_size(table: list[int], size: int) -> int:
+    return table[size] if size <= MAX_LOOP else table[MAX_LOOP] + int(LOG_SLOPE * math.log(size / MAX_LOOP))
+
+
 def structure_energy(seq: str, structure: str, e: Energies) -> float:
-    """Energy of a given structure: a fold in which only its pairs are free, each worth more than any loop costs."""
-    n, sure = len(seq), 1_000_000
-    scores = np.full((1, n, n), FORBIDDEN, np.int32)
-    pairs = pair_list(structure)
-    for i, j in pairs:
-        scores[0, i, j] = sure
-    return float(np.float32((Fold([[seq]], e, scores=scores).upto[0, n] + sure * len(pairs)) / 100.0))
+    """Energy of a given structure, the sum over its loops; the time is linear in the sequence."""
+    n, code = len(seq), [*encode([seq])[0].tolist(), 0] if seq else [0]  # code[-1] and code[n] are beyond the ends
+    partner = dict(pair_list(structure))
+
+    def kind(i: int, j: int) -> int:
+        return int(PAIR[code[i], code[j]]) or 7
+
+    def weak(t: int) -> int:
+        return WEAK_END if t > 2 else 0
+
+    def stems(at: int, end: int) -> list[tuple[int, int]]:
+        """The outermost pairs from ``at`` on, before ``end``."""
+        out = []
+        while at < end:
+            if at in partner:
+                out.append((at, partner[at]))
+                at = partner[at]
+            at += 1
+        return out
+
+    def stem(i: int, j: int) -> int:
+        t = kind(i, j)
+        return weak(t) + e.dangle5[t, code[i - 1]] + e.dangle3[t, code[j + 1]]
+
+    def loop(i: int, j: int) -> int:
+        """The loop that a pair closes."""
+        t, after, before, inner = kind(i, j), code[i + 1], code[j - 1], stems(i + 1, j)
+        if not inner:
+            size = j - i - 1
+            if size == 3:
+                return e.hairpin(size) + weak(t)
+            return e.hairpin(size) + e.mismatch_hairpin[t, after, before] + (tetraloop_bonus().get(seq[i:j + 1], 0) if size == 4 else 0)
+        if len(inner) > 1:
+            closing = e.dangle3[TURNED[t], after] + e.dangle5[TURNED[t], before] + weak(t)
+            return MULTI_CLOSING + MULTI_STEM + closing + sum(MULTI_STEM + stem(*x) for x in inner)
+        (p, q), = inner
+        l1, l2, t2, near, far = p - i - 1, j - q - 1, kind(q, p), code[p - 1], code[q + 1]
+        if l1 + l2 < 2:
+            return e.stack[t, t2] + (BULGE[1] if l1 + l2 else 0)
+        if not l1 or not l2:
+            return _by_size(BULGE, l1 + l2) + weak(t) + weak(t2)
+        if (l1, l2) == (1, 1):
+            return e.int11[t, t2, after, before]
+        if (l1, l2) == (1, 2):
+            return e.int21[t, t2, after, far, before]
+        if (l1, l2) == (2, 1):
+            return e.int21[t2, t, far, after, near]
+        if (l1, l2) == (2, 2):
+            return e.int22[t, t2, after, near, far, before]
+        mismatches = e.mismatch_interior[t, after, before] + e.mismatch_interior[t2, far, near]
+        return _by_size(INTERIOR, l1 + l2) + min(NINIO_MOST, abs(l1 - l2) * NINIO) + mismatches
+
+    total = sum(stem(*x) for x in stems(0, n)) + sum(loop(*x) for x in partner.items())
+    return float(np.float32(int(total) / 100.0))

@@ -42,6 +42,47 @@ def test_fold_is_the_least_of_all_structures(seq):
     assert Fold([[seq]], e).energy()[0] == pytest.approx(min(least, 0.0), abs=1e-5)
 
 
+def folded_energy(seq: str, structure: str) -> float:
+    """Energy of a structure by a fold in which only its pairs are free, each worth more than any loop costs."""
+    n, sure, pairs = len(seq), 1_000_000, pair_list(structure)
+    scores = np.full((1, n, n), -10_000, np.int32)
+    for i, j in pairs:
+        scores[0, i, j] = sure
+    return float((Fold([[seq]], energies(), scores=scores).upto[0, n] + sure * len(pairs)) / 100.0)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.data())
+def test_structure_energy_is_that_of_a_fold(data):
+    """Any structure, of bases that pair or not: all sorts of loops, up to 30 bases in one."""
+    seq = data.draw(st.text("ACGU", min_size=5, max_size=45))
+    structure, opened, left = [], [], len(seq)
+    for i in range(len(seq)):
+        may_close = opened and i - opened[-1] > 3 and "(" not in structure[-3:]
+        may_open = left - i > 2 * len(opened) + 5
+        c = data.draw(st.sampled_from(["."] * 2 + ["("] * 2 * bool(may_open) + [")"] * 2 * bool(may_close)))
+        structure.append(c)
+        if c == "(":
+            opened.append(i)
+        elif c == ")":
+            opened.pop()
+    for i in opened:
+        structure[i] = "."
+    text = "".join(structure)
+    assert structure_energy(seq, text, energies()) == pytest.approx(folded_energy(seq, text), abs=1e-4)
+
+
+def test_structure_energy_of_long_sequences():
+    import time
+
+    n = 4000
+    start = time.perf_counter()
+    deep = structure_energy("G" * n + "AAAA" + "C" * n, "(" * n + "...." + ")" * n, energies())
+    wide = structure_energy("GGGAAAACCC" * n, "(((....)))" * n, energies())
+    assert time.perf_counter() - start < 10 and deep < -10_000 and wide < 0
+    assert structure_energy("", "", energies()) == structure_energy("ACGU", "....", energies()) == 0.0
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGU", min_size=40, max_size=40), min_size=1, max_size=3))
 def test_structure_has_the_energy_and_batches_agree(seqs):
