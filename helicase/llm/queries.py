@@ -81,6 +81,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(_read(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json", end_id=2)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle
+
+    return fill_in_middle(_read(spark, sf_dir, "documents"), seed=1).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {
         "op10_token_files": op10_token_files,
@@ -93,6 +107,8 @@ def queries() -> dict:
         "op8_dedup_lines": op8_dedup_lines,
         "op9_jaccard_join": op9_jaccard_join,
         "op1_exact_dedup": op1_exact_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_fill_middle": op12_fill_middle,
     }
 
 
@@ -165,4 +181,59 @@ def oracle_sql() -> dict[str, str]:
                    (epochs + CASE WHEN upto * 2 - size <= rest * 2 THEN 1 ELSE 0 END) * size AS taken
             FROM o
         """,
+        "op11_filter_audit": r"""
+            WITH d AS (
+                SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+            ), f AS (
+                SELECT part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+                       100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(text) AS c,
+                       regexp_matches(text, '[#$%&*|]') AS d,
+                       coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), min(doc_id) OVER (PARTITION BY text) IS NOT NULL) AS e,
+                       doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+                       doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+                FROM d
+            ), g AS (
+                SELECT part, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS fails,
+                       count(*) AS n, count_if(good) AS n_good, count_if(toxic) AS n_toxic FROM f GROUP BY ALL
+            ), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+            ), o AS (
+                SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM l p, l q, l r, l s, l t
+                WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+            ), k AS (
+                SELECT filter_order, step::INTEGER AS step, filter_order[step] AS filter, filter_order[1:step - 1] AS earlier
+                FROM o, range(1, 6) AS i(step)
+            ), w AS (
+                SELECT part, filter_order, step, filter,
+                       sum(if(translate(fails, earlier || filter, '') = fails, n, 0))::BIGINT AS kept,
+                       sum(if(translate(fails, earlier, '') = fails AND contains(fails, filter), n, 0))::BIGINT AS removed,
+                       sum(if(translate(fails, earlier, '') <> fails AND contains(fails, filter), n, 0))::BIGINT AS redundant,
+                       sum(if(fails = filter, n, 0))::BIGINT AS unique_fails,
+                       sum(if(translate(fails, earlier, '') = fails AND contains(fails, filter), n_good, 0))::BIGINT AS good_lost,
+                       sum(if(translate(fails, earlier, '') = fails AND contains(fails, filter), n_toxic, 0))::BIGINT AS toxic_lost
+                FROM k, g GROUP BY ALL
+            )
+            SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+                   sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
+            FROM w
+        """,
+        "op12_fill_middle": """
+            WITH d AS (
+                SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+            ), c AS (
+                SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+                       CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                                 OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                            WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+            ), p AS (
+                SELECT *, least(x, y) AS a, substr(text, 1, least(x, y)) AS pre, substr(text, least(x, y) + 1, greatest(x, y) - least(x, y)) AS mid,
+                       substr(text, greatest(x, y) + 1) AS suf FROM c
+            )
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+                   CASE WHEN form <> 'plain' THEN greatest(x, y) - a END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                          ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+                   sha256(text) AS restored_sha256
+            FROM p
+        """,
     }
