@@ -44,16 +44,28 @@ def remove_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, *, name: str = "stage") -> DataFrame:
+#: Has Spark delete the shuffle files of a query once it has ended.
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, *, name: str = "stage", drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This runs the plan once, cuts its lineage and survives the loss of any
     executor, as the files don't live on one.  The table stays until
-    :func:`remove_staged`.
+    :func:`remove_staged`.  With ``drop_shuffles`` the shuffle files of the plan go
+    once it is written (else when the driver happens to collect them).
     """
     spark = df.sparkSession
     path = temp_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP_SETTING, None)
+    if drop_shuffles:
+        spark.conf.set(_CLEANUP_SETTING, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(_CLEANUP_SETTING) if before is None else spark.conf.set(_CLEANUP_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -95,6 +95,12 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def queries() -> dict:
     return {
         "op10_token_files": op10_token_files,
@@ -109,6 +115,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op11_filter_audit": op11_filter_audit,
         "op12_fill_middle": op12_fill_middle,
+        "op13_katz_scores": op13_katz_scores,
     }
 
 
@@ -236,4 +243,38 @@ def oracle_sql() -> dict[str, str]:
                    sha256(text) AS restored_sha256
             FROM p
         """,
+        "op13_katz_scores": r"""
+            WITH d AS (
+                SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
+                       coalesce(xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+                           list_reduce([1::BIGINT, 2, 3, 4, 5, 6, 7, 8], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(c, b)), 4294967295::BIGINT)) % 7 = 2, false) AS held_out
+                FROM documents
+            ), t AS (SELECT doc_id, held_out, list_concat(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ['END ']) AS ws FROM d
+            ), k AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(list_concat(['START '], ws[:len(ws) - 1])) AS u FROM t
+            ), one AS (SELECT w, count(*) AS n FROM k WHERE NOT held_out GROUP BY w
+            ), two AS (SELECT u, w, count(*) AS n FROM k WHERE NOT held_out GROUP BY u, w
+            ), f AS (SELECT coalesce(sum(n), 0)::BIGINT AS tokens, count(*) AS types FROM one
+            ), r1 AS (SELECT n AS r, count(*) AS m FROM one GROUP BY n
+            ), r2 AS (SELECT n AS r, count(*) AS m FROM two GROUP BY n
+            ), s1 AS (SELECT least(CASE WHEN count(*) > 1 THEN regr_slope(ln(m), ln(r)) ELSE -2 END, -1.05) AS slope FROM r1 WHERE r <= 6
+            ), s2 AS (SELECT least(CASE WHEN count(*) > 1 THEN regr_slope(ln(m), ln(r)) ELSE -2 END, -1.05) AS slope FROM r2 WHERE r <= 6
+            ), d1 AS (
+                SELECT a.r, a.m, CASE WHEN a.r <= 5 AND b.m > 0 AND (a.r + 1) * b.m < a.r * a.m THEN (a.r + 1) * b.m / (a.r * a.m)::DOUBLE
+                                      ELSE pow(1 + 1 / a.r::DOUBLE, slope + 1) END AS d FROM r1 a LEFT JOIN r1 b ON b.r = a.r + 1, s1
+            ), d2 AS (
+                SELECT a.r, CASE WHEN a.r <= 5 AND b.m > 0 AND (a.r + 1) * b.m < a.r * a.m THEN (a.r + 1) * b.m / (a.r * a.m)::DOUBLE
+                                 ELSE pow(1 + 1 / a.r::DOUBLE, slope + 1) END AS d FROM r2 a LEFT JOIN r2 b ON b.r = a.r + 1, s2
+            ), un AS (SELECT coalesce(sum((1 - d) * r * m) / max(tokens), 1) AS unknown FROM d1, f
+            ), p1 AS (SELECT w, n, d * n / tokens AS p FROM one JOIN d1 ON n = r, f
+            ), p2 AS (SELECT u, w, n, d FROM two JOIN d2 ON n = r
+            ), c AS (
+                SELECT u, log10(sum((1 - d) * p2.n) / sum(p2.n) / (1 - sum(p))) + log10(sum(p2.n)) AS weight FROM p2 JOIN p1 USING (w) GROUP BY u
+            )
+            SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(p1.n) AS n_known, any_value(tokens) AS train_tokens,
+                   sum(round(log10((coalesce(p1.n, 0) + 1) / (tokens + types + 1)::DOUBLE) * 1e10)::BIGINT)::BIGINT / 1e10 AS base_score,
+                   sum(coalesce(-round(log10(p1.n::DOUBLE) * 1e8)::BIGINT, 0) + CASE WHEN p2.n > 0 THEN round(log10(p2.d * p2.n) * 1e8)::BIGINT
+                       ELSE round(log10(coalesce(p, unknown)) * 1e8)::BIGINT + coalesce(round(weight * 1e8)::BIGINT, 0) END)::BIGINT / 1e8 AS score
+            FROM k LEFT JOIN p1 USING (w) LEFT JOIN p2 ON p2.u = k.u AND p2.w = k.w LEFT JOIN c ON c.u = k.u, f, un
+            GROUP BY doc_id
+        """,
     }
