@@ -170,8 +170,8 @@ def filter_audit(
 
     Scale: whole texts are read once and leave a digest and flags.  Equal
     texts meet as digests, counted before the shuffle; those that occur once
-    need no further join.  Joins split hot keys, as the right side has one row
-    for each.  Nothing is broadcast.
+    need no further join.  Joins split hot keys, as the right side is a written
+    table of one row for each.  Nothing is broadcast.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rules = text_flags(F.col("text"))
@@ -183,15 +183,15 @@ def filter_audit(
     judged = stage(judged, name="flags")
 
     # of each text that occurs again, the least id; null ids come last
-    repeated = judged.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    repeated = stage(judged.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least"), name="repeated")
     later = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
     told = judged.join(repeated.hint("merge"), "digest", "left").withColumn("E", F.coalesce(later, F.lit(False)).cast("long"))
 
     def has(column: str) -> Column:
         return F.max(F.coalesce(F.col(column) == 1, F.lit(False)).cast("long"))
 
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").where("id IS NOT NULL").groupBy("id").agg(
-        has("quality").alias("good"), has("toxic").alias("toxic"))
+    marks = stage(labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").where("id IS NOT NULL").groupBy("id").agg(
+        has("quality").alias("good"), has("toxic").alias("toxic")), name="marks")
     flags = told.join(marks.hint("merge"), "id", "left").select(
         "part", *"ABCDE", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     return audit(flags, "part", list("ABCDE"), {"good_lost": "good", "toxic_lost": "toxic"})
