@@ -40,13 +40,13 @@ from .common import in_batches, row_key, shuffle_partitions, stage
 from .words import finish
 
 #: Training tokens for each block of words; a block is held in memory by one task.
-BLOCK_TOKENS = 5_000_000
+BLOCK_TOKENS = 8_000_000
 #: Least number of blocks.
 LEAST_BLOCKS = 16
 #: At most so many words (those that make up at least 1 in so many tokens) may be spread over all blocks.
 MOST_SPREAD = 1 << 16
 #: Bytes of text that a task turns into messages at a time.
-MESSAGE_BYTES = 16_000_000
+MESSAGE_BYTES = 8_000_000
 #: Counts up to this are discounted by Turing's estimate, larger ones by a power law fitted to the counts of counts.
 TURING = 5
 #: Integer units of summed logarithms.
@@ -100,12 +100,14 @@ class Facts:
         n = np.asarray(counts, float)
         return np.where(n > 0, self.words.of(n) * n / max(self.tokens, 1), self.unknown)
 
-    def block_of(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Pairs lie by word; those of the commonest words by word and context."""
-        mixed = words.view(np.uint64)
-        common = _among(words, self.spread)[1]
-        mixed = finish(np.where(common, mixed + np.uint64(3) * finish(contexts.view(np.uint64)), mixed))
-        return (mixed % np.uint64(self.blocks)).astype(np.int32)
+    def block_of(self, seen: np.ndarray, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Pairs lie by word; those of the commonest words by word and context.  Both are numbers of ``seen``."""
+        mixed = seen.view(np.uint64)
+        out = (finish(mixed) % np.uint64(self.blocks)).astype(np.uint32)[ids]
+        common = np.flatnonzero(_among(seen, self.spread)[1][ids])
+        both = finish(mixed[ids[common]] + np.uint64(3) * finish(mixed[before[common]]))
+        out[common] = (both % np.uint64(self.blocks)).astype(np.uint32)
+        return out.astype(np.uint16) if self.blocks < 1 << 16 else out  # short numbers sort in linear time
 
 
 @dataclass(frozen=True)
@@ -148,39 +150,46 @@ def unpack(payload: bytes) -> list[np.ndarray]:
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context before it, number of its text) of all tokens, in order; a text's last token is its end.
+    """(distinct tokens, number of each token among them, number of its text), in order; a text's last token is its end.
 
     Words are hashed once for each batch and lower-cased in A-Z alone.
     """
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     flat = split.flatten()
-    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     coded = flat.dictionary_encode()
     digest = xxhash.xxh3_64_intdigest
     known = np.fromiter((digest(w) - (1 << 63) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
-    words, text = known[coded.indices.to_numpy(zero_copy_only=False)][some] if len(flat) else np.zeros(0, np.int64), text[some]
+    words, text = coded.indices.to_numpy(zero_copy_only=False)[some], text[some]
     at = np.arange(len(words)) + text  # one end comes before for each text before
     size = len(words) + len(texts)
-    tokens, contexts, number = np.full(size, END), np.full(size, START), np.empty(size, np.int64)
-    tokens[at] = words
-    contexts[at + 1] = words
+    ids, number = np.full(size, len(known), np.int32), np.empty(size, np.int32)
+    ids[at] = words
     ends = np.bincount(text, minlength=len(texts)).cumsum() + np.arange(len(texts))
     number[at], number[ends] = text, np.arange(len(texts))
-    return tokens, contexts, number
+    return np.append(known, END), ids, number
 
 
 def _gathered(batches, columns: list[str]):
-    """Tokens, contexts, text numbers and the other columns of about ``MESSAGE_BYTES`` of text at a time."""
+    """Of about ``MESSAGE_BYTES`` of text at a time: distinct tokens and the start, the numbers of tokens, of contexts and of texts, other columns."""
     held, size = [], 0
 
     def done():
-        texts = [t for t, *_ in held]
-        before = np.cumsum([0, *[rest[0] for _, *rest in held]])
-        return [np.concatenate(x) for x in zip(*[(t, c, n + before[i]) for i, (t, c, n) in enumerate(texts)])] + [
-            pa.concat_arrays([rest[1][j] for _, *rest in held]) for j in range(len(columns))]
+        known = [t[0] for t, *_ in held]
+        seen, back = np.unique(np.concatenate(known), return_inverse=True)
+        offsets = np.cumsum([0, *map(len, known)])
+        ids = np.concatenate([back[lo:hi][t[1]] for (t, *_), lo, hi in zip(held, offsets, offsets[1:])]).astype(np.int32)
+        ahead = np.cumsum([0, *[rows for _, rows, _ in held]])
+        number = np.concatenate([t[2] + n for (t, *_), n in zip(held, ahead)]).astype(np.int32)
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[np.flatnonzero(np.diff(number, prepend=-1))] = len(seen)
+        return np.append(seen, START), ids, before, number, *[pa.concat_arrays([rest[j] for *_, rest in held]) for j in range(len(columns))]
 
     for b in batches:
+        if not b.num_rows:
+            continue
         text = b.column("text")
         held.append((tokens_of(text), b.num_rows, [b.column(c) for c in columns]))
         size += text.nbytes
@@ -192,9 +201,10 @@ def _gathered(batches, columns: list[str]):
 
 
 def _word_counts(batches):
-    for tokens, _, _ in _gathered(batches, []):
-        words, n = np.unique(tokens, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], ["word", "n"])
+    for seen, ids, _, _ in _gathered(batches, []):
+        n = np.bincount(ids, minlength=len(seen))
+        some = np.flatnonzero(n)  # splitting at leading white space leaves an empty word that is no token
+        yield pa.RecordBatch.from_arrays([pa.array(seen[some]), pa.array(n[some])], ["word", "n"])
 
 
 def _sliced(blocks: np.ndarray):
@@ -217,22 +227,27 @@ MESSAGE = "block int, kind int, payload binary"
 def _pair_counts(facts: Facts):
     """Messages to blocks: the pairs of a batch with their counts."""
     def run(batches):
-        for tokens, contexts, _ in _gathered(batches, []):
-            seen, code = np.unique(np.concatenate([tokens, contexts]), return_inverse=True)
-            code, n = np.unique(code[:len(tokens)] * len(seen) + code[len(tokens):], return_counts=True)
-            words, before = seen[code // len(seen)], seen[code % len(seen)]
+        for seen, ids, before, _ in _gathered(batches, []):
+            code, n = np.unique(ids * np.int64(len(seen)) + before, return_counts=True)
+            ids, before = (code // len(seen)).astype(np.int32), (code % len(seen)).astype(np.int32)
             yield _table([
-                (block, 1, pack(*_paired(words[some], before[some]), n[some].astype(np.uint32)))
-                for block, some in _sliced(facts.block_of(words, before))])
+                (block, 1, pack(*_numbered(seen, ids[some]), *_numbered(seen, before[some]), n[some].astype(np.uint32)))
+                for block, some in _sliced(facts.block_of(seen, ids, before))])
 
     return run
 
 
-def _paired(words: np.ndarray, contexts: np.ndarray) -> tuple:
-    """Distinct words and contexts, sorted, and the places of each pair's in them."""
-    w, wi = np.unique(words, return_inverse=True)
-    u, ui = np.unique(contexts, return_inverse=True)
-    return w, wi.astype(np.uint32), u, ui.astype(np.uint32)
+def _numbered(seen: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur, and the place of each in them."""
+    if 8 * len(ids) < len(seen):
+        own, places = np.unique(ids, return_inverse=True)
+    else:  # marks are cheaper than sorting
+        marks = np.zeros(len(seen), np.int32)
+        marks[ids] = 1
+        own = np.flatnonzero(marks)
+        marks[own] = np.arange(len(own))
+        places = marks[ids]
+    return seen[own], places.astype(np.uint32)
 
 
 def _merged(batches):
@@ -379,14 +394,15 @@ def _freed_share(counts: DataFrame, discounts: Discounts, tokens: int) -> float:
 def _to_score(facts: Facts):
     """Messages to blocks: the tokens of a batch with their contexts and documents, in order of documents."""
     def run(batches):
-        for tokens, contexts, number, ids, keys, marks in _gathered(batches, ["id", "key", "mark"]):
-            none = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint32)
+        for seen, ids, before, number, doc, keys, marks in _gathered(batches, ["id", "key", "mark"]):
+            none = doc.is_null().to_numpy(zero_copy_only=False).astype(np.uint32)
             flags = none + 2 * marks.to_numpy(zero_copy_only=False).astype(np.uint32)
-            ids, keys = ids.fill_null(0).to_numpy(), keys.to_numpy()
+            doc, keys = doc.fill_null(0).to_numpy(), keys.to_numpy()
             rows = []
-            for block, some in _sliced(facts.block_of(tokens, contexts)):
-                own, runs = np.unique(number[some], return_counts=True)
-                rows.append((block, 1, pack(ids[own], keys[own], flags[own], runs.astype(np.uint32), *_paired(tokens[some], contexts[some]))))
+            for block, some in _sliced(facts.block_of(seen, ids, before)):
+                first = np.flatnonzero(np.diff(number[some], prepend=-1))  # a document's tokens stay together
+                own, runs = number[some[first]], np.diff(first, append=len(some)).astype(np.uint32)
+                rows.append((block, 1, pack(doc[own], keys[own], flags[own], runs, *_numbered(seen, ids[some]), *_numbered(seen, before[some]))))
             yield _table(rows)
 
     return run
