@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import opened, with_island
+
 
 def islands(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", bin_size: int = 50_000) -> DataFrame:
     """``rows`` with ``island``: the start of the run of intervals that overlap or touch.
@@ -34,12 +36,12 @@ def islands(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end:
     return out.drop("_bin", "_reach", "_before", "_open", "_carried")
 
 
-def islands_by_previous(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end") -> DataFrame:
-    """The compatible variant: a row opens an island if it starts after the end of the row just before it."""
-    along = Window.partitionBy(seq).orderBy(start, end)
-    opened = F.when(F.lag(end).over(along).isNull() | (F.col(start) > F.lag(end).over(along)), F.col(start))
-    return rows.withColumn("_open", opened).withColumn(
-        "island", F.max("_open").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_open")
+def islands_by_previous(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", parts: int | None = None) -> DataFrame:
+    """The compatible variant: a row opens an island if it starts after the end of the row just before it.
+
+    What the row before is depends on the whole order, so rows are ranged by it.
+    """
+    return with_island(opened(rows, seq=seq, start=start, end=end, compat=True, parts=parts), seq=seq).select(*rows.columns, "island")
 
 
 def merge_intervals(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", **options) -> DataFrame:
@@ -48,24 +50,82 @@ def merge_intervals(rows: DataFrame, *, seq: str = "seq_id", start: str = "start
         F.max(end).alias(end), F.count("*").alias("members"))
 
 
+#: Bins of the finest level hold 2 ** FINEST positions; a bin of each further level holds 2 ** WIDER of the level before.
+FINEST, WIDER, LEVELS = 10, 4, 7
+#: A bin with more rows of the left side than this is split; at most so many bins, those with most rows, are.
+SPLIT_ROWS, MOST_SPLIT = 50_000, 100_000
+
+
+def level_of(start: Column, end: Column) -> Column:
+    """The finest level of which a bin is as long as the closed interval, so that it touches two bins at most.
+
+    Intervals longer than a bin of the last level touch several of those.
+    """
+    length = F.greatest(end - start, F.lit(0)) + 1
+    return sum(((length > (1 << FINEST + WIDER * l)).cast("int") for l in range(LEVELS - 1)), F.lit(0))
+
+
+def bin_at(position: Column, level: Column) -> Column:
+    return F.call_function("shiftright", position.cast("long"), FINEST + WIDER * level)
+
+
+def _cells(start: Column, end: Column, own_kind: int, climb_kind: int, above: list[int], strict: bool) -> Column:
+    """The cells (kind, level, bin) of an interval: its own bins, and those above them at the levels of the other side."""
+    level = level_of(start, end)
+
+    def bins(kind: int, at: Column) -> Column:
+        return F.transform(F.sequence(bin_at(start, at), bin_at(F.greatest(start, end), at)), lambda b: F.struct(
+            F.lit(kind).alias("kind"), at.cast("int").alias("level"), b.alias("bin")))
+
+    none = F.array().cast("array<struct<kind:int,level:int,bin:bigint>>")
+    climbs = [F.when(F.lit(l) > level if strict else F.lit(l) >= level, bins(climb_kind, F.lit(l))).otherwise(none) for l in above]
+    return F.concat(bins(own_kind, level), *climbs)
+
+
+def _levels(rows: DataFrame, start: str, end: str) -> list[int]:
+    """The levels that occur: at most LEVELS numbers."""
+    return sorted(r[0] for r in rows.select(level_of(F.col(start), F.col(end)).alias("level")).where("level IS NOT NULL").distinct().collect())
+
+
 def overlap_join(
-    left: DataFrame, right: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", bin_size: int = 1_000,
+    left: DataFrame, right: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end",
+    split_rows: int = SPLIT_ROWS, levels: tuple[list[int], list[int]] | None = None,
 ) -> DataFrame:
     """Pairs of rows that share a position: columns of ``left`` and those of ``right`` with the prefix ``o_``.
 
-    Both sides are dealt to the bins that they touch, which keeps the join an
-    equality join; a pair is taken in the first bin that both touch only.
-    Intervals are closed at both ends here: touching counts.
+    Intervals are closed at both ends here: touching counts.  Rows without a
+    position match nothing.
+
+    Bins come in levels.  An interval lies in the one or two bins of the
+    finest level that is as wide as itself, and climbs to the bins above them,
+    at levels that occur on the other side; so the shorter of two intervals
+    meets the longer one in a bin of the longer one's level, the join is an
+    equality join, and an interval makes a few rows however long it is.  A pair
+    is taken in the first bin that both touch.  A bin with many rows of the left
+    is split between tasks, each with a copy of the bin's rows of the right.
+    ``levels``, those of both sides, spare a pass over them where known.
     """
-    def bins(s: Column, e: Column) -> Column:
-        return F.explode(F.sequence(F.floor(s / bin_size), F.floor(F.greatest(s, e) / bin_size)))
-
+    mine, theirs = levels or (_levels(left, start, end), _levels(right, start, end))
     other = right.select(*[F.col(c).alias(f"o_{c}") for c in right.columns])
-    a = left.withColumn("_bin", bins(F.col(start), F.col(end)))
-    b = other.withColumn("_bin", bins(F.col(f"o_{start}"), F.col(f"o_{end}"))).withColumn("_oseq", F.col(f"o_{seq}"))
-    both = a.join(b, (a[seq] == b["_oseq"]) & (a["_bin"] == b["_bin"]) & (F.col(start) <= F.col(f"o_{end}")) & (F.col(end) >= F.col(f"o_{start}"))
-                  & (a["_bin"] == F.floor(F.greatest(F.col(start), F.col(f"o_{start}")) / bin_size)))
-    return both.drop("_bin", "_oseq")
+    o_start, o_end = f"o_{start}", f"o_{end}"
+    # kind 0: the left interval is of the finer level, or of the same; kind 1: the right one is
+    a = left.withColumn("_cell", F.explode(_cells(F.col(start), F.col(end), 1, 0, theirs, False)))
+    b = other.withColumn("_cell", F.explode(_cells(F.col(o_start), F.col(o_end), 0, 1, mine, True))).withColumnRenamed(f"o_{seq}", "_oseq")
+    if split_rows:
+        full = a.groupBy(F.col(seq).alias("_fseq"), F.col("_cell").alias("_fcell")).agg(F.count("*").alias("_n")).where(F.col("_n") > split_rows)
+        # at most MOST_SPLIT rows
+        full = F.broadcast(full.orderBy(F.desc("_n")).limit(MOST_SPLIT).select("_fseq", "_fcell", F.ceil(F.col("_n") / split_rows).cast("int").alias("_splits")))
+        a = a.join(full, (a[seq] == full["_fseq"]) & (a["_cell"] == full["_fcell"]), "left").withColumn(
+            "_salt", F.when(F.col("_splits").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_splits"))).cast("int")).drop("_fseq", "_fcell", "_splits")
+        b = b.join(full, (b["_oseq"] == full["_fseq"]) & (b["_cell"] == full["_fcell"]), "left").withColumn(
+            "_osalt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))).drop("_fseq", "_fcell", "_splits")
+    else:
+        a, b = a.withColumn("_salt", F.lit(0)), b.withColumn("_osalt", F.lit(0))
+    b = b.withColumnRenamed("_cell", "_ocell")
+    both = a.join(b, (F.col(seq) == F.col("_oseq")) & (F.col("_cell") == F.col("_ocell")) & (F.col("_salt") == F.col("_osalt"))
+                  & (F.col(start) <= F.col(o_end)) & (F.col(end) >= F.col(o_start))
+                  & (F.col("_cell.bin") == bin_at(F.greatest(F.col(start), F.col(o_start)), F.col("_cell.level"))))
+    return both.select(*left.columns, *[F.col("_oseq" if c == seq else f"o_{c}").alias(f"o_{c}") for c in right.columns])
 
 
 def annotate(

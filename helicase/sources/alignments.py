@@ -50,16 +50,47 @@ def read_maf(spark: SparkSession, path: str | list[str], *, forward: bool = True
     return maf_blocks(text, forward=forward)
 
 
+#: Every CLUSTAL alignment of a file begins with a line of its own that starts with this word.
+CLUSTAL_SEPARATOR = "\nCLUSTAL"
+CLUSTAL_ROW = r"^(?!//)[^\s#]+\s+[A-Za-z.-]+(\s+\d+)?\s*$"
+
+
+def clustal_rows(record: Column) -> Column:
+    """The rows of one CLUSTAL alignment; the rest of its header line comes first and is passed over.
+
+    The first run of sequence lines tells how many rows there are; in every
+    later chunk the same names must follow in the same order, and all rows must
+    come out equally long.  Anything else is an error.
+    """
+    lines = F.split(record, "\n")
+    below = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    is_row = lambda l: l.rlike(CLUSTAL_ROW)
+    cells = F.transform(F.filter(below, is_row), lambda l: F.split(F.trim(l), r"\s+"))
+    marks = F.array_join(F.transform(below, lambda l: F.when(is_row(l), "1").otherwise("0")), "")
+    n = F.length(F.regexp_extract(marks, "^0*(1+)", 1))
+    numbered = F.transform(cells, lambda c, i: F.struct(i.alias("i"), c[0].alias("name"), c[1].alias("part")))
+
+    def row(i: Column) -> Column:
+        own = F.filter(numbered, lambda c: c["i"] % n == i)
+        return F.struct(
+            i.alias("idx"), own[0]["name"].alias("name"), F.translate(F.array_join(F.transform(own, lambda c: c["part"]), ""), ".", "-").alias("seq"))
+
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), row)).otherwise(F.array().cast("array<struct<idx:int,name:string,seq:string>>"))
+    named = (n == 0) | F.forall(numbered, lambda c: c["name"] == numbered[c["i"] % n]["name"]) & (F.size(cells) % F.greatest(n, F.lit(1)) == 0)
+    level = F.size(F.array_distinct(F.transform(rows, lambda r: F.length(r["seq"])))) <= 1
+
+    def refused(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{what} in the alignment of "), F.array_join(F.transform(rows, lambda r: r["name"]), ", "))).cast(
+            "array<struct<idx:int,name:string,seq:string>>")
+
+    return F.when(~named, refused("names differ between chunks")).when(~level, refused("rows of different lengths")).otherwise(rows)
+
+
 def read_clustal(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, rows, n_cols``: one alignment per file, rows in order of first appearance, chunks joined by name."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    seq = whole.where(F.col("line").rlike(r"^(?!//)[^\s#]+\s+[A-Za-z.-]+(\s+\d+)?\s*$") & ~F.col("line").rlike("(?i)^clustal")).select(
-        "file", "line_no", F.split("line", r"\s+")[0].alias("name"), F.split("line", r"\s+")[1].alias("part"))
-    rows = seq.groupBy("file", "name").agg(F.min("line_no").alias("first"), F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("parts"))
-    joined = rows.select("file", F.struct("first", "name", F.translate(F.array_join(F.transform("parts", lambda p: p["part"]), ""), ".", "-").alias("seq")).alias("r"))
-    blocks = joined.groupBy("file").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    blocks = blocks.select("file", F.transform("rows", lambda r, i: F.struct(i.alias("idx"), r["name"].alias("name"), r["seq"].alias("seq"))).alias("rows"))
-    return blocks.withColumn("n_cols", F.length(F.col("rows")[0]["seq"]))
+    """``file, rows, n_cols`` of every alignment, however many a file holds."""
+    text = spark.read.text(path, lineSep=CLUSTAL_SEPARATOR).select("value", F.col("_metadata.file_path").alias("file"))
+    blocks = text.withColumn("rows", clustal_rows(F.col("value"))).where(F.size("rows") > 0)
+    return blocks.select("file", "rows", F.length(F.col("rows")[0]["seq"]).alias("n_cols"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
