@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +41,8 @@ CONTAINERS = frozenset("html body div section td".split())
 #: Elements whose start ends an open paragraph are the block elements; these also end their like.
 CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE_OF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: A paragraph outside of these is not ended by a block within them.
+ENDS_PARAGRAPHS = ("td", "th", "button", "html", "table")
 #: Words in class and id attributes that name page furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer "
@@ -117,11 +119,13 @@ def _furniture(tag: str, attrs: str) -> bool:
 def blocks_of(page: str) -> tuple[list[_Block], _Paths]:
     """The page's blocks of text in order, each with its root-to-leaf tag path, and the paths.
 
-    The time is linear in the page, however deep its elements nest: open
-    elements are counted by tag, so the stack is only searched for what is there.
+    The time is linear in the page, however deep its elements nest: the places of
+    open elements are kept by tag, so none is searched for.
     """
     stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, block element, path
-    paths, opened = _Paths(), Counter()
+    paths = _Paths()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of a tag's open elements in the stack
+    blocks_at: list[int] = []  # of open block elements
     blocks: list[_Block] = []
     current: _Block | None = None
     banned = links = 0
@@ -130,12 +134,17 @@ def blocks_of(page: str) -> tuple[list[_Block], _Paths]:
         nonlocal banned, links, current
         while len(stack) > to:
             tag, furniture, block, _ = stack.pop()
-            opened[tag] -= 1
+            places[tag].pop()
             banned -= furniture
             links -= tag == "a"
             if block:
+                blocks_at.pop()
                 current = None
 
+    def innermost(tags) -> int:
+        """The place of the innermost open element of any of these tags; -1 without."""
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
     def add(text: str) -> None:
         nonlocal current
         if current is None:
@@ -168,12 +177,10 @@ def blocks_of(page: str) -> tuple[list[_Block], _Paths]:
             if tag == "br":
                 add(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][2] and tag not in BLOCK_TAGS:
-                    break  # an inline end tag doesn't close blocks
+            at_tag = innermost((tag,))
+            # an inline end tag doesn't close blocks
+            if at_tag >= 0 and (tag in BLOCK_TAGS or not blocks_at or blocks_at[-1] < at_tag):
+                pop(at_tag)
             continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -185,19 +192,10 @@ def blocks_of(page: str) -> tuple[list[_Block], _Paths]:
         is_block = tag in BLOCK_TAGS
         if is_block:
             # a block ends an open paragraph, and list or table parts end their like
-            for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in ("td", "th", "button", "html", "table"):
-                    break
-            like, scope = CLOSES_LIKE.get(tag, ()), SCOPE_OF.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1) if any(opened[t] for t in like) else ():
-                if stack[i][0] in scope:
-                    break
-                if stack[i][0] in like:
-                    pop(i)
-                    break
+            if innermost(("p",)) > innermost(ENDS_PARAGRAPHS):
+                pop(innermost(("p",)))
+            if innermost(CLOSES_LIKE.get(tag, ())) > innermost(SCOPE_OF.get(tag, ())):
+                pop(innermost(CLOSES_LIKE[tag]))
             current = None
         if tag in VOID_TAGS or token.endswith("/>") and not is_block:
             if tag == "hr":
@@ -206,7 +204,9 @@ def blocks_of(page: str) -> tuple[list[_Block], _Paths]:
         furniture = _furniture(tag, token[named.end():])
         above = stack[-1][3] if stack else 0
         stack.append((tag, furniture, is_block, paths.child(above, tag) if is_block else above))
-        opened[tag] += 1
+        places[tag].append(len(stack) - 1)
+        if is_block:
+            blocks_at.append(len(stack) - 1)
         banned += furniture
         links += tag == "a"
     return blocks, paths

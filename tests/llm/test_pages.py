@@ -151,6 +151,10 @@ def test_deep_nesting_is_linear():
     assert main_text(f"<article>{deep}</article>").count("text,") == 20_000
     assert main_text(deep).count("text,") == 20_000
     assert main_text("<p>" + "<b>x " * 20_000 + "</b>" * 20_000).count("x") == 20_000
+    # end tags that close nothing, above many open elements
+    assert main_text("<i><div>yes" + "<b>" * 20_000 + "</i>" * 20_000) == "yes"
+    assert main_text("<p><table>yes" + "<b>" * 20_000 + "<div>" * 20_000) == "yes"
+    assert main_text("<ul><li>" + "<ol>" + "<b>" * 20_000 + "<li>yes" * 20_000).count("yes") == 20_000
     assert time.perf_counter() - start < 20
 
 
