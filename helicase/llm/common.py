@@ -99,18 +99,37 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
+def boxed(docs: DataFrame, **helpers: Column) -> DataFrame:
+    """Rows as one struct ``row`` beside helper columns, so that no helper's name can meet one of theirs.
+
+    ``select("row.*")`` gives the rows back.
+    """
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in helpers.items()])
+
+
+def unused_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many marks before it as make it none of the columns' names."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``docs`` without the rows whose id and ``key`` are in ``gone`` (columns ``_id, _key``).
 
     Rows that a filter of bounded size clears pass straight through; only the
     others are shuffled, texts and all.
     """
-    spot = F.xxhash64(F.col(id_col).cast("long"), key)
-    known = likely_in(docs, spot, gone, F.xxhash64("_id", "_key"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    rows = boxed(docs, own_id=F.col(id_col).cast("long"), own_key=key)
+    known = likely_in(rows, F.xxhash64("own_id", "own_key"), gone, F.xxhash64("_id", "_key"))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key"))
     # what goes grows with the corpus, so this is a merge join at any size
     checked = known.where("_likely").join(gone.select("_id", "_key").distinct().hint("merge"), same, "left_anti")
-    return known.where("NOT _likely").unionByName(checked).select(*docs.columns)
+    return known.where("NOT _likely").unionByName(checked).select("row.*")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

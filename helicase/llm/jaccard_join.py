@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_batches, row_key, salted_join, shuffle_partitions, stage, without_rows
+from .common import boxed, components, in_batches, row_key, salted_join, shuffle_partitions, stage, without_rows
 from .words import shingles
 
 #: Seeds of the global orders.
@@ -459,6 +459,7 @@ def first_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str = "doc_id"
     if repeated.isEmpty():
         return left
     kept = without_rows(left, repeated, id_col, key)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    once = left.join(repeated, same).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key"))
+    rows = boxed(left, own_id=F.col(id_col).cast("long"), own_key=key)
+    once = rows.join(repeated.select("_id", "_key"), same).dropDuplicates(["_id", "_key"]).select("row.*")
     return kept.unionByName(once)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, likely_in, row_key, salted_join, stage
+from .common import boxed, in_batches, likely_in, row_key, salted_join, stage
 from .words import finish, word_hashes
 
 #: Lines with fewer words are only compared for equality: one edit would be over a fifth of them.
@@ -277,25 +277,35 @@ def line_dedup(
         F.col("doc_id").alias(id_col), "text_key", "line_no", (F.col("order") == F.col("first")).alias("near")).distinct()
 
 
-def without_lines(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the dropped lines, with its columns; also ``_n_lines`` and ``_n_dropped``.
+def without_lines(
+    docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("_n_lines", "_n_dropped"),
+) -> DataFrame:
+    """``docs`` without the dropped lines, with its columns and two more: its lines and how many of them went, named by ``counts``.
 
     A null text without dropped lines stays null.  Rows are told apart by id
     and text, so those that share an id, or have none, lose only their own
     lines.  Documents that lose nothing pass straight through; only the others
-    are shuffled.
+    are shuffled.  A text is cut in time linear in its lines, however many
+    of them go.  Columns may have any names but those of ``counts``.
     """
-    key = row_key(F.col(text_col))
-    per = stage(dropped.groupBy(F.col(id_col).alias("_line_id"), F.col("text_key").alias("_line_key")).agg(F.collect_set("line_no").alias("_gone")), name="gone")
-    known = likely_in(docs, key, per, F.col("_line_key"))
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-
-    def counted(df: DataFrame, text: Column, gone: Column) -> DataFrame:
-        columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-        return df.select(*columns, F.size(parts).cast("long").alias("_n_lines"), gone.cast("long").alias("_n_dropped"))
+    if {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column named {' or '.join(counts)}")
+    per = dropped.groupBy(F.col(id_col).alias("_line_id"), F.col("text_key").alias("_line_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+    per = stage(per, name="gone")
+    rows = boxed(docs, own_id=F.col(id_col).cast("long"), own_key=row_key(F.col(text_col)))
+    known = likely_in(rows, F.col("own_key"), per, F.col("_line_key"))
+    text = F.col("row").getField(text_col)
+    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    n_lines = F.size(parts).cast("long").alias(counts[0])
 
     # lists of lines grow with the corpus, so this is a merge join at any size
-    joined = known.where("_likely").join(per.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_line_id")) & (key == F.col("_line_key")), "left")
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    touched = counted(joined, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept), F.coalesce(F.size("_gone"), F.lit(0)))
-    return counted(known.where("NOT _likely"), F.col(text_col), F.lit(0)).unionByName(touched)
+    same = F.col("own_id").eqNullSafe(F.col("_line_id")) & (F.col("own_key") == F.col("_line_key"))
+    joined = known.where("_likely").join(per.hint("merge"), same, "left")
+    # runs of false up to each dropped line, then true: one flag a line, made once
+    runs = F.transform("_gone", lambda no, i: F.concat(
+        F.array_repeat(F.lit(False), no - F.when(i > 0, F.get("_gone", i - 1)).otherwise(-1) - 1), F.array(F.lit(True))))
+    marked = F.zip_with(parts, F.flatten(runs), lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(marked, "\n"))  # nulls are passed over
+    touched = joined.select(F.col("row").withField(f"`{text_col}`", kept).alias("row"), n_lines, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(counts[1]))
+    clear = known.where("NOT _likely").select("row", n_lines, F.lit(0).cast("long").alias(counts[1]))
+    return clear.unionByName(touched).select("row.*", *counts)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, salted_join, stage
+from .common import boxed, row_key, salted_join, stage
 
 #: Characters that clean prose seldom has; they lower a document's weight.
 NOISE = "#*$%&|<>{}[]~^=_\\"
@@ -165,8 +165,9 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id
     """
     plan = mixed.groupBy(F.col(id_col).alias("_id"), F.col("row_key").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (row_key(F.col(text_col), F.col(source_col)) == F.col("_key"))
-    joined = docs.join(stage(plan, name="copies"), same)
+    rows = boxed(docs, own_id=F.col(id_col), own_key=row_key(F.col(text_col), F.col(source_col)))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key"))
+    joined = rows.join(stage(plan, name="copies"), same)
     once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id", "_key"]))
     often = once.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return often.select(*docs.columns)
+    return often.select("row.*")

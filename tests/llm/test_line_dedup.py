@@ -1,7 +1,10 @@
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
+from helicase.llm.common import row_key
 from helicase.llm.line_dedup import _within_one_edit, half_keys, line_dedup, variant_keys, without_lines
 
 from .conftest import SCHEMA, awkward, near, prose, rows_of
@@ -105,3 +108,24 @@ def test_short_lines_in_op8_and_the_pipeline(spark, tmp_path):
     assert sorted(r.text or "" for r in op8_dedup_lines(spark, str(tmp_path)).collect()) == want
     left = sorted(r.text or "" for r in stage_of_lines(spark, df, str(tmp_path)).collect())
     assert [x for x in left if x.split()] == [x for x in want if x.split()]
+
+
+def test_many_lines_of_one_text(spark):
+    """A text is cut in time linear in its lines: of 300,000 equal ones the first stays, of 200,000 different ones one goes."""
+    import time
+
+    numbered = "\n".join(f"line number {i} of many" for i in range(200_000))
+    rows = [(1, "a b c\n" * 300_000), (2, numbered + "\na b c"), (3, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = spark.createDataFrame([(1, i) for i in range(1, 300_000)] + [(2, 200_000), (3, 0)], "doc_id long, line_no int")
+    dropped = dropped.join(docs.select("doc_id", row_key(F.col("text")).alias("text_key")), "doc_id")
+    start = time.perf_counter()
+    got = {r.doc_id: (r.text, r["_n_lines"], r["_n_dropped"]) for r in without_lines(docs, dropped).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {1: ("a b c\n", 300_001, 299_999), 2: (numbered, 200_001, 1), 3: ("", 1, 1)}
+
+
+def test_a_taken_name_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, _N_lines int")
+    with pytest.raises(ValueError):
+        without_lines(docs, docs)
