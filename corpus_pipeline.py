@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helicase.llm.common import stage
+from helicase.llm.common import stage, unused_names
 from helicase.llm.jaccard_join import first_of_each, jaccard_components
 from helicase.llm.line_dedup import line_dedup, without_lines
 from helicase.llm.mixing import mix_sources, repeat_documents
@@ -27,9 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, however short; so do documents of which nothing is left."""
-    left = without_lines(docs, line_dedup(docs, min_words=1))
-    emptied = (F.col("_n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    counted = {"n_chars": F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    n_lines, n_dropped = unused_names(docs, "n_lines", "n_dropped")
+    left = without_lines(docs, line_dedup(docs, min_words=1), counts=(n_lines, n_dropped))
+    emptied = (F.col(n_dropped) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    counted = {"n_chars": F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return left.where(~emptied).select(*[counted[c].alias(c) if c in counted else F.col(c) for c in docs.columns])
 
 
