@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import block_queries, fold_queries, hit_queries, model_queries
+from .plans import access_queries, block_queries, fold_queries, hit_queries, model_queries
 
-MODULES = [block_queries, hit_queries, model_queries, fold_queries]
+MODULES = [block_queries, hit_queries, access_queries, model_queries, fold_queries]
 
 
 def queries() -> dict:

@@ -56,7 +56,15 @@ def _field(word: str) -> str | None:
 def filter_sql(text: str) -> str:
     """The condition in Spark SQL; a :class:`FilterError` says what can't be understood and where."""
     out: list[str] = []
-    depth, at, operand, linked = [], 0, False, False
+    depth, at, operand = [], 0, False
+    # signs bind closer than words: what && and || join between two words is one part of them
+    runs = [[0, False]]  # at each depth: where the part begins, and whether signs join it
+
+    def close_run() -> None:
+        begins, joined = runs[-1]
+        if joined:
+            out.insert(begins, "(")
+            out.append(")")
 
     def expect(needs_operand: bool, found: str) -> None:
         if needs_operand != operand:
@@ -95,7 +103,9 @@ def filter_sql(text: str) -> str:
         elif kind == "word" and word.lower() in _LINKS:
             link = _LINKS[word.lower()]
             expect(link != "NOT", word)
+            close_run()
             out.append(link)
+            runs[-1] = [len(out), False]
             operand = False
         elif kind == "word" and word in _TEXT_SIGNS and operand:
             out.append(_TEXT_SIGNS[word])
@@ -111,11 +121,14 @@ def filter_sql(text: str) -> str:
             expect(False, word)
             depth.append(at)
             out.append(word)
+            runs.append([len(out), False])
         elif word == ")":
             expect(True, word)
             if not depth:
                 raise FilterError("nothing is open", text, at)
             depth.pop()
+            close_run()
+            runs.pop()
             out.append(word)
         elif word in ("!",) or word in "+-" and not operand:
             expect(False, word)
@@ -123,12 +136,14 @@ def filter_sql(text: str) -> str:
         else:
             expect(True, word)
             out.append(_SIGNS[word])
+            runs[-1][1] |= word in ("&&", "||")
             operand = False
         at = end
     if depth:
         raise FilterError("not closed", text, depth[-1])
     if not operand:
         raise FilterError("a value is expected", text, len(text))
+    close_run()
     return " ".join(out)
 
 

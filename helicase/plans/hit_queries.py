@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..operators import hits as ops
 from ..operators import intervals as iv
+from ..sources import reports
 from .fixtures import HITS_SQL, TRACK_SQL, hits, read, track
 
 TIES = ["hit_id", "energy", "stamp"]
@@ -69,13 +70,6 @@ def interval_join(spark, sf_dir):
     return iv.overlap_join(loci, near).select("locus", F.col("o_event_id").alias("event_id"), F.col("o_start").alias("o_start"), F.col("o_end").alias("o_end"))
 
 
-def feature_blocks(spark, sf_dir):
-    """Orders (blocks) that hold a line touched by a feature: a semi join on the block key."""
-    li, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    wanted = li.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return orders.join(wanted, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
-
-
 def bed_sort(spark, sf_dir):
     return track(spark, sf_dir).orderBy("seq_id", "start", "event_id")
 
@@ -101,8 +95,12 @@ def export_gff(spark, sf_dir):
 
 
 def export_tsv(spark, sf_dir):
-    return hits(spark, sf_dir).select("hit_id", F.concat_ws(
-        "\t", "hit_id", "seq_id", F.col("start").cast("string"), F.col("end").cast("string"), "strand", F.col("n").cast("string"), F.col("columns").cast("string")).alias("line"))
+    """All 19 columns of a hit line."""
+    h = hits(spark, sf_dir)
+    whole = h.select("hit_id", "stamp", F.col("hit_id").alias("window_id"), F.concat(F.lit("locus"), F.col("n").cast("string")).alias("locus_id"), "seq_id", "start", "end", "strand", "n", "columns",
+                     F.col("identity").cast("long").alias("identity"), F.col("z").cast("long").alias("mean_mfe"), (F.col("z") * 2).cast("long").alias("consensus_mfe"), F.lit(None).cast("double").alias("energy"),
+                     F.lit(0).alias("covariance"), F.lit(1).alias("comb_per_pair"), F.col("z").cast("long").alias("z"), "sci", (-F.col("n")).alias("dec_value"), "p", F.lit(0.5).alias("gc"))
+    return whole.select("hit_id", "stamp", reports.hit_line().alias("line"))
 
 
 def bin_histogram(spark, sf_dir):
@@ -125,26 +123,9 @@ def thousands(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", sq.thousands(F.col("o_orderkey") * 12345).alias("nice"))
 
 
-def locus_sequences(spark, sf_dir):
-    """The stretch of a contig under each hit, reverse-complemented on the minus strand; contigs are the parts' names."""
-    contigs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig"), F.translate(F.upper(F.repeat(F.concat_ws("", "p_name", "p_type"), 4)), " AEIOULNRSTD", "AACGUACGUACG").alias("contig_seq"))
-    li = read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("hit_id"), F.col("l_partkey").alias("contig"),
-        F.col("l_quantity").cast("int").alias("at"), "l_linestatus")
-    seq = F.substring("contig_seq", F.col("at") + 1, F.lit(12))
-    return li.join(contigs, "contig").select("hit_id", F.when(F.col("l_linestatus") == "O", seq).otherwise(sq.reverse_complement_rna(seq)).alias("seq"))
-
-
-def parse_scored(spark, sf_dir):
-    """Fields of text records, drawn by pattern from the events' properties."""
-    ev = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit(" Mean z-score: "), F.col("value").cast("decimal(12,2)").cast("string"), F.lit("\n RNA-class: "), "props").alias("record"))
-    return ev.select("event_id", F.regexp_extract("record", r"z-score:\s*(-?[0-9.]+)", 1).cast("double").alias("z"), F.regexp_extract("record", r'"k": ([0-9]+)', 1).cast("long").alias("k"))
-
-
 QUERIES = {f.__name__: f for f in (
     cluster_hits, cluster_hits_compat, locus_stats, filter_hits, filter_loci, count_hits, rna_calls, sort_hits, sort_loci, annotate_overlap, interval_join,
-    feature_blocks, bed_sort, bed_stats, merge_intervals, export_bed, export_gff, export_tsv, bin_histogram, best_hits, renumber_blocks, thousands,
-    locus_sequences, parse_scored)}
+    bed_sort, bed_stats, merge_intervals, export_bed, export_gff, export_tsv, bin_histogram, best_hits, renumber_blocks, thousands)}
 
 _CLUSTERED = HITS_SQL + """, kept AS (SELECT * FROM hits WHERE p >= 0.5), reach AS (
         SELECT *, max("end") OVER (PARTITION BY seq_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM kept), opened AS (
@@ -181,7 +162,6 @@ SQL = {
         SELECT l.locus, l.seq_id, l.start, l."end", coalesce(b[3], '-') AS annotation FROM loci l LEFT JOIN best USING (locus)""",
     "interval_join": f"""WITH {_LOCI}, {_NEAR}
         SELECT l.locus, t.event_id, t.start AS o_start, t."end" AS o_end FROM loci l JOIN near t ON l.seq_id = t.seq_id AND l.start <= t."end" AND l."end" >= t.start""",
-    "feature_blocks": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "bed_sort": f"WITH {TRACK_SQL} SELECT * FROM track ORDER BY seq_id, start, event_id",
     "bed_stats": f"""WITH {_MERGED}
         SELECT count(*) AS items, sum("end" - start)::BIGINT AS total_bases, floor(avg("end" - start) + 0.5)::BIGINT AS mean_length,
@@ -189,18 +169,12 @@ SQL = {
     "merge_intervals": f"WITH {_MERGED} SELECT * FROM merged",
     "export_bed": f"""WITH {HITS_SQL} SELECT hit_id, concat_ws(chr(9), seq_id, start, "end", hit_id, floor(p * 1000)::INTEGER) AS line FROM hits""",
     "export_gff": f"""WITH {HITS_SQL} SELECT hit_id, concat_ws(chr(9), seq_id, 'screen', 'window', start + 1, "end", floor(p * 1000)::INTEGER, strand, '.', 'id "' || hit_id || '"') AS line FROM hits""",
-    "export_tsv": f"""WITH {HITS_SQL} SELECT hit_id, concat_ws(chr(9), hit_id, seq_id, start, "end", strand, n, columns) AS line FROM hits""",
+    "export_tsv": f"""WITH {HITS_SQL} SELECT hit_id, stamp, concat_ws(chr(9), hit_id, 'locus' || n, seq_id, start, "end", strand, n, columns, identity::BIGINT, z::BIGINT, (z * 2)::BIGINT, '', 0, 1,
+               z::BIGINT, sci, -n, p, 0.5) AS line FROM hits""",
     "bin_histogram": f"""WITH {HITS_SQL} SELECT CASE WHEN columns > 45 THEN 46 ELSE floor((columns - 1) / 10.0) * 10 + 1 END::BIGINT AS length_bin,
                CASE WHEN identity > 90 THEN 91 ELSE floor((identity - 1) / 5.0) * 5 + 1 END::BIGINT AS identity_bin, n, count(*) AS blocks FROM hits GROUP BY ALL""",
     "best_hits": f"""WITH {HITS_SQL} SELECT seq_id, hit_id, p, z FROM hits QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY p DESC, z, hit_id, energy, stamp) = 1""",
     "renumber_blocks": """SELECT c_nationkey AS file_no, o_orderkey AS block_no, row_number() OVER (ORDER BY c_nationkey, o_orderkey) AS global_no
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "thousands": "SELECT o_orderkey, format('{:,}', o_orderkey * 12345) AS nice FROM orders",
-    "locus_sequences": """WITH contigs AS (
-        SELECT p_partkey AS contig, translate(upper(repeat(p_name || p_type, 4)), ' AEIOULNRSTD', 'AACGUACGUACG') AS s FROM part), h AS (
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS hit_id, l_linestatus, substr(s, l_quantity::INTEGER + 1, 12) AS seq
-        FROM lineitem JOIN contigs ON contig = l_partkey)
-        SELECT hit_id, CASE WHEN l_linestatus = 'O' THEN seq ELSE reverse(translate(seq, 'ACGTU', 'UGCAA')) END AS seq FROM h""",
-    "parse_scored": """WITH r AS (SELECT event_id, ' Mean z-score: ' || value::DECIMAL(12,2)::VARCHAR || chr(10) || ' RNA-class: ' || props AS record FROM events)
-        SELECT event_id, regexp_extract(record, 'z-score:\\s*(-?[0-9.]+)', 1)::DOUBLE AS z, regexp_extract(record, '"k": ([0-9]+)', 1)::BIGINT AS k FROM r""",
 }

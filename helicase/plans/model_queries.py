@@ -48,7 +48,7 @@ def structure_conservation(spark, sf_dir):
 def strand_features(spark, sf_dir):
     """Sequences with both strands: differences between them, scaled."""
     h = hits(spark, sf_dir).groupBy("seq_id", "strand").agg(
-        (F.avg("sci") * 0).alias("sci"), F.min("z").alias("mean_mfe"), F.max("z").alias("consensus_mfe"), (F.min("z") / 2).alias("z"),
+        (F.sum(F.round(F.col("sci") * 10000).cast("long")) / F.count("*") / 10000).alias("sci"), F.min("z").alias("mean_mfe"), F.max("z").alias("consensus_mfe"), (F.min("z") / 2).alias("z"),
         F.max("n").alias("n"), F.max("identity").alias("identity"))
     out = ops.strand_features(h, key="seq_id")
     return out.select("seq_id", F.array_join(F.transform("features", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("features"))
@@ -71,11 +71,11 @@ SQL = {
     "structure_conservation": f"""WITH {HITS_SQL}, s AS (SELECT seq_id, sum(z::BIGINT) AS c, sum(round(p * 10)::BIGINT) AS r FROM hits GROUP BY seq_id)
         SELECT seq_id, round(CASE WHEN r = 0 THEN 0.0 ELSE c::DOUBLE / r::DOUBLE END, 6) AS sci FROM s""",
     "strand_features": f"""WITH {HITS_SQL}, s AS (
-        SELECT seq_id, strand, min(z) AS lo, max(z) AS hi, max(n) AS n, max(identity) AS identity FROM hits GROUP BY seq_id, strand), d AS (
-        SELECT f.seq_id, f.lo - r.lo AS mean_mfe, f.hi - r.hi AS cons, f.lo / 2 - r.lo / 2 AS z, greatest(f.n, r.n)::DOUBLE AS n, greatest(f.identity, r.identity) AS identity
+        SELECT seq_id, strand, sum(round(sci * 10000)::BIGINT)::BIGINT / count(*) / 10000 AS sci, min(z) AS lo, max(z) AS hi, max(n) AS n, max(identity) AS identity FROM hits GROUP BY seq_id, strand), d AS (
+        SELECT f.seq_id, f.sci - r.sci AS sci, f.lo - r.lo AS mean_mfe, f.hi - r.hi AS cons, f.lo / 2 - r.lo / 2 AS z, greatest(f.n, r.n)::DOUBLE AS n, greatest(f.identity, r.identity) AS identity
         FROM s f JOIN s r ON f.seq_id = r.seq_id AND f.strand = '+' AND r.strand = '-')
-        SELECT seq_id, CASE WHEN mean_mfe BETWEEN -47.9 AND 48.35 AND cons BETWEEN -64.44 AND 66.86 AND z BETWEEN -5.38 AND 5.38 THEN concat_ws(',',
-            round((-1 + 2 * (0.0::DOUBLE - (-0.6)) / (0.47 - (-0.6))::DOUBLE) * 10000)::BIGINT, round((-1 + 2 * (mean_mfe - (-47.9)) / (48.35 - (-47.9))) * 10000)::BIGINT,
+        SELECT seq_id, CASE WHEN sci BETWEEN -0.6 AND 0.47 AND mean_mfe BETWEEN -47.9 AND 48.35 AND cons BETWEEN -64.44 AND 66.86 AND z BETWEEN -5.38 AND 5.38 THEN concat_ws(',',
+            round((-1 + 2 * (sci - (-0.6)) / (0.47 - (-0.6))::DOUBLE) * 10000)::BIGINT, round((-1 + 2 * (mean_mfe - (-47.9)) / (48.35 - (-47.9))) * 10000)::BIGINT,
             round((-1 + 2 * (cons - (-64.44)) / (66.86 - (-64.44))) * 10000)::BIGINT, round((-1 + 2 * (z - (-5.38)) / (5.38 - (-5.38))) * 10000)::BIGINT,
             round((-1 + 2 * (n - 2) / (6 - 2)) * 10000)::BIGINT, round((-1 + 2 * (identity - 35.04) / (99.71 - 35.04)) * 10000)::BIGINT) END AS features FROM d""",
 }

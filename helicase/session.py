@@ -14,6 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for this application: below ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of this machine.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="helicase-")
+        context.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/helicase/{context.applicationId}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``, computed once: checkpointed where the session names a folder for that, else kept on disk.
 

@@ -27,6 +27,7 @@ def hits(spark):
     ("P > 0.5 or P > 0.2 and N > 100", {1, 3}), ("(P > 0.5 or P > 0.2) and N > 100", set()), ("end - start > 100 and identity != 95", {1}),
     ("z < -(2 + 1) and not (N < 3 or strand eq '-')", {1}), ("consensusMFE/meanMFE > 0.92", {1}), ("COL19 > 0.55", {3}), ("seqID eq 'it''s'", None),
     ("-z > 4 && decValue <= .9", {3}), ("P > 9e-1", {1}),
+    ("not P > 0.5 && N > 3", {2, 3}), ("(not P > 0.5) && N > 3", {2}), ("N == 2 || N == 4 and P > 0.93", {1}), ("N == 2 or N == 4 and P > 0.93", {1, 3}), ("not (N == 2 || N == 4) or z < -4", {2, 3}),
 ])
 def test_conditions(hits, text, want):
     if want is None:
