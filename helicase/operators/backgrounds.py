@@ -10,16 +10,19 @@ on its like.  There are four kinds, two to ask for and two to fall to:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .folding import background_udf
-from .kernels import values_udf
+from ..functions.energy import energies
+from ..functions.folding import Fold
+from .folding import background_udf, in_batches, shuffled_bases, shuffled_pairs
+from .kernels import Matrices, values_udf
 from .models import KernelModel
 
 #: Lengths and shares that the regressions were trained on.
@@ -155,6 +158,52 @@ def background(
     return parts.where(F.col("kind") == want).select(*shuffled.columns).unionByName(shuffled)
 
 
+def backs_udf(spark: SparkSession, regression: Regression, *, keep: bool = False, samples: int = 1000, parameters: str = ""):
+    """A function of an alignment's ungapped sequences: mean and deviation of each and the way, ``R`` by regression or ``S`` by shuffles.
+
+    The same as :func:`background` where the rows are, without a join: equal
+    sequences of a batch are told once, those out of range are shuffled there.
+    """
+    want, band_ends = regression.want, np.array(BANDS)
+    models = spark.sparkContext.broadcast([tuple(Matrices.of(m) for m in pair) for pair in zip(regression.means, regression.sds)])
+    shuffle = shuffled_pairs if want == 2 else shuffled_bases
+
+    def told(seqs: list[str]) -> dict[str, tuple[float, float, str]]:
+        out: dict[str, tuple[float, float, str]] = {}
+        made = {s: composition(s, want, keep) for s in seqs}
+        bands: dict[int, list[str]] = {}
+        for s, (kind, _, gc, _) in made.items():
+            if kind == want and (want == 0 or band_ends[0] <= gc <= 0.8):
+                bands.setdefault(0 if want == 0 else int(np.searchsorted(band_ends, gc, "right")) - 1, []).append(s)
+        for band, own in bands.items():
+            rows = np.array([made[s][3] for s in own])
+            mean, sd = (m.values(rows) for m in models.value[band])
+            for s, m, d in zip(own, mean.tolist(), sd.tolist()):
+                m, d = (m * BASE_RESULT["mean"][1] + BASE_RESULT["mean"][0], d * BASE_RESULT["sd"][1] + BASE_RESULT["sd"][0]) if want == 0 else (m / 10 * len(s), d)
+                if m <= LEAST_MEAN and d >= LEAST_SD:
+                    out[s] = (m, d, "R")
+        left = [s for s in seqs if s not in out]
+        for group in in_batches([len(s) for s in left], [samples] * len(left)):
+            drawn = []
+            for i in group:
+                rng = np.random.default_rng(zlib.crc32(left[i].encode()))
+                drawn += [[shuffle(left[i], rng)] for _ in range(samples)]
+            got = Fold(drawn, energies(parameters)).energy().reshape(len(group), samples)
+            for i, own in zip(group, got):
+                out[left[i]] = (float(own.mean()), float(own.std(ddof=1)), "S")
+        return out
+
+    @F.pandas_udf("means array<double>, sds array<double>, ways array<string>")
+    def backs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for blocks in batches:
+            known = told(sorted({s for b in blocks if b is not None for s in b if s}))
+            known[""] = (0.0, 0.0, "S")
+            rows = [tuple(list(x) for x in zip(*[known[s] for s in b])) if b is not None and len(b) else ([], [], []) for b in blocks]
+            yield pd.DataFrame(rows, columns=["means", "sds", "ways"])
+
+    return backs
+
+
 def z_score(mfe: Column, mean: Column, sd: Column) -> Column:
     """Deviations from the mean; 0 where the deviation is next to nothing."""
     return F.when(sd < 1e-5, F.lit(0.0)).otherwise((mfe - mean) / F.nullif(sd, F.lit(0.0)))

@@ -20,9 +20,11 @@ from ..functions.energy import energies
 from ..functions.folding import Fold, dot_bracket, encode
 from ..session import settled
 from . import models
+from .backgrounds import Regression, backs_udf
 from .blocks import filter_rows, materialised, reject_blocks, remove_common_gaps, slide_windows
 from .folding import background_udf, consensus_udf, in_batches, select_rows_udf
 from .hits import cluster_hits
+from .kernels import classified
 from .slices import with_gaps
 
 #: How the published regression of one-base models scales its features (GC, A of AT, C of GC, length) and its results.
@@ -136,16 +138,30 @@ def windows_to_score(
     return told.where(F.col("identity") >= min_identity)
 
 
+def _by_kind(kind: Column, of: Callable[[str], Column]) -> Column:
+    """What ``of`` gives for the decision model that each row's kind names; null for an unknown one."""
+    first, *rest = models.DECISION_RANGES
+    out = F.when(kind == first, of(first))
+    for k in rest:
+        out = out.when(kind == k, of(k))
+    return out
+
+
 def score_windows(
-    windows: DataFrame, *, decision: models.KernelModel, kind: str = "di", strands: tuple[str, ...] = ("+", "-"),
-    background: Callable[[Column], tuple[Column, Column]] | None = fitted_background, samples: int = 1000, parameters: str = "",
+    windows: DataFrame, *, decision: models.KernelModel | dict[str, models.KernelModel], background: Callable[[Column], tuple[Column, Column]] | Regression | None,
+    kind: str | Column = "di", strands: tuple[str, ...] = ("+", "-"), samples: int = 1000, keep: bool = False, parameters: str = "",
 ) -> DataFrame:
     """Every window on every strand with its folds, z-score, conservation index, decision value and probability ``p``.
 
-    ``background`` gives mean and deviation of a sequence's energies; None
-    draws ``samples`` shuffles of every row.  The forward strand is folded as
-    DNA letters, the reverse one as RNA, as published models were trained.
+    ``decision`` is one model, or one for each kind (``mono``, ``di``,
+    ``structural``) that the column ``kind`` may name.  ``background`` is a
+    :class:`Regression`, which leaves sequences that it wasn't trained on to
+    ``samples`` shuffles (with ``keep`` none for their composition); None, for shuffles of every row; or a
+    function that gives mean and deviation of a sequence's energies.  The forward strand is
+    folded as DNA letters, the reverse one as RNA, as published models were trained.
     """
+    named = F.lit(kind) if isinstance(kind, str) else kind
+    by_name = decision if isinstance(decision, dict) else {kind: decision} if isinstance(kind, str) else dict.fromkeys(models.DECISION_RANGES, decision)
     both = windows.withColumn("reading", F.explode(F.array(*[F.lit(s) for s in strands])))
     read = F.transform("rows", lambda r: F.when(F.col("reading") == "+", sq.as_dna(r["seq"])).otherwise(sq.reverse_complement_rna(sq.as_rna(r["seq"]))))
     both = materialised(both, "seqs", read)
@@ -156,11 +172,16 @@ def score_windows(
         rows = folded.select(*place, F.posexplode("bare").alias("at", "s")).withColumn("b", background_udf(samples, pairs=kind != "mono", parameters=parameters)("s"))
         per = rows.groupBy(*place).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]).alias("backs"))
         folded = folded.join(per, place)
-        backs = F.col("backs")
+        backs, ways = F.col("backs"), F.transform("backs", lambda _: F.lit("S"))
+    elif isinstance(background, Regression):
+        told = backs_udf(windows.sparkSession, background, keep=keep, samples=samples, parameters=parameters)
+        folded = folded.withColumn("_b", once(told)("bare"))
+        backs, ways = F.zip_with("_b.means", "_b.sds", lambda m, d: F.struct(m.alias("mean_mfe"), d.alias("sd_mfe"))), F.col("_b.ways")
     else:
         backs = F.transform("bare", lambda s: F.struct(*[x.cast("double").alias(n) for x, n in zip(background(s), ("mean_mfe", "sd_mfe"))]))
+        ways = F.transform("bare", lambda _: F.lit("R"))
     z_of = lambda e, b: F.when(b["sd_mfe"] < 1e-5, 0.0).otherwise((e - b["mean_mfe"]) / F.nullif(b["sd_mfe"], F.lit(0.0)))
-    scored = materialised(folded, "zs", F.zip_with("f.mfes", backs, z_of))
+    scored = materialised(folded.withColumn("_kind", named), "zs", F.zip_with("f.mfes", backs, z_of))
 
     def mean(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
@@ -174,23 +195,23 @@ def score_windows(
         F.col("reading").alias("strand"),
         F.transform("rows", lambda r, i: F.struct(
             r["name"].alias("name"), F.get("seqs", i).alias("seq"), with_gaps(F.get("f.structures", i), F.get("seqs", i)).alias("fold"),
-            F.get("f.mfes", i).alias("mfe"), F.get("zs", i).alias("z"), F.lit("S" if background is None else "R").alias("method"))).alias("rows"))
+            F.get("f.mfes", i).alias("mfe"), F.get("zs", i).alias("z"), F.get(ways, i).alias("method"))).alias("rows"), "_kind")
     scored = scored.withColumn("sci", models.structure_conservation(F.col("consensus_mfe"), F.col("mean_mfe")))
-    scored = scored.withColumn("warnings", models.range_warnings(kind)).withColumn("features", models.scaled_features(kind))
-    # one row, whose size KernelModel.table checks
-    table = decision.table(scored.sparkSession).agg(F.collect_list(F.struct("coef", "vector")).alias("_model"))
-    valued = scored.join(F.broadcast(table)).withColumn("dec_value", models.decision_of(
-        F.col("features"), F.col("_model"), gamma=decision.gamma, rho=decision.rho)).drop("_model", "features")
-    return valued.withColumn("p", models.probability(F.col("dec_value"), decision.prob_a, decision.prob_b))
+    scored = scored.withColumn("warnings", _by_kind(F.col("_kind"), models.range_warnings)).withColumn("_features", _by_kind(F.col("_kind"), models.scaled_features))
+    valued = scored.withColumn("_c", once(classified(windows.sparkSession, by_name))("_kind", "_features"))
+    return valued.withColumn("dec_value", F.col("_c.dec_value")).withColumn("p", F.col("_c.p")).withColumnRenamed("_kind", "decision").drop("_c", "_features")
 
 
-def screen(blocks: DataFrame, *, decision: models.KernelModel, kind: str = "di", cutoff: float = 0.5, filters: dict | None = None, **options) -> DataFrame:
+def screen(
+    blocks: DataFrame, *, decision: models.KernelModel | dict[str, models.KernelModel], background: Callable[[Column], tuple[Column, Column]] | Regression | None,
+    kind: str | Column = "di", cutoff: float = 0.5, filters: dict | None = None, **options,
+) -> DataFrame:
     """Scored windows of ``blocks`` with a probability of at least ``cutoff``, each with its ``locus``.
 
     ``filters`` go to :func:`windows_to_score`, ``options`` to
     :func:`score_windows`.  :func:`helicase.operators.hits.locus_stats` sums
     loci up.
     """
-    scored = score_windows(windows_to_score(blocks, **(filters or {})), decision=decision, kind=kind, **options)
+    scored = score_windows(windows_to_score(blocks, **(filters or {})), decision=decision, background=background, kind=kind, **options)
     # clustering reads its rows several times, and folds are dear
     return cluster_hits(settled(scored.where(F.col("p") >= cutoff)), cutoff=cutoff)

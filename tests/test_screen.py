@@ -36,7 +36,7 @@ def frame(spark, *blocks):
 
 def test_screen_of_a_known_alignment(spark):
     df = frame(spark, [row(i, s) for i, s in enumerate(TRNA)])
-    got = screen.screen(df, decision=stand_in_model(), cutoff=0.0).collect()
+    got = screen.screen(df, decision=stand_in_model(), background=screen.fitted_background, cutoff=0.0).collect()
     assert sorted(r.strand for r in got) == ["+", "-"]
     r = next(r for r in got if r.strand == "+")
     assert (r.n, r.columns, r.seq_id, r.start, r.end) == (4, 73, "o0.c", 100, 173)
@@ -51,7 +51,7 @@ def test_screen_of_a_known_alignment(spark):
     x = [-1 + 2 * (min(max(v, lo), hi) - lo) / (hi - lo) for v, (lo, hi) in zip((round(r.z, 2), round(r.sci, 2), r.entropy), models.DECISION_RANGES["di"].values())]
     want = sum(c * np.exp(-model.gamma * np.square(np.array(x) - v).sum()) for c, v in zip(model.coef, model.vectors)) - model.rho
     assert r.dec_value == pytest.approx(want, abs=1e-4)
-    loci = locus_stats(screen.screen(df, decision=stand_in_model(), cutoff=0.0)).collect()
+    loci = locus_stats(screen.screen(df, decision=stand_in_model(), background=screen.fitted_background, cutoff=0.0)).collect()
     assert [(x.start, x.end, x.windows) for x in loci] == [(100, 173, 2)]
     shuffled = screen.score_windows(screen.windows_to_score(df), decision=stand_in_model(), strands=("+",), background=None, samples=4).first()
     assert shuffled.z < 0 and shuffled.rows[0].method == "S"
