@@ -220,3 +220,39 @@ def block_statistics(blocks: DataFrame) -> DataFrame:
         metric.alias("metric"), F.coalesce("n_rows", "n_cols", F.lit(0)).alias("value"), F.count("*").alias("blocks"),
         F.sum(F.when(F.col("n_cols") == 1, 1).otherwise(0)).alias("single_column"),
     ).select("metric", "value", "blocks", "single_column")
+
+
+def identity_fraction(matches: Column, pairs: Column) -> Column:
+    """Mean pairwise identity as a fraction of four places; 0 without pairs."""
+    return F.round(sq.ratio(matches, pairs), 4)
+
+
+def block_report(blocks: DataFrame) -> DataFrame:
+    """``metric, value, blocks``: totals and histograms of alignments, in one aggregation.
+
+    Totals: ``total``; ``reference_only``, blocks of fewer than two rows;
+    ``single_column``, of those left with at most one column; ``used``, the
+    rest.  Of the used ones, how many blocks have each ``length``, mean pairwise
+    ``identity`` (per cent, two places), number of ``organisms`` and set
+    of them (``label``, names sorted).  A row's organism is what its name has before the
+    first dot.
+    """
+    orgs = F.sort_array(F.array_distinct(F.transform("rows", lambda r: F.regexp_extract(r["name"], r"^([^.]*)", 1))))
+    facts = blocks.select("block_id", "n_cols", F.size("rows").alias("n"), orgs.alias("orgs")).join(
+        with_column_facts(blocks).select("block_id", "f.matches", "f.pairs"), "block_id", "left")
+    few, thin = F.col("n") < 2, F.col("n_cols") <= 1
+    identity = F.format_string("%.2f", 100 * identity_fraction(F.col("matches"), F.col("pairs")))
+
+    def cell(metric: str, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), value.cast("string").alias("value"))
+
+    none = F.lit("")
+    used = [cell("used", none), cell("length", F.col("n_cols")), cell("identity", identity), cell("organisms", F.size("orgs")), cell("label", F.array_join("orgs", "_"))]
+    cells = F.when(few, F.array(cell("total", none), cell("reference_only", none))).when(thin, F.array(cell("total", none), cell("single_column", none))).otherwise(
+        F.array(cell("total", none), *used))
+    return facts.select(F.explode(cells).alias("c")).groupBy("c.metric", "c.value").agg(F.count("*").alias("blocks"))
+
+
+def rows_named(blocks: DataFrame, pattern: str) -> DataFrame:
+    """Blocks with the rows whose name a pattern finds; those without any go."""
+    return blocks.withColumn("rows", F.filter("rows", lambda r: r["name"].rlike(pattern))).where(F.size("rows") > 0)

@@ -7,11 +7,13 @@ shuffled but to even out the work, and nothing comes to the driver.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +187,44 @@ def shuffle_columns(columns: DataFrame, *, level: int = 2, seed: int = 1) -> Dat
     return to.join(what, ["block_id", "kind", "rank"]).select("block_id", "col", "letters", "from_col")
 
 
+def shuffled_block(block_id: int, seqs: list[str], *, level: int = 2, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells by column, places, columns that move there) of one block: :func:`shuffle_columns` within it."""
+    cells = np.stack([np.frombuffer(s.upper().replace("T", "U").encode("latin-1", "replace"), np.uint8) for s in seqs]).T
+    n, width = cells.shape[1], len(cells)
+    gaps = cells == ord("-")
+    counts = [(cells == ord(x)).sum(1).astype(np.int64) for x in "ACGU-"]
+    equal = sum(c * (c - 1) for c in counts)
+    tenth = (equal * 20 + n * (n - 1)) // (2 * n * (n - 1)) if n > 1 else np.zeros(width, np.int64)
+    marks = np.packbits(gaps, axis=1) if level else np.zeros((width, 1), np.uint8)
+    kinds = np.unique(np.column_stack([marks, tenth.astype(np.uint8) if level > 1 else np.zeros(width, np.uint8)]), axis=0, return_inverse=True)[1].ravel()
+    drawn = np.array([hashlib.md5(f"{seed}:{block_id}:{c}".encode()).hexdigest() for c in range(width)])
+    columns = np.arange(width)
+    # of each kind, the k-th place takes the k-th column drawn
+    return cells, np.lexsort((columns, kinds)), np.lexsort((columns, drawn, kinds))
+
+
+def shuffle_blocks(blocks: DataFrame, *, level: int = 2, seed: int = 1) -> DataFrame:
+    """The same control for whole blocks (``block_id``, ``rows`` with ``seq``, all of one width), each worked on where it is: no exchange.
+
+    Gives ``block_id, col, letters, from_col``.  A block's columns fit in one
+    task, as its rows do; what leaves it comes in slices.
+    """
+    def run(batches):
+        for b in batches:
+            for block_id, seqs in zip(b.column("block_id").to_pylist(), b.column("seqs").to_pylist()):
+                if not seqs or not seqs[0]:
+                    continue
+                cells, places, columns = shuffled_block(block_id, seqs, level=level, seed=seed)
+                for lo in range(0, len(places), 100_000):
+                    to, what = places[lo:lo + 100_000], columns[lo:lo + 100_000]
+                    letters = [cells[c].tobytes().decode("latin-1") for c in what]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(to), block_id)), pa.array(to), pa.array(letters, pa.string()), pa.array(what)], ["block_id", "col", "letters", "from_col"])
+
+    rows = blocks.select(F.col("block_id").cast("long").alias("block_id"), F.transform("rows", lambda r: r["seq"]).alias("seqs"))
+    return rows.mapInArrow(run, "block_id long, col long, letters string, from_col long")
+
+
 def identities(rows: list[str]) -> np.ndarray:
     """Share of equal letters of every two rows, columns in which both have a gap left out."""
     codes = np.stack([np.frombuffer(r.upper().encode(), np.uint8) for r in rows])

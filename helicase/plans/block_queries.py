@@ -143,6 +143,17 @@ def block_stats(spark, sf_dir):
         "metric", F.col("value").cast("long").alias("value"), "blocks", "single_column")
 
 
+def block_report(spark, sf_dir):
+    """Totals and histograms of blocks by length, identity and organisms."""
+    return ops.block_report(blocks(spark, sf_dir))
+
+
+def named_rows(spark, sf_dir):
+    """Coordinates of the rows whose name a pattern finds."""
+    return ops.rows_named(blocks(spark, sf_dir), r"^(user|system)\.\d*[02468]$").select(
+        "block_id", F.explode("rows").alias("r")).select("block_id", "r.idx", "r.name", "r.start", (F.col("r.start") + F.length(sq.ungapped(F.col("r.seq")))).alias("end"))
+
+
 def organism_sets(spark, sf_dir):
     """How many blocks hold each set of row names' first parts."""
     names = F.transform("rows", lambda r: F.regexp_extract(r["name"], r"^(\w+)\.", 1))
@@ -174,7 +185,7 @@ def gtf_rows(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     mean_pairwise_identity, column_entropy, consensus_sequence, conservation_score, pairwise_identity_matrix, gc_content, dinucleotide_freq,
     mononucleotide_freq, reverse_complement, both_strands, strip_gaps, gap_filter, mask_filter, range_check, remove_common_gaps, sliding_windows,
-    window_screen, whole_block_windows, column_positions, position_columns, covariance_score, block_stats, organism_sets, fasta_wrap, maf_lines, gtf_rows)}
+    window_screen, whole_block_windows, column_positions, position_columns, covariance_score, block_stats, block_report, named_rows, organism_sets, fasta_wrap, maf_lines, gtf_rows)}
 
 _RNA = "translate(upper(seq), 'T', 'U')"
 _COUNTS = CELLS_SQL + """, counts AS (
@@ -297,4 +308,20 @@ SQL = {
     "gtf_rows": f"""WITH {BLOCKS_SQL}
         SELECT block_id, idx, concat_ws(chr(9), 'chr' || block_id, 'alignment', 'row', start + 1, start + length(replace(seq, '-', '')), '.', strand, '.',
                'block "' || block_id || '"; gaps "' || (length(seq) - length(replace(seq, '-', ''))) || '";') AS record FROM block_rows""",
+    "block_report": f"""WITH {CELLS_SQL}, per AS (
+            SELECT block_id, col, count(*) AS n, c FROM cells GROUP BY block_id, col, c
+        ), f AS (
+            SELECT block_id, sum(CASE WHEN c <> '-' THEN n * (n - 1) / 2 ELSE 0 END) AS matches, sum(CASE WHEN c = '-' THEN n * (n - 1) / 2 ELSE 0 END) AS gaps FROM per GROUP BY block_id
+        ), b AS (
+            SELECT block_id, count(*) AS n, any_value(n_cols) AS n_cols, list_sort(list_distinct(list(regexp_extract(name, '^([^.]*)', 1)))) AS orgs FROM block_rows GROUP BY block_id
+        ), k AS (
+            SELECT b.*, matches, n_cols * (n * (n - 1) / 2) - gaps AS pairs FROM b LEFT JOIN f USING (block_id)
+        ), m AS (
+            SELECT unnest(CASE WHEN n < 2 THEN [('total', ''), ('reference_only', '')] WHEN n_cols <= 1 THEN [('total', ''), ('single_column', '')] ELSE
+                [('total', ''), ('used', ''), ('length', n_cols::VARCHAR), ('identity', printf('%.2f', 100 * round(coalesce(matches / nullif(pairs, 0), 0), 4))),
+                 ('organisms', len(orgs)::VARCHAR), ('label', array_to_string(orgs, '_'))] END) AS c FROM k
+        )
+        SELECT c[1] AS metric, c[2] AS value, count(*) AS blocks FROM m GROUP BY ALL""",
+    "named_rows": f"""WITH {BLOCKS_SQL} SELECT block_id, idx, name, start, start + length(replace(seq, '-', '')) AS "end" FROM block_rows
+        WHERE regexp_matches(name, '^(user|system)\\.\\d*[02468]$')""",
 }

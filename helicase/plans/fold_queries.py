@@ -59,10 +59,8 @@ def shuffled_screen(spark, sf_dir):
 
 
 def shuffle_alignment(spark, sf_dir):
-    b = blocks(spark, sf_dir).where("n_cols > 0").select("block_id", F.transform("rows", lambda r: F.split(sq.as_rna(F.upper(r["seq"])), "")).alias("cells"))
-    columns = b.select("block_id", F.posexplode(F.transform(
-        F.element_at("cells", 1), lambda _, k: F.array_join(F.transform("cells", lambda r: r[k]), ""))).alias("col", "letters"))
-    return ops.shuffle_columns(columns.select("block_id", F.col("col").cast("long").alias("col"), "letters"))
+    """Columns of every block in other places, among those with the same gaps and the same tenth of equal pairs."""
+    return ops.shuffle_blocks(blocks(spark, sf_dir).where("n_cols > 0"))
 
 
 def stand_in_model() -> models.KernelModel:
@@ -83,7 +81,7 @@ def screen(spark, sf_dir):
                         "energy", "covariance", "comb_per_pair", "z", "sci", "dec_value", "p", "locus")
 
 
-QUERIES = {f.__name__: f for f in (fold_mfe, consensus_fold, zscore, select_sequences, sample_sequences, shuffled_screen, shuffle_alignment, screen)}
+QUERIES = {f.__name__: f for f in (shuffle_alignment, fold_mfe, consensus_fold, zscore, select_sequences, sample_sequences, shuffled_screen, screen)}
 
 SQL = {
     "shuffle_alignment": f"""WITH {CELLS_SQL}, k AS MATERIALIZED (

@@ -1,6 +1,7 @@
 """Folding against exhaustive enumeration, and the shuffles' invariants."""
 
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -182,3 +183,18 @@ def test_samples_of_rows(spark):
     chosen = blocks.select(ops.select_rows_udf(most=4)(F.transform("rows", lambda r: r["seq"])).alias("k")).first()["k"]
     assert [r.idx for r in made[1, 1].rows] == chosen
     assert made[3, 1].n_cols == 2 and [r.seq for r in made[3, 1].rows] == ["AC", "AG"]
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_shuffled_blocks_are_those_of_columns(spark, level):
+    from helicase.functions import sequences as sq
+
+    r = random.Random(level)
+    rows = [(i, n, [(k, "".join(r.choice("ACGTacgt--N") for _ in range(n))) for k in range(1 + i % 4)]) for i, n in enumerate([1, 2, 30, 57, 200])]
+    blocks = spark.createDataFrame(rows, "block_id long, n_cols int, rows array<struct<idx:int,seq:string>>")
+    cells = blocks.select("block_id", F.transform("rows", lambda x: F.split(sq.as_rna(F.upper(x["seq"])), "")).alias("cells"))
+    columns = cells.select("block_id", F.posexplode(F.transform(F.element_at("cells", 1), lambda _, k: F.array_join(F.transform("cells", lambda x: x[k]), ""))).alias("col", "letters"))
+    want = ops.shuffle_columns(columns.select("block_id", F.col("col").cast("long").alias("col"), "letters"), level=level)
+    got = ops.shuffle_blocks(blocks, level=level)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("block_id", "col", "letters", F.col("from_col").cast("long").alias("from_col")).collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
