@@ -109,7 +109,11 @@ def decision_values(rows: DataFrame, model: KernelModel, *, key: str, features:
 
 
 def score_against(rows: DataFrame, model: DataFrame, *, gamma: float, rho: float, key: str, features: str) -> DataFrame:
-    """The same for a one-row table ``model`` of ``array<struct<coef, vector>>``."""
+    """The same for a one-row table ``model`` of ``array<struct<coef, vector>>``; over MAX_VECTORS of them are an error."""
+    kind = model.schema["model"].dataType.simpleString()
+    checked = F.when(F.size("model") <= MAX_VECTORS, F.col("model")).otherwise(F.raise_error(F.lit(f"over {MAX_VECTORS} support vectors")).cast(kind))
+    # one row of checked size
+    model = model.select(checked.alias("model"))
     return rows.join(F.broadcast(model)).select(key, decision_of(F.col(features), F.col("model"), gamma=gamma, rho=rho).alias("decision"))
 
 
