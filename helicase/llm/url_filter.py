@@ -60,6 +60,29 @@ def pattern_rule(pattern: str) -> Rule:
     return Rule(pattern, verdict, regex, tokens)
 
 
+def patterns_of(lines: list[str]) -> tuple[list[str], list[str]]:
+    """The patterns of a rule list in the common text form, and the lines that none of ours can stand for.
+
+    Comments (``!``, ``#``, ``[...]``) and empty lines are passed over.  A line of a hosts
+    file (an address and a name) becomes a pattern of the name.  Rules that
+    hide elements, regular expressions, and rules with options (after ``$``) other than
+    ``important`` and ``all`` are given back, as they ask for more than the URL.
+    """
+    patterns, others = [], []
+    for line in (x.strip() for x in lines):
+        if not line or line[0] in "![" or re.match(r"#(\s|$)", line):
+            continue
+        hosts = re.fullmatch(r"(?:\d+\.\d+\.\d+\.\d+|::1?)\s+([^\s#]+)\s*(?:#.*)?", line)
+        body, _, options = line.partition("$")
+        if hosts:
+            patterns.append(f"||{hosts[1].lower()}^")
+        elif re.search(r"#[@?$%]*#", line) or re.fullmatch(r"(@@)?/.*/", body) or set(filter(None, options.split(","))) - {"important", "all"} or not body.removeprefix("@@").strip("*|"):
+            others.append(line)
+        else:
+            patterns.append(body)
+    return patterns, others
+
+
 def host_rule(name: str, verdict: str) -> Rule:
     """``host/path``: the host and its subdomains, if the path starts with the rule's.
 
@@ -175,6 +198,11 @@ def candidates_by_join(known: DataFrame, index: dict[str, list[Rule]]) -> DataFr
 
 def token_counts(urls: DataFrame, wanted: set[str]) -> dict[str, int]:
     """How many URLs hold each of the rules' own tokens."""
+    if len(wanted) > LITERAL_RULES:
+        # a table no larger than the rules
+        told = urls.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "token string")
+        counted = urls.select(F.explode(url_tokens()).alias("token")).join(told, "token", "left_semi").groupBy("token").count()
+        return {r["token"]: r["count"] for r in counted.collect()}
     only = F.array(*[F.lit(t) for t in sorted(wanted)]) if wanted else F.array().cast("array<string>")
     rows = urls.select(F.explode(F.array_intersect(url_tokens(), only)).alias("token")).groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}

@@ -62,6 +62,64 @@ def test_rules_are_indexed_by_literal_tokens():
     assert list(rule_index([host_rule("example.net/en/", "allow")], {"example": 9, "net": 3, "en": 5})) == ["net"]
 
 
+def test_rule_lists_as_text():
+    from helicase.llm.url_filter import patterns_of
+
+    text = """[Adblock Plus 2.0]
+! Title: test
+||ads.example.com^
+@@||good.example.com/ads^
+/banner/*/img^
+|http://exact.
+||x.com^$important
+||y.com^$third-party
+example.com##.ad
+example.com#@#.ad
+/regex[0-9]/
+@@/regex/
+# a comment
+0.0.0.0 tracker.net
+127.0.0.1  Evil.ORG # yes
+::1 six.net
+
+*"""
+    assert patterns_of(text.split("\n")) == (
+        ["||ads.example.com^", "@@||good.example.com/ads^", "/banner/*/img^", "|http://exact.", "||x.com^", "||tracker.net^", "||evil.org^", "||six.net^"],
+        ["||y.com^$third-party", "example.com##.ad", "example.com#@#.ad", "/regex[0-9]/", "@@/regex/", "*"])
+
+
+def test_thousands_of_rules_by_both_ways(spark, monkeypatch):
+    """Whole verdicts over a list of 3,000 rules: joined by token, looked up in the plan, and every rule run on every URL."""
+    import random
+    import re
+
+    from helicase.llm import url_filter
+    from helicase.llm.url_filter import patterns_of, pattern_rule
+
+    r = random.Random(7)
+    names = [f"w{i}" for i in range(400)]
+    lines = [f"||{r.choice(names)}.{r.choice(['com', 'net', 'org'])}^" for _ in range(1200)] + [f"^{r.choice(names)}^{r.choice(names)}^" for _ in range(1200)]
+    lines += [f"/{r.choice(names)}/*.gif" for _ in range(300)] + [f"@@||{r.choice(names)}.com/{r.choice(names)}^" for _ in range(290)] + ["plain7", "|ftp:", "^ads^"] * 3 + ["! comment"]
+    patterns, others = patterns_of(lines)
+    assert len(patterns) > 2990 and not others
+    urls = [f"http://{r.choice(['', 'a.'])}{r.choice(names)}.{r.choice(['com', 'net', 'de'])}/{r.choice(names)}{r.choice('/-.')}{r.choice(names)}{r.choice(['.gif', '', '?ads=1'])}" for _ in range(250)]
+    urls += ["ftp://x/plain7", None, "", "http://q.de/xplain7x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+
+    def told():
+        return sorted(map(str, filter_urls(df, RULES, patterns=patterns).collect()))
+
+    joined = told()
+    rules = [(pattern_rule(p), re.compile(pattern_rule(p).regex)) for p in patterns]
+    for row in filter_urls(df, RULES, patterns=patterns).collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in row.url or "")
+        fit = [x.verdict for x, regex in rules if row.url is not None and regex.search(low)]
+        if row.rule is None:
+            assert row.verdict == ("block" if "block" in fit and "allow" not in fit else "allow"), row
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 100_000)
+    assert len({tuple(x) for x in patterns}) > 2000 and told() == joined
+
+
 PAGES = [
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<br>b\n c", "a b c"), ("<p", ""),
     ("<html><head><title>T</title><style>p{}</style><script>x='</p>'</script></head><body><nav><a href=a>Home</a></nav><article><h1>Head</h1>"
