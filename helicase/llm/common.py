@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,20 @@ def in_batches(df: DataFrame, kernel, schema: str) -> DataFrame:
             for lo in range(0, b.num_rows, rows):
                 yield b.slice(lo, rows)
 
-    return df.mapInArrow(lambda batches: kernel(sliced(batches)), schema)
+    def run(batches):
+        yield from kernel(sliced(batches))
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers idle between tasks, and those of one executor share its limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
 
 
 def row_key(*columns: Column) -> Column:
