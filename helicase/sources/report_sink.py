@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .files import store_of
-from .reports import HIT_COLUMNS, LOCUS_COLUMNS, hit_line, locus_line
+from .reports import HIT_COLUMNS, LOCUS_COLUMNS, hit_line, locus_line, report_text
 
 
 @dataclass
@@ -112,3 +112,15 @@ def write_screen(hits: DataFrame, loci: DataFrame, path: str, *, header: bool =
     lines = heads.unionByName(windows).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value")
     names = "".join(f"# {chr(9).join(c.values())}\n" for c in (LOCUS_COLUMNS, HIT_COLUMNS)) if header else ""
     lines.write.format("screen_report").option("header", names).mode(mode).save(path)
+
+
+def write_reports(reports: DataFrame, path: str, *, files: int | None = None, mode: str = "append") -> None:
+    """Reports of windows as text in order of sequence and start of their first row, over ``files`` files.
+
+    ``reports`` has the columns that :func:`report_text` writes, ``seq_id``
+    and ``start``.
+    """
+    parts = files or int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["seq_id", "start", "value"]
+    text = reports.select("seq_id", "start", report_text().alias("value"))
+    text.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.format("screen_report").mode(mode).save(path)

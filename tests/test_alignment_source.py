@@ -184,3 +184,26 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         broken.write.format("screen_report").mode("append").save(str(out))
     assert list(out.iterdir()) == []
+
+
+def test_reports_in_order(spark, tmp_path):
+    from helicase.sources.report_sink import write_reports
+    from helicase.sources.reports import FIELDS, REPORT_ROW, read_reports
+
+    register_sources(spark)
+    r = random.Random(2)
+    rows = []
+    for i in range(60):
+        values = [i if kind == "int" else f"text {i}" if kind == "string" else round(r.uniform(-9, 9), 2) for _, _, _, kind in FIELDS]
+        seq, start = f"chr{i % 3}", r.randrange(1000)
+        rows.append((*values, [(seq, start, start + 8, "+", 5000, "ACGUACGU", "((....))", -1.5, -0.25, "R")], "ACGUACGU", "((....))", seq, start))
+    kinds = ", ".join(f"{n} {k}" for n, _, _, k in FIELDS)
+    frame = spark.createDataFrame(rows, f"{kinds}, rows array<{REPORT_ROW}>, consensus string, structure string, seq_id string, start long")
+    write_reports(frame, str(tmp_path / "out"), files=5)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) > 3
+    heads = [x.split()[:2] for f in files for x in f.read_text().splitlines() if x.startswith(">chr")]
+    assert heads == sorted(heads, key=lambda h: (h[0], int(h[1]))) and len(heads) == 60
+    back = read_reports(spark, str(tmp_path / "out" / "part-*"))
+    got = sorted((x.seq_id, x.start, x.n, x.z, x.prediction) for x in back.collect())
+    assert got == sorted((x[-2], x[-1], x[0], x[[n for n, *_ in FIELDS].index("z")], x[[n for n, *_ in FIELDS].index("prediction")]) for x in rows)
