@@ -8,7 +8,6 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -30,13 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed once: checkpointed where the session names a folder for that, else kept on disk.
+    """``df``, computed once and checkpointed in the shared folder.
 
-    For results that cost much and are used several times.
+    For results that cost much, are used several times, or must not come out
+    otherwise if they are computed again.
     """
-    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def ship_package(spark: SparkSession) -> None:
