@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..operators import blocks as ops
+from ..sources.alignments import maf_text
 from .fixtures import BLOCKS_SQL, CELLS_SQL, blocks
 
 
@@ -166,10 +167,14 @@ def fasta_wrap(spark, sf_dir):
 
 
 def maf_lines(spark, sf_dir):
-    """Rows as MAF ``s`` lines."""
-    size = F.length(sq.ungapped(F.col("seq")))
-    return _rows(spark, sf_dir).select("block_id", "idx", F.concat_ws(
-        " ", F.lit("s"), "name", F.col("start").cast("string"), size.cast("string"), "strand", (F.col("start") + size + 100).cast("string"), "seq").alias("line"))
+    """The ``s`` lines of blocks written as MAF; minus rows count from their own strand's start."""
+    size = lambda r: F.length(sq.ungapped(r["seq"]))
+    row = lambda r: F.struct(
+        r["name"].alias("name"), r["start"].alias("start"), (r["start"] + size(r)).alias("end"), size(r).alias("length"),
+        (r["start"] + size(r) + 100).alias("full_length"), r["strand"].alias("strand"), r["seq"].alias("seq"))
+    text = blocks(spark, sf_dir).select("block_id", "rows", maf_text(F.transform("rows", row)).alias("text"))
+    lines = text.select("block_id", "rows", F.posexplode(F.filter(F.split("text", "\n"), lambda l: l.startswith("s "))).alias("at", "line"))
+    return lines.select("block_id", F.get("rows", F.col("at"))["idx"].alias("idx"), "line")
 
 
 def gtf_rows(spark, sf_dir):
@@ -304,7 +309,7 @@ SQL = {
     "fasta_wrap": f"""WITH {BLOCKS_SQL}
         SELECT block_id, idx, '>' || name || chr(10) || regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS fasta FROM block_rows""",
     "maf_lines": f"""WITH {BLOCKS_SQL}
-        SELECT block_id, idx, concat_ws(' ', 's', name, start, length(replace(seq, '-', '')), strand, start + length(replace(seq, '-', '')) + 100, seq) AS line FROM block_rows""",
+        SELECT block_id, idx, concat_ws(' ', 's', name, if(strand = '-', 100, start), length(replace(seq, '-', '')), strand, start + length(replace(seq, '-', '')) + 100, seq) AS line FROM block_rows""",
     "gtf_rows": f"""WITH {BLOCKS_SQL}
         SELECT block_id, idx, concat_ws(chr(9), 'chr' || block_id, 'alignment', 'row', start + 1, start + length(replace(seq, '-', '')), '.', strand, '.',
                'block "' || block_id || '"; gaps "' || (length(seq) - length(replace(seq, '-', ''))) || '";') AS record FROM block_rows""",
