@@ -12,6 +12,7 @@ from ..operators import backgrounds as bg
 from ..operators import contigs as cg
 from ..operators import models, similarity
 from ..operators.block_index import block_index, blocks_under
+from ..operators.blocks import materialised
 from ..operators.kernels import classified
 from ..operators.ordered import number_loci
 from ..session import shared_folder
@@ -103,7 +104,8 @@ def parse_scored(spark, sf_dir):
         (F.col("p") * 0 + F.col("n") / 2).alias("dec_value"), "p", F.when(F.col("p") > 0.5, "RNA").otherwise("OTHER").alias("prediction"),
         F.array(F.struct(F.col("seq_id").alias("name"), "start", "end", "strand", F.lit(1 << 40).alias("full_length"), F.lit("ACGUACGU").alias("seq"), F.lit("((....))").alias("fold"),
                          (F.col("z") * 2).alias("mfe"), "z", F.lit("R").alias("method"))).alias("rows"), F.lit("ACGUACGU").alias("consensus"), F.lit("((....))").alias("structure"))
-    got = h.select("hit_id", "day", reports.parse_report(reports.report_text()).alias("r"))
+    text = materialised(h, "text", reports.report_text()).select("hit_id", "day", "text")
+    got = materialised(text, "r", reports.parse_report(F.col("text")))
     row = F.get("r.rows", F.lit(0))
     return got.select(
         "hit_id", "day", "r.n", "r.columns", "r.direction", "r.identity", "r.mean_mfe", "r.consensus_mfe", "r.energy", "r.covariance", "r.z", "r.sci", "r.dec_value", "r.p", "r.prediction", "r.structure",
