@@ -23,17 +23,32 @@ from .slices import ragged_windows, reverse_blocks
 DRAWS_AT_ONCE = 20
 
 
-def shuffled_pattern(rows: list[str], rng: np.random.Generator) -> list[str]:
-    """Columns of one pattern (the same gaps, the same rows equal) change places."""
-    cells = np.stack([np.frombuffer(r.encode("latin-1", "replace"), np.uint8) for r in rows])
+def cells_of(rows: list[str]) -> np.ndarray:
+    return np.stack([np.frombuffer(r.encode("latin-1", "replace"), np.uint8) for r in rows])
+
+
+def patterns(cells: np.ndarray) -> list[list[int]]:
+    """Columns of one pattern (the same gaps, the same rows equal) together."""
     first = (cells[:, None] == cells[None]).argmax(1)  # of every cell, the first row with its letter
     first[cells == ord("-")] = -1
     kinds: dict[bytes, list[int]] = {}
     for col, kind in enumerate(first.T.copy()):
         kinds.setdefault(kind.tobytes(), []).append(col)
-    source = np.empty(cells.shape[1], np.int64)
-    for cols in kinds.values():
+    return list(kinds.values())
+
+
+def drawn_columns(kinds: list[list[int]], rng: np.random.Generator) -> np.ndarray:
+    """Of every place, the column that moves there."""
+    source = np.empty(sum(map(len, kinds)), np.int64)
+    for cols in kinds:
         source[cols] = rng.permutation(cols)
+    return source
+
+
+def shuffled_pattern(rows: list[str], rng: np.random.Generator) -> list[str]:
+    """Columns of one pattern change places."""
+    cells = cells_of(rows)
+    source = drawn_columns(patterns(cells), rng)
     return [r.tobytes().decode("latin-1") for r in cells[:, source]]
 
 
@@ -41,16 +56,21 @@ def drawn_energies_udf(parameters: str = ""):
     """A function of an alignment's rows and a range of draws (from, to): the consensus energy of each shuffled copy."""
     @F.pandas_udf("array<double>")
     def drawn(blocks: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        copies, owner = [], []
+        known, copies = [], []
         for k, (b, lo, hi) in enumerate(zip(blocks, low, high)):
-            seed = zlib.crc32("\n".join(b).encode())
-            copies += [shuffled_pattern(list(b), np.random.default_rng([seed, i])) for i in range(lo, hi)]
-            owner += [k] * (hi - lo)
-        got = np.zeros(len(copies))
-        for group in in_batches([len(c[0]) for c in copies], [len(c) for c in copies]):
-            rows = [copies[i] for i in group]
-            got[group] = Fold(rows, energies(parameters), scores=np.stack([pair_scores(encode(r)) for r in rows])).energy()
-        return pd.Series([got[np.array(owner) == k].tolist() for k in range(len(blocks))])
+            seed, cells = zlib.crc32("\n".join(b).encode()), cells_of(list(b))
+            kinds = patterns(cells)
+            known.append((cells, pair_scores(encode(list(b)))))
+            copies += [(k, drawn_columns(kinds, np.random.default_rng([seed, i]))) for i in range(lo, hi)]
+        got: list[list[float]] = [[] for _ in known]
+        for group in in_batches([len(at) for _, at in copies], [len(known[k][0]) for k, _ in copies]):
+            own = [copies[i] for i in group]
+            rows = [[r.tobytes().decode("latin-1") for r in known[k][0][:, at]] for k, at in own]
+            # the score of two columns goes with them
+            scores = np.stack([known[k][1][np.ix_(at, at)] for k, at in own])
+            for (k, _), mfe in zip(own, Fold(rows, energies(parameters), scores=scores).energy()):
+                got[k].append(float(mfe))
+        return pd.Series(got)
 
     return drawn
 

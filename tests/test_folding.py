@@ -198,3 +198,19 @@ def test_shuffled_blocks_are_those_of_columns(spark, level):
     got = ops.shuffle_blocks(blocks, level=level)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select("block_id", "col", "letters", F.col("from_col").cast("long").alias("from_col")).collect()))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structures_cost_no_more_than_a_few_fills():
+    """Finding the pairs of a fold looks at each pair's loops as arrays, not size by size."""
+    import random
+    import time
+
+    draw = random.Random(3)
+    seqs = [["".join(draw.choices("ACGU", k=64))] for _ in range(60)]
+    Fold(seqs, energies()).pairs(0)
+    start = time.process_time()
+    folded = Fold(seqs, energies())
+    filled = time.process_time()
+    for k in range(len(seqs)):
+        folded.pairs(k)
+    assert time.process_time() - filled < 4 * (filled - start)
