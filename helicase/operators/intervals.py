@@ -10,30 +10,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ordered import opened, with_island
 
 
-def islands(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", bin_size: int = 50_000) -> DataFrame:
+#: A sequence with more rows than this is cut into bins; a shorter one is a bin of its own.
+WHOLE_ROWS = 100_000
+
+
+def islands(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", bin_size: int = 50_000, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """``rows`` with ``island``: the start of the run of intervals that overlap or touch.
 
     A row opens an island unless it starts at or before the greatest end of all
-    rows before it on its sequence.  (sequence, island) names the run.
+    rows before it on its sequence.  (sequence, island) names the run.  Rows
+    without a sequence or start are in none and go.
+
+    Scale: rows are dealt once, by sequence, where none has more than
+    ``whole_rows`` rows; what follows by sequence needs no further exchange.
+    Longer ones, of which there are few, are dealt by bins of positions, and
+    what passes a border is a row for each of their bins.
     """
-    binned = rows.withColumn("_bin", F.floor(F.col(start) / bin_size))
-    per_bin = binned.groupBy(seq, "_bin").agg(F.max(end).alias("_bin_end"))
+    placed = rows.where(F.col(seq).isNotNull() & F.col(start).isNotNull())
+    # at most a row for every ``whole_rows`` rows
+    long = settled(placed.groupBy(F.col(seq).alias("_long")).agg(F.count("*").alias("_n")).where(F.col("_n") > whole_rows).select("_long"))
+    if long.isEmpty():
+        return _opened_within(placed, [seq], start, end).withColumnRenamed("_island", "island").drop("_open")
+    short = _opened_within(placed.join(F.broadcast(long), F.col(seq) == F.col("_long"), "left_anti"), [seq], start, end)
+    binned = placed.join(F.broadcast(long), F.col(seq) == F.col("_long"), "left_semi").withColumn("_bin", F.floor(F.col(start) / bin_size))
+    within = _opened_within(binned, [seq, "_bin"], start, end)
     along = Window.partitionBy(seq).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    reach = per_bin.select(seq, "_bin", F.max("_bin_end").over(along).alias("_reach"))
-    inside = Window.partitionBy(seq, "_bin").orderBy(start, end)
+    # windows over one row for each bin: how far earlier bins reach, and the last island that they opened
+    bins = within.groupBy(seq, "_bin").agg(F.max(end).alias("_end"), F.max("_open").alias("_last")).withColumn("_reach", F.max("_end").over(along))
+    bins = bins.withColumn("_last", F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last")))
+    bins = bins.select(seq, "_bin", "_reach", F.max("_last").over(along).alias("_carried"))
+    # an island that starts within the reach of earlier bins goes on with theirs
+    joined = within.join(bins, [seq, "_bin"]).withColumn("island", F.when(F.col("_reach").isNull() | (F.col("_island") > F.col("_reach")), F.col("_island")).otherwise(F.col("_carried")))
+    return short.withColumnRenamed("_island", "island").select(*rows.columns, "island").unionByName(joined.select(*rows.columns, "island"))
+
+
+def _opened_within(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``rows`` with ``_open``, the start of a row that opens a run among those of its ``keys``, and ``_island``, the start of its run."""
+    inside = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    marked = binned.join(reach, [seq, "_bin"]).withColumn("_before", F.greatest(before, "_reach")).withColumn(
-        "_open", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), F.col(start)))
-    # the last island opened: in the bin, or else in an earlier one
-    opened = marked.groupBy(seq, "_bin").agg(F.max("_open").alias("_bin_open"))
-    carried = opened.select(seq, "_bin", F.max("_bin_open").over(along).alias("_carried"))
-    # by range, so that rows with the same start and end share an island
-    upto = F.max("_open").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = marked.join(carried, [seq, "_bin"]).withColumn("island", F.coalesce(upto, "_carried"))
-    return out.drop("_bin", "_reach", "_before", "_open", "_carried")
+    marked = rows.withColumn("_before", before).withColumn(
+        "_open", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), F.col(start))).drop("_before")
+    return marked.withColumn("_island", F.max("_open").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def islands_by_previous(rows: DataFrame, *, seq: str = "seq_id", start: str = "start", end: str = "end", parts: int | None = None) -> DataFrame:
@@ -82,9 +103,11 @@ def _cells(start: Column, end: Column, own_kind: int, climb_kind: int, above: li
     return F.concat(bins(own_kind, level), *climbs)
 
 
-def _levels(rows: DataFrame, start: str, end: str) -> list[int]:
-    """The levels that occur: at most LEVELS numbers."""
-    return sorted(r[0] for r in rows.select(level_of(F.col(start), F.col(end)).alias("level")).where("level IS NOT NULL").distinct().collect())
+def _surveyed(rows: DataFrame, seq: str, start: str, end: str) -> tuple[list[int], int]:
+    """The levels that occur, at most LEVELS numbers, and the most rows of one sequence; a single pass."""
+    level = F.call_function("shiftleft", F.lit(1), level_of(F.col(start), F.col(end)))
+    got = rows.groupBy(seq).agg(F.count("*").alias("n"), F.bit_or(level).alias("levels")).agg(F.max("n").alias("n"), F.bit_or("levels").alias("levels")).first()
+    return [l for l in range(LEVELS) if (got.levels or 0) >> l & 1], got.n or 0
 
 
 def overlap_join(
@@ -105,13 +128,18 @@ def overlap_join(
     is split between tasks, each with a copy of the bin's rows of the right.
     ``levels``, those of both sides, spare a pass over them where known.
     """
-    mine, theirs = levels or (_levels(left, start, end), _levels(right, start, end))
+    # no bin can be full if no sequence has so many rows
+    rows_left = None
+    if levels:
+        mine, theirs = levels
+    else:
+        (mine, rows_left), (theirs, _) = _surveyed(left, seq, start, end), _surveyed(right, seq, start, end)
     other = right.select(*[F.col(c).alias(f"o_{c}") for c in right.columns])
     o_start, o_end = f"o_{start}", f"o_{end}"
     # kind 0: the left interval is of the finer level, or of the same; kind 1: the right one is
     a = left.withColumn("_cell", F.explode(_cells(F.col(start), F.col(end), 1, 0, theirs, False)))
     b = other.withColumn("_cell", F.explode(_cells(F.col(o_start), F.col(o_end), 0, 1, mine, True))).withColumnRenamed(f"o_{seq}", "_oseq")
-    if split_rows:
+    if split_rows and (rows_left is None or rows_left > split_rows):
         full = a.groupBy(F.col(seq).alias("_fseq"), F.col("_cell").alias("_fcell")).agg(F.count("*").alias("_n")).where(F.col("_n") > split_rows)
         # at most MOST_SPLIT rows
         full = F.broadcast(full.orderBy(F.desc("_n")).limit(MOST_SPLIT).select("_fseq", "_fcell", F.ceil(F.col("_n") / split_rows).cast("int").alias("_splits")))
