@@ -37,9 +37,13 @@ def cluster_hits(hits: DataFrame, *, cutoff: float = 0.5, compat: bool = False)
 
 def locus_stats(clustered: DataFrame) -> DataFrame:
     """One row per locus: extent, members and the best of their scores."""
+    return _stats(clustered)
+
+
+def _stats(clustered: DataFrame, *more: Column) -> DataFrame:
     return clustered.groupBy("locus", "seq_id").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("windows"),
-        F.max("n").alias("max_n"), F.max("identity").alias("max_identity"), F.max("p").alias("max_p"), F.min("z").alias("min_z"))
+        F.max("n").alias("max_n"), F.max("identity").alias("max_identity"), F.max("p").alias("max_p"), F.min("z").alias("min_z"), *more)
 
 
 def filter_hits(clustered: DataFrame, condition: str | Column) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +52,8 @@ def filter_hits(clustered: DataFrame, condition: str | Column) -> tuple[DataFram
     ``P``, ``SCI`` and the other field names resolve without regard to case.
     """
     kept = clustered.where(condition)
-    loci = locus_stats(clustered)
-    return kept, loci.join(kept.select("locus").distinct(), "locus", "left_semi")
+    passed = F.expr(condition) if isinstance(condition, str) else condition
+    return kept, _stats(clustered, F.max(F.coalesce(passed, F.lit(False))).alias("_keeps")).where("_keeps").drop("_keeps")
 
 
 def count_hits(kept: DataFrame) -> DataFrame:
