@@ -17,6 +17,8 @@ from .common import tokenizer_path
 
 #: Bytes of words and their ids that a worker remembers before it starts afresh.
 REMEMBERED = 24_000_000
+#: What parts words in ASCII text beside single spaces and line feeds.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 _loaded: dict[str, Encoder] = {}
 
@@ -98,7 +100,8 @@ class Encoder:
         self._encode(list(ask))
         for w, stem in stems.items():
             known[w] = known[stem] + self.marks[w[-1]]
-        self.held += sum(map(len, words)) + sum(map(len, map(known.__getitem__, words)))
+            self.held += len(known[w])
+        self.held += sum(map(len, words))
 
     def _encode_marked(self, words: list[str]) -> bool:
         """Words in one text, told apart by the ids that begin or end a word; whether that is certain.
@@ -114,7 +117,8 @@ class Encoder:
         cuts = [*(at * 4).tolist(), len(raw)] if self.keeps_space else [0, *((at + 1) * 4).tolist()]
         if cuts[0] or cuts[-1] != len(raw):
             return False
-        self.known.update((w, raw[cuts[i]:cuts[i + 1]]) for i, w in enumerate(words))
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        self.held += len(raw)
         return True
 
     def _encode_joined(self, words: list[str]) -> None:
@@ -126,6 +130,7 @@ class Encoder:
         if len(ends) == len(words) - 1:
             cuts = [0, *((ends + 1) * 4).tolist(), len(raw) + 4]
             self.known.update((w, raw[cuts[i]:cuts[i + 1] - 4]) for i, w in enumerate(words))
+            self.held += len(raw)
 
     def _encode(self, words: list[str]) -> None:
         if not words:
@@ -135,6 +140,20 @@ class Encoder:
         owner = np.asarray([-1 if x is None else x for x in enc.word_ids], np.int64)
         cuts = (np.searchsorted(owner, np.arange(len(words) + 1)) * 4).tolist()
         self.known.update((w, raw[cuts[i]:cuts[i + 1]]) for i, w in enumerate(words))
+        self.held += len(raw)
+
+    def _words(self, text: str) -> list[str] | None:
+        """What the text is looked up by, line feeds included where they yield ids; nothing if its words aren't parted by single spaces and line feeds."""
+        if self.keeps_space and text.isascii():
+            if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+                return None
+        else:
+            words = text.split()
+            if " ".join(words) != text.replace("\n", " "):
+                return None
+            if not self.keeps_space:
+                return words
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens."""
@@ -142,25 +161,17 @@ class Encoder:
             self.known.clear()
             self.held = 0
         known = self.known
+        known["\n"] = self.newline
         plans: list = []
-        missing: set[str] = set()
+        met: set[str] = set()
         for text in texts:
-            words = text.split()
-            if not text or " ".join(words) != text.replace("\n", " ") or "\0" in text or self._may_be_special(text):
-                plans.append(text)
-            elif self.keeps_space:
-                lines = [line.replace(" ", "\0 ").split("\0") for line in text.split("\n")]
-                plans.append(lines)
-                for line in lines:
-                    missing.update(set(line).difference(known))
-            else:
-                plans.append([words])
-                missing.update(set(words).difference(known))
+            words = None if not text or "\0" in text or self._may_be_special(text) else self._words(text)
+            plans.append(text if words is None else words)
+            if words is not None:
+                met.update(words)
+        # a word is looked up once for all texts
+        missing = met.difference(known)
         if missing:
             self._learn(list(missing))
         get = known.__getitem__
-        return [
-            (self._whole(plan) if plan else b"") if isinstance(plan, str)
-            else self.newline.join([b"".join(map(get, line)) for line in plan])
-            for plan in plans
-        ]
+        return [(self._whole(plan) if plan else b"") if isinstance(plan, str) else b"".join(map(get, plan)) for plan in plans]
