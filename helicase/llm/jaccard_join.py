@@ -254,14 +254,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (x, y, wide) with sizes and whether they link; wide ones also with the n-grams ``d`` that one of the two has alone.
 
     Whole sets meet only where the prefixes of the further orders share an
-    n-gram too, or the pair is wide.
+    n-gram too, or the pair is wide.  Pairs are staged and joined to the sets
+    twice; those of a hub are split as a skewed join.
     """
+    pairs = stage(pairs, name="pairs")
     side = sets.select("digest", "n", "grams", "prefix_2", "prefix_3")
 
     def of(s: str) -> DataFrame:
         return side.select(F.col("digest").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in side.columns[1:]])
 
-    known = salted_join(salted_join(pairs, of("x"), "x", ["y"], how="inner"), of("y"), "y", ["x"], how="inner")
+    known = pairs.join(of("x"), "x").join(of("y"), "y")
     agreed = F.arrays_overlap("prefix_2_x", "prefix_2_y") & F.arrays_overlap("prefix_3_x", "prefix_3_y")
     both = F.when(F.col("agreed"), F.size(F.array_intersect("grams_x", "grams_y"))).otherwise(0)
     apart = F.concat(F.array_except("grams_x", "grams_y"), F.array_except("grams_y", "grams_x"))
@@ -295,7 +297,8 @@ def star_pairs(groups: DataFrame, first: str, *, wide: Column, percent: int) ->
     Of groups that aren't wide, only pairs that may link.
     """
     hub = groups.groupBy("key").agg(F.min(F.struct(F.col(first).alias("first"), "n", "digest", "uniques")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = salted_join(groups, hub, "key", ["digest"], how="inner").where("hub.digest <> digest").withColumn("wide", wide)
+    # staged, so that a large group is split as a skewed join
+    met = groups.join(stage(hub, name="hubs"), "key").where("hub.digest <> digest").withColumn("wide", wide)
     met = met.where(F.col("wide") | may_link(percent, F.col("n"), F.col("hub.n"), F.col("uniques") + F.col("hub.uniques")))
     return met.groupBy(F.col("digest").alias("x"), F.col("hub.digest").alias("y")).agg(F.max("wide").alias("wide"))
 
@@ -371,8 +374,8 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
         members = groups.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         members = stage(members, name="members")
         held = members.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        held = held.select("key", (F.lit(not last) & (F.col("members") > (PAIRED_SPLIT if split else PAIRED))).alias("large"))
-        opened = stage(salted_join(members, held, "key", ["digest"], how="inner"), name="open")
+        held = stage(held.select("key", (F.lit(not last) & (F.col("members") > (PAIRED_SPLIT if split else PAIRED))).alias("large")), name="held")
+        opened = stage(members.join(held, "key"), name="open")
         pairs = pairs_within(opened.where("NOT large"), percent)
         if split:
             pairs = pairs.unionByName(star_pairs(opened.where("large"), "width", wide=F.lit(True), percent=percent))
@@ -384,9 +387,10 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
         place = near.select("hub", "digest", "joined").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         active = place.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("joined").alias("all_joined")).where(
             "a <> b AND NOT all_joined").select("hub")
+        active = stage(active, name="active")
         if last or active.isEmpty():
             return labels if links.isEmpty() else stage(components(known.unionByName(links), src="x", dst="y"), name="labels")
-        near = stage(salted_join(near, active, "hub", ["digest"], how="inner"), name="near")
+        near = stage(near.join(active, "hub"), name="near")
         groups = stage(split_groups(near, percent).join(about, "digest"), name="groups")
     return labels
 
@@ -414,8 +418,9 @@ def jaccard_components(
     Repeated rows get one component.  An empty table gives no rows.  Other
     columns are not read.
 
-    Scale: every step is a shuffle on hashes with salted hot keys; nothing is
-    broadcast or collected but a few sums.  Documents are read twice: for their
+    Scale: every step is a shuffle on hashes; hot keys are salted, or split by
+    Spark as skewed joins between staged tables, so that plans stay short and
+    the driver has little to hold.  Nothing is collected but a few sums.  Documents are read twice: for their
     n-grams, and once more for those of a document per set that survives
     step 1.
     """
@@ -434,10 +439,11 @@ def jaccard_components(
     near = again.where(100 * (F.col("n") - F.col("uniques")) >= percent * F.col("n")).select("digest", "uniques")
     labels = link_sets(prefixed(sets.join(near, "digest"), percent), percent)
 
-    members = salted_join(copied.select("doc_id", "text_key", "n", "digest"), labels.withColumnRenamed("node", "digest"), "digest", ["doc_id", "text_key"])
+    # copies of one text, and members of one component, are split as skewed joins
+    members = copied.select("doc_id", "text_key", "n", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     members = stage(members.select("doc_id", "text_key", "n", F.coalesce("label", "digest").alias("label")), name="labelled")
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("lead"))
-    joined = salted_join(members, least, "label", ["doc_id", "text_key"], how="inner").select(
+    least = stage(members.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("lead")), name="least")
+    joined = members.join(least, "label").select(
         "doc_id", "n", "component_id", "text_key", (place == F.col("lead")).alias("leads"))
     alone = counted.where("NOT copied").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key", F.lit(True).alias("leads"))
     return joined.unionByName(alone).select(

@@ -227,12 +227,13 @@ def near_earlier(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFr
     from_long = salted_join(at.select("line", "order", "key"), earlier, "key", ["line"], how="inner").where(
         "first_order < order").select("line", "first", "first_order")
     pairs = one.unionByName(from_short).unionByName(from_long).groupBy("line").agg(F.min(F.struct("first_order", "first")).alias("least"))
-    pairs = pairs.select("line", F.col("least.first").alias("first"))
+    pairs = stage(pairs.select("line", F.col("least.first").alias("first")), name="pairs")
 
+    # words are staged too: a line that many others match is split as a skewed join
     text_of = words.select("line", "words")
     told = pairs.join(text_of, "line")
     other = text_of.select(F.col("line").alias("first"), F.col("words").alias("other_words"))
-    return in_batches(salted_join(told, other, "first", ["line"], how="inner").select("line", "first", "words", "other_words"),
+    return in_batches(told.join(other, "first").select("line", "first", "words", "other_words"),
                       _verify, "line binary, first binary")
 
 

@@ -144,3 +144,27 @@ def test_parities_never_exceed_the_difference():
         bits = sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(parities(x), parities(y)))
         assert bits <= len(np.setxor1d(x, y))
     assert parities(np.array([], np.uint64)) == [0, 0, 0, 0]
+
+
+def test_plans_hold_no_other_plan_twice(spark, monkeypatch):
+    """The driver's memory follows the plans: each that links sets or finds components exchanges rows a few times only."""
+    import helicase.llm.common as common
+    import helicase.llm.jaccard_join as jaccard
+
+    exchanges, real = [], common.stage
+
+    def counted(df, **options):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges.append((options.get("name"), plan.count("Exchange")))
+        return real(df, **options)
+
+    monkeypatch.setattr(common, "stage", counted)
+    monkeypatch.setattr(jaccard, "stage", counted)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:20 + i % 3] + [f"x{i % 9}"] + words[25:]) for i in range(30)] + ["alone in here"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = jaccard_components(docs, size=3, percent=80).collect()
+    assert len(got) == 31
+    linking = {"groups", "hubs", "pairs", "verified", "edges", "least", "large", "low", "members", "held", "open", "active", "near", "labels", "labelled"}
+    assert {"verified", "edges"} <= {name for name, _ in exchanges}
+    assert max(n for name, n in exchanges if name in linking) <= 9
