@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from ..sources.datasource import SCHEMA, parsed
 from ..sources.files import opened
 from .intervals import overlap_join
@@ -118,9 +119,15 @@ def fetch(places: DataFrame, *, forward: bool = True, parts: int | None = None)
 
 
 def blocks_under(features: DataFrame, index: DataFrame, *, forward: bool = True, seq: str = "seq_id", start: str = "start", end: str = "end") -> DataFrame:
-    """Blocks of which the reference interval shares a position with a feature (half open: touching isn't enough)."""
+    """Blocks of which the reference interval shares a position with a feature (half open: touching isn't enough).
+
+    A feature that another one of the same start outlasts meets nothing that
+    the other doesn't, so of each start the greatest end is asked for: copies
+    and shorter ones go while features are read, before any exchange.
+    """
     # the join takes touching for sharing, so both sides give up their last position's edge
     asked = features.select(F.col(seq).alias("seq_id"), F.col(start).alias("start"), (F.col(end) - 1).alias("end")).where("end >= start")
+    asked = settled(asked.groupBy("seq_id", "start").agg(F.max("end").alias("end")))
     held = index.where("seq_id IS NOT NULL AND start IS NOT NULL AND end > start").withColumn("end", F.col("end") - 1)
     both = overlap_join(asked, held)
     return fetch(both.select(*[F.col(f"o_{c}").alias(c) for c in ("file", "offset", "size", "format")]), forward=forward)

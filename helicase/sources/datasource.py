@@ -4,7 +4,8 @@
     blocks = spark.read.format("alignments").option("partitionBytes", 64 << 20).load(path)
 
 A file is cut into byte ranges; the reader of a range takes the blocks that
-begin in it, so any number of ranges gives the blocks that one gives.
+begin in it, so any number of ranges gives the blocks that one gives.  Narrow
+ranges are read several to a task, as a task costs more than a range.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SCHEMA = f"file string, offset bigint, size bigint, format string, n_cols int, r
 #: The line with which a block begins.
 BEGINS = {"maf": b"a", "clustal": b"CLUSTAL"}
 PARTITION_BYTES = 64 << 20
+#: A task takes ranges up to so many bytes, as long as there are so many tasks.
+TASK_BYTES, LEAST_TASKS = 4 << 20, 64
 _CLUSTAL_ROW = re.compile(r"(?!//)[^\s#]+\s+[A-Za-z.-]+(\s+\d+)?\s*$")
 
 
@@ -89,6 +92,27 @@ class FileRange(InputPartition):
     end: int | None = None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: ranges in order of file and place."""
+
+    ranges: list[FileRange]
+
+
+def dealt(ranges: list[tuple[FileRange, int]]) -> list[Ranges]:
+    """Ranges with their bytes, in order -> tasks of up to TASK_BYTES, of less while those would be under LEAST_TASKS, of one range at least."""
+    most = min(TASK_BYTES, sum(size for _, size in ranges) // LEAST_TASKS)
+    out: list[Ranges] = []
+    held = 0
+    for one, size in ranges:
+        if not out or held + size > most:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(one)
+        held += size
+    return out
+
+
 class AlignmentReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [options["path"]] if "path" in options else []
@@ -102,7 +126,7 @@ class AlignmentReader(DataSourceReader):
         if self.width < 1:
             raise ValueError("partitionBytes must be positive")
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for path in self.paths:
             for file, size in listed(path):
@@ -110,16 +134,18 @@ class AlignmentReader(DataSourceReader):
                 if kind not in BEGINS:
                     raise ValueError(f"{file}: neither MAF nor CLUSTAL")
                 if file.endswith(".gz"):  # can't be entered in the middle
-                    out.append(FileRange(file, kind))
+                    out.append((FileRange(file, kind), size))
                 else:
-                    out += [FileRange(file, kind, at, min(at + self.width, size)) for at in range(0, size, self.width)]
-        return out
-
-    def read(self, partition: FileRange) -> Iterator[tuple]:
-        with opened(partition.file) as file:
-            for offset, raw in records(file, BEGINS[partition.kind], partition.start, partition.end):
-                if row := parsed(partition.file, offset, raw, partition.kind, forward=self.forward):
-                    yield row
+                    ends = [(at, min(at + self.width, size)) for at in range(0, size, self.width)]
+                    out += [(FileRange(file, kind, at, end), end - at) for at, end in ends]
+        return dealt(out)
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for one in partition.ranges:
+            with opened(one.file) as file:
+                for offset, raw in records(file, BEGINS[one.kind], one.start, one.end):
+                    if row := parsed(one.file, offset, raw, one.kind, forward=self.forward):
+                        yield row
 
 
 class AlignmentSource(DataSource):
