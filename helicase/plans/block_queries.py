@@ -38,7 +38,7 @@ def pairwise_identity_matrix(spark, sf_dir):
 def gc_content(spark, sf_dir):
     """Mean over rows of the share of G and C."""
     share = F.round(sq.gc_share(F.col("seq")) * 1e9).cast("long")
-    return _rows(spark, sf_dir).groupBy("block_id").agg(F.round(F.sum(share) / F.count("*") / 1e9, 6).alias("gc"))
+    return _rows(spark, sf_dir).groupBy("block_id").agg(sq.rounded(F.sum(share) / F.count("*") / 1e9, 6).alias("gc"))
 
 
 def dinucleotide_freq(spark, sf_dir):
@@ -47,7 +47,7 @@ def dinucleotide_freq(spark, sf_dir):
     rows = ops.materialised(rows, "n", F.length("s"))
     pairs = rows.select("block_id", "idx", "n", F.explode(sq.dinucleotide_pairs(F.col("s"))).alias("pair"))
     return pairs.groupBy("block_id", "idx", "n", "pair").agg(F.count("*").alias("pairs")).withColumn(
-        "share", F.round(F.col("pairs") / (F.col("n") - 1), 3))
+        "share", sq.rounded(F.col("pairs") / (F.col("n") - 1), 3))
 
 
 def mononucleotide_freq(spark, sf_dir):
@@ -78,12 +78,12 @@ def gap_filter(spark, sf_dir):
     ref = F.get("rows", F.lit(0))["seq"]
     rows = blocks(spark, sf_dir).withColumn("ref", ref).select("block_id", "n_cols", "ref", F.explode("rows").alias("r"))
     return rows.select(
-        "block_id", F.col("r.idx").alias("idx"), F.round(sq.gap_share_against(F.col("ref"), F.col("r.seq")), 6).alias("gap_share"),
-        F.round(sq.gap_share(F.col("r.seq"), F.col("n_cols")), 6).alias("own_gap_share")).where("gap_share <= 0.25")
+        "block_id", F.col("r.idx").alias("idx"), sq.rounded(sq.gap_share_against(F.col("ref"), F.col("r.seq")), 6).alias("gap_share"),
+        sq.rounded(sq.gap_share(F.col("r.seq"), F.col("n_cols")), 6).alias("own_gap_share")).where("gap_share <= 0.25")
 
 
 def mask_filter(spark, sf_dir):
-    return _rows(spark, sf_dir).select("block_id", "idx", F.round(sq.masked_share(F.col("seq"), F.col("n_cols")), 6).alias("masked_share")).withColumn(
+    return _rows(spark, sf_dir).select("block_id", "idx", sq.rounded(sq.masked_share(F.col("seq"), F.col("n_cols")), 6).alias("masked_share")).withColumn(
         "kept", F.col("masked_share") <= 0.1)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sequences as sq
 from ..operators import models as ops
 from .fixtures import HITS_SQL, hits, vectors
 
@@ -21,18 +22,18 @@ def _centroids(spark, sf_dir):
 
 def svm_decision(spark, sf_dir):
     scored = ops.score_against(vectors(spark, sf_dir), _centroids(spark, sf_dir), gamma=GAMMA, rho=RHO, key="vec_id", features="features")
-    return scored.select("vec_id", F.round("decision", 6).alias("decision"))
+    return scored.select("vec_id", sq.rounded(F.col("decision"), 6).alias("decision"))
 
 
 def svm_probability(spark, sf_dir):
     scored = ops.score_against(vectors(spark, sf_dir), _centroids(spark, sf_dir), gamma=GAMMA, rho=RHO, key="vec_id", features="features")
-    return scored.select("vec_id", F.round(ops.probability(F.col("decision"), PROB_A, PROB_B), 6).alias("p"))
+    return scored.select("vec_id", sq.rounded(ops.probability(F.col("decision"), PROB_A, PROB_B), 6).alias("p"))
 
 
 def scaled_features(spark, sf_dir):
     h = hits(spark, sf_dir)
     low, high = ops.DECISION_RANGES["mono"]["z"]
-    return h.select("hit_id", F.round(ops.scale(F.col("z"), low, high), 6).alias("z_scaled"), F.round(ops.standardise(F.col("columns").cast("double"), 225.0, 114.5698), 6).alias("length_standard"))
+    return h.select("hit_id", sq.rounded(ops.scale(F.col("z"), low, high), 6).alias("z_scaled"), sq.rounded(ops.standardise(F.col("columns").cast("double"), 225.0, 114.5698), 6).alias("length_standard"))
 
 
 def range_warnings(spark, sf_dir):
@@ -42,7 +43,7 @@ def range_warnings(spark, sf_dir):
 def structure_conservation(spark, sf_dir):
     """Mean energies and their ratio per sequence."""
     per = hits(spark, sf_dir).groupBy("seq_id").agg(F.sum(F.col("z").cast("long")).alias("consensus"), F.sum(F.round(F.col("p") * 10).cast("long")).alias("rows"))
-    return per.select("seq_id", F.round(ops.structure_conservation(F.col("consensus").cast("double"), F.col("rows").cast("double")), 6).alias("sci"))
+    return per.select("seq_id", sq.rounded(ops.structure_conservation(F.col("consensus").cast("double"), F.col("rows").cast("double")), 6).alias("sci"))
 
 
 def strand_features(spark, sf_dir):

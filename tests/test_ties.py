@@ -29,6 +29,15 @@ def test_scores_on_a_border_round_as_in_sql(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["block_report", "pairwise_identity_matrix"])
+def test_identities_on_a_border_round_as_in_sql(spark, tmp_path, name):
+    """57, 69 and 139 of 800 columns alike: on a border of four places as decimal text, and beside it in binary."""
+    rows = [(conv, turn, role, "a" * same + x * (800 - same)) for conv, same in enumerate((57, 69, 139)) for turn, role, x in ((0, "user", "a"), (1, "system", "c"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().to_parquet(f"{tmp_path}/conversations.parquet")
+    got, want = both(spark, tmp_path, name, "conversations")
+    assert got == want
+
+
 def test_equal_and_cut_matches_as_in_sql(spark, tmp_path):
     """9 and 10 are equally like the query 9; of 20's match with 21 a mismatch near the end would be cut off."""
     import random
