@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.energy import energies
-from ..functions.folding import Fold
+from ..functions.folding import Fold, Room
 from .folding import background_udf, in_batches, shuffled_bases, shuffled_pairs
 from .kernels import Matrices, values_udf
 from .models import KernelModel
@@ -182,13 +182,13 @@ def backs_udf(spark: SparkSession, regression: Regression, *, keep: bool = False
                 m, d = (m * BASE_RESULT["mean"][1] + BASE_RESULT["mean"][0], d * BASE_RESULT["sd"][1] + BASE_RESULT["sd"][0]) if want == 0 else (m / 10 * len(s), d)
                 if m <= LEAST_MEAN and d >= LEAST_SD:
                     out[s] = (m, d, "R")
-        left = [s for s in seqs if s not in out]
-        for group in in_batches([len(s) for s in left], [samples] * len(left)):
+        left, room = [s for s in seqs if s not in out], Room()
+        for group in in_batches([len(s) for s in left], [1] * len(left), samples):
             drawn = []
             for i in group:
                 rng = np.random.default_rng(zlib.crc32(left[i].encode()))
                 drawn += [[shuffle(left[i], rng)] for _ in range(samples)]
-            got = Fold(drawn, energies(parameters)).energy().reshape(len(group), samples)
+            got = Fold(drawn, energies(parameters), room=room).energy().reshape(len(group), samples)
             for i, own in zip(group, got):
                 out[left[i]] = (float(own.mean()), float(own.std(ddof=1)), "S")
         return out

@@ -18,40 +18,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.energy import energies
-from ..functions.folding import Fold, dot_bracket, encode, pair_scores
+from ..functions.folding import Fold, Room, dot_bracket
 from .blocks import remove_common_gaps
 
-#: Cells (rows times width squared) that one batch may fill.
-BATCH_CELLS = 400_000
+#: Cells (width squared of each alignment) that one batch may fill.
+BATCH_CELLS = 2_000_000
 FOLDED = "mfe double, structure string"
 CONSENSUS = "consensus_mfe double, energy_part double, covariance_part double, structure string, n_pairs int, combinations double"
 
 
-def in_batches(widths: list[int], rows: list[int]):
-    """Indices of items of one shape together, few enough for BATCH_CELLS."""
+def in_batches(widths: list[int], rows: list[int], copies: int = 1):
+    """Indices of items of as many rows and of nearly one width together, the widest first, few enough for BATCH_CELLS with ``copies`` of each."""
     alike = defaultdict(list)
-    for i, shape in enumerate(zip(widths, rows)):
-        alike[shape].append(i)
-    for (w, r), found in alike.items():
-        step = max(1, BATCH_CELLS // max(1, w * w * r))
-        for lo in range(0, len(found), step):
-            yield found[lo:lo + step]
+    for i, r in enumerate(rows):
+        alike[r].append(i)
+    for found in alike.values():
+        group: list[int] = []
+        for i in sorted(found, key=lambda i: -widths[i]):
+            if group and ((len(group) + 1) * copies * widths[group[0]]**2 > BATCH_CELLS or 4 * widths[i] < 3 * widths[group[0]]):
+                yield group
+                group = []
+            group.append(i)
+        yield group
 
 
 def fold_udf(parameters: str = ""):
     """A function of an ungapped sequence: its least energy and a structure that has it; null stays null."""
     @F.pandas_udf(FOLDED)
     def fold(seqs: pd.Series) -> pd.DataFrame:
-        got: list = [(None, None)] * len(seqs)
-        known = [i for i, s in enumerate(seqs) if s is not None]
+        got: list = [(None, None) if s is None else (0.0, "") for s in seqs]
+        known, room = [i for i, s in enumerate(seqs) if s], Room()
         for group in in_batches([len(seqs[i]) for i in known], [1] * len(known)):
             at = [known[g] for g in group]
-            if not seqs[at[0]]:
-                got = [(0.0, "") if i in set(at) else g for i, g in enumerate(got)]
-                continue
-            folded = Fold([[seqs[i]] for i in at], energies(parameters))
+            folded = Fold([[seqs[i]] for i in at], energies(parameters), room=room)
             for k, (i, mfe) in enumerate(zip(at, folded.energy())):
-                got[i] = (float(mfe), dot_bracket(folded.n, folded.pairs(k)))
+                got[i] = (float(mfe), dot_bracket(len(seqs[i]), folded.pairs(k)))
         return pd.DataFrame(got, columns=["mfe", "structure"])
 
     return fold
@@ -67,17 +68,15 @@ def consensus_udf(parameters: str = ""):
     @F.pandas_udf(CONSENSUS)
     def consensus(blocks: pd.Series) -> pd.DataFrame:
         got: list = [(None,) * 6] * len(blocks)
-        known = [i for i, b in enumerate(blocks) if b is not None and len(b) and len(b[0])]
+        known, room = [i for i, b in enumerate(blocks) if b is not None and len(b) and len(b[0])], Room()
         for group in in_batches([len(blocks[i][0]) for i in known], [len(blocks[i]) for i in known]):
             at = [known[g] for g in group]
             rows = [list(blocks[i]) for i in at]
-            codes = [encode(r) for r in rows]
-            scores = np.stack([pair_scores(c) for c in codes])
-            folded = Fold(rows, energies(parameters), scores=scores)
+            folded = Fold(rows, energies(parameters), consensus=True, room=room)
             for k, (i, mfe) in enumerate(zip(at, folded.energy())):
                 pairs = folded.pairs(k)
-                bonus = -sum(int(scores[k, x, y]) for x, y in pairs) / (100.0 * folded.s)
-                got[i] = (float(mfe), float(mfe) - bonus, bonus, dot_bracket(folded.n, pairs), len(pairs), combinations(codes[k], pairs))
+                bonus = -sum(folded.scores_of(k, pairs)) / (100.0 * folded.s)
+                got[i] = (float(mfe), float(mfe) - bonus, bonus, dot_bracket(len(rows[k][0]), pairs), len(pairs), combinations(folded.codes[:, :, k], pairs))
         return pd.DataFrame(got, columns=["consensus_mfe", "energy_part", "covariance_part", "structure", "n_pairs", "combinations"])
 
     return consensus
@@ -85,9 +84,9 @@ def consensus_udf(parameters: str = ""):
 
 def combinations(codes: np.ndarray, pairs: list[tuple[int, int]]) -> float:
     """Different pairing combinations of bases for each consensus pair, on average; 0 without pairs."""
-    from ..functions.energy import PAIR
-
-    kinds = sum(len({int(t) for t in PAIR[codes[:, i], codes[:, j]] if t}) for i, j in pairs)
+    rows = codes.tolist()
+    # two bases pair if their codes add up to 5 or 7
+    kinds = sum(len({(r[i], r[j]) for r in rows if r[i] + r[j] in (5, 7)}) for i, j in pairs)
     return kinds / len(pairs) if pairs else 0.0
 
 
@@ -140,13 +139,13 @@ def background_udf(samples: int, *, pairs: bool = True, parameters: str = ""):
     @F.pandas_udf("mean_mfe double, sd_mfe double")
     def background(seqs: pd.Series) -> pd.DataFrame:
         out: list = [(None, None)] * len(seqs)
-        known = [i for i, s in enumerate(seqs) if s]
-        for group in in_batches([len(seqs[i]) for i in known], [samples] * len(known)):
+        known, room = [i for i, s in enumerate(seqs) if s], Room()
+        for group in in_batches([len(seqs[i]) for i in known], [1] * len(known), samples):
             drawn = []
             for i in group:
                 rng = np.random.default_rng(zlib.crc32(seqs[known[i]].encode()))
                 drawn += [[shuffle(seqs[known[i]], rng)] for _ in range(samples)]
-            got = Fold(drawn, energies(parameters)).energy().reshape(len(group), samples)
+            got = Fold(drawn, energies(parameters), room=room).energy().reshape(len(group), samples)
             for i, own in zip(group, got):
                 out[known[i]] = (float(own.mean()), float(own.std(ddof=1)))
         return pd.DataFrame(out, columns=["mean_mfe", "sd_mfe"])

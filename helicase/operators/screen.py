@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.energy import energies
-from ..functions.folding import Fold, dot_bracket, encode
+from ..functions.folding import Fold, Room, dot_bracket
 from ..session import settled
 from . import models
 from .backgrounds import Regression, backs_udf
@@ -55,16 +55,17 @@ def stats_udf():
     return stats
 
 
-def fold_rows_udf(parameters: str = ""):
-    """A function of sequences without gaps: the least energy and a structure of each; equal ones of a batch are folded once."""
+def fold_rows_udf(parameters: str = "", structures: bool = True):
+    """A function of sequences without gaps: the least energy and a structure of each (or null); equal ones of a batch are folded once."""
     @F.pandas_udf(FOLDS)
     def fold(blocks: pd.Series) -> pd.DataFrame:
         known = sorted({s for b in blocks if b is not None for s in b if s})
         made: dict[str, tuple[float, str]] = {"": (0.0, "")}
+        room = Room()
         for group in in_batches([len(s) for s in known], [1] * len(known)):
-            folded = Fold([[known[g]] for g in group], energies(parameters))
+            folded = Fold([[known[g]] for g in group], energies(parameters), room=room)
             for k, (g, mfe) in enumerate(zip(group, folded.energy())):
-                made[known[g]] = float(mfe), dot_bracket(folded.n, folded.pairs(k))
+                made[known[g]] = float(mfe), dot_bracket(len(known[g]), folded.pairs(k)) if structures else None
         rows = [([made[s][0] for s in b], [made[s][1] for s in b]) if b is not None else (None, None) for b in blocks]
         return pd.DataFrame(rows, columns=["mfes", "structures"])
 
@@ -149,7 +150,7 @@ def _by_kind(kind: Column, of: Callable[[str], Column]) -> Column:
 
 def score_windows(
     windows: DataFrame, *, decision: models.KernelModel | dict[str, models.KernelModel], background: Callable[[Column], tuple[Column, Column]] | Regression | None,
-    kind: str | Column = "di", strands: tuple[str, ...] = ("+", "-"), samples: int = 1000, keep: bool = False, parameters: str = "",
+    kind: str | Column = "di", strands: tuple[str, ...] = ("+", "-"), samples: int = 1000, keep: bool = False, parameters: str = "", structures: bool = True,
 ) -> DataFrame:
     """Every window on every strand with its folds, z-score, conservation index, decision value and probability ``p``.
 
@@ -159,6 +160,7 @@ def score_windows(
     ``samples`` shuffles (with ``keep`` none for their composition); None, for shuffles of every row; or a
     function that gives mean and deviation of a sequence's energies.  The forward strand is
     folded as DNA letters, the reverse one as RNA, as published models were trained.
+    Without ``structures`` the rows' own folds are null; nothing else depends on them.
     """
     named = F.lit(kind) if isinstance(kind, str) else kind
     by_name = decision if isinstance(decision, dict) else {kind: decision} if isinstance(kind, str) else dict.fromkeys(models.DECISION_RANGES, decision)
@@ -166,7 +168,7 @@ def score_windows(
     read = F.transform("rows", lambda r: F.when(F.col("reading") == "+", sq.as_dna(r["seq"])).otherwise(sq.reverse_complement_rna(sq.as_rna(r["seq"]))))
     both = materialised(both, "seqs", read)
     both = materialised(both, "bare", F.transform("seqs", lambda s: sq.as_rna(sq.ungapped(s))))
-    folded = both.withColumn("c", once(consensus_udf(parameters))("seqs")).withColumn("f", once(fold_rows_udf(parameters))("bare"))
+    folded = both.withColumn("c", once(consensus_udf(parameters))("seqs")).withColumn("f", once(fold_rows_udf(parameters, structures))("bare"))
     if background is None:
         place = ["block_id", "slice_start", "reading"]
         rows = folded.select(*place, F.posexplode("bare").alias("at", "s")).withColumn("b", background_udf(samples, pairs=kind != "mono", parameters=parameters)("s"))
@@ -194,7 +196,8 @@ def score_windows(
         (F.get("rows", F.lit(0))["start"] + F.length(sq.ungapped(F.get("rows", F.lit(0))["seq"]))).alias("end"),
         F.col("reading").alias("strand"),
         F.transform("rows", lambda r, i: F.struct(
-            r["name"].alias("name"), F.get("seqs", i).alias("seq"), with_gaps(F.get("f.structures", i), F.get("seqs", i)).alias("fold"),
+            r["name"].alias("name"), F.get("seqs", i).alias("seq"),
+            F.when(F.get("f.structures", i).isNotNull(), with_gaps(F.get("f.structures", i), F.get("seqs", i))).alias("fold"),
             F.get("f.mfes", i).alias("mfe"), F.get("zs", i).alias("z"), F.get(ways, i).alias("method"))).alias("rows"), "_kind")
     scored = scored.withColumn("sci", models.structure_conservation(F.col("consensus_mfe"), F.col("mean_mfe")))
     scored = scored.withColumn("warnings", _by_kind(F.col("_kind"), models.range_warnings)).withColumn("_features", _by_kind(F.col("_kind"), models.scaled_features))

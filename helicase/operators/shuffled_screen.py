@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.energy import energies
-from ..functions.folding import Fold, encode, pair_scores
-from .folding import consensus_udf, in_batches
+from ..functions.folding import Fold, Room, encode
+from ..session import settled
+from .folding import in_batches
 from .slices import ragged_windows, reverse_blocks
 
 #: Draws that one row of the plan stands for.
@@ -27,21 +28,22 @@ def cells_of(rows: list[str]) -> np.ndarray:
     return np.stack([np.frombuffer(r.encode("latin-1", "replace"), np.uint8) for r in rows])
 
 
-def patterns(cells: np.ndarray) -> list[list[int]]:
+def patterns(cells: np.ndarray) -> list[np.ndarray]:
     """Columns of one pattern (the same gaps, the same rows equal) together."""
     first = (cells[:, None] == cells[None]).argmax(1)  # of every cell, the first row with its letter
     first[cells == ord("-")] = -1
     kinds: dict[bytes, list[int]] = {}
     for col, kind in enumerate(first.T.copy()):
         kinds.setdefault(kind.tobytes(), []).append(col)
-    return list(kinds.values())
+    return [np.array(cols) for cols in kinds.values()]
 
 
-def drawn_columns(kinds: list[list[int]], rng: np.random.Generator) -> np.ndarray:
+def drawn_columns(kinds: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
     """Of every place, the column that moves there."""
     source = np.empty(sum(map(len, kinds)), np.int64)
     for cols in kinds:
-        source[cols] = rng.permutation(cols)
+        # one column stays, and takes no draw
+        source[cols] = rng.permutation(cols) if len(cols) > 1 else cols
     return source
 
 
@@ -52,24 +54,37 @@ def shuffled_pattern(rows: list[str], rng: np.random.Generator) -> list[str]:
     return [r.tobytes().decode("latin-1") for r in cells[:, source]]
 
 
+def consensus_energies_udf(parameters: str = ""):
+    """A function of an alignment's rows: its consensus energy."""
+    @F.pandas_udf("double")
+    def folded(blocks: pd.Series) -> pd.Series:
+        known, got, room = [list(b) for b in blocks], np.zeros(len(blocks)), Room()
+        for group in in_batches([len(b[0]) for b in known], [len(b) for b in known]):
+            got[group] = Fold([known[g] for g in group], energies(parameters), consensus=True, room=room).energy()
+        return pd.Series(got)
+
+    return folded
+
+
 def drawn_energies_udf(parameters: str = ""):
     """A function of an alignment's rows and a range of draws (from, to): the consensus energy of each shuffled copy."""
     @F.pandas_udf("array<double>")
     def drawn(blocks: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        known, copies = [], []
-        for k, (b, lo, hi) in enumerate(zip(blocks, low, high)):
-            seed, cells = zlib.crc32("\n".join(b).encode()), cells_of(list(b))
-            kinds = patterns(cells)
-            known.append((cells, pair_scores(encode(list(b)))))
-            copies += [(k, drawn_columns(kinds, np.random.default_rng([seed, i]))) for i in range(lo, hi)]
-        got: list[list[float]] = [[] for _ in known]
-        for group in in_batches([len(at) for _, at in copies], [len(known[k][0]) for k, _ in copies]):
-            own = [copies[i] for i in group]
-            rows = [[r.tobytes().decode("latin-1") for r in known[k][0][:, at]] for k, at in own]
-            # the score of two columns goes with them
-            scores = np.stack([known[k][1][np.ix_(at, at)] for k, at in own])
-            for (k, _), mfe in zip(own, Fold(rows, energies(parameters), scores=scores).energy()):
-                got[k].append(float(mfe))
+        known, room = [list(b) for b in blocks], Room()
+        got: list = [None] * len(known)
+        for group in in_batches([len(b[0]) for b in known], [len(b) for b in known], int((high - low).max()) if len(known) else 1):
+            copies = []
+            for g in group:
+                rows, lo, hi = known[g], low[g], high[g]
+                seed, kinds, codes = zlib.crc32("\n".join(rows).encode()), patterns(cells_of(rows)), encode(rows)
+                at = np.stack([drawn_columns(kinds, np.random.default_rng([seed, i])) for i in range(lo, hi)])
+                # narrower ones end in gaps
+                made = np.zeros((hi - lo, len(rows), len(known[group[0]][0])), codes.dtype)
+                made[:, :, :codes.shape[1]] = codes[:, at].transpose(1, 0, 2)
+                copies.append(made)
+            folded = Fold(np.concatenate(copies), energies(parameters), consensus=True, room=room).energy()
+            for g, own in zip(group, np.split(folded, np.cumsum([len(c) for c in copies])[:-1])):
+                got[g] = own.tolist()
         return pd.Series(got)
 
     return drawn
@@ -102,7 +117,8 @@ def shuffled_screen(
     windows = windows.select(*key, F.transform("rows", lambda r: sq.as_rna(r["seq"])).alias("seqs"))
     # folding costs more than the shuffle, so windows, and then draws, are dealt evenly over tasks
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    native = windows.repartition(tasks, *key).withColumn("mfe", consensus_udf(parameters)("seqs")["consensus_mfe"])
+    # folded once: the windows that are shuffled and the rows of the answer are the same
+    native = settled(windows.repartition(tasks, *key).withColumn("mfe", consensus_energies_udf(parameters)("seqs")))
     low = native.where(F.col("mfe") <= threshold).withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(DRAWS_AT_ONCE))))
     draws = low.repartition(tasks, *key, "_from").select(*key, F.explode(
         drawn_energies_udf(parameters)("seqs", F.col("_from"), F.least(F.col("_from") + DRAWS_AT_ONCE, F.lit(samples)))).alias("_e"))

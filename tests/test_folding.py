@@ -214,3 +214,43 @@ def test_structures_cost_no_more_than_a_few_fills():
     for k in range(len(seqs)):
         folded.pairs(k)
     assert time.process_time() - filled < 4 * (filled - start)
+
+
+def test_alignments_of_nearly_one_width_are_folded_together():
+    """Windows lose columns, so no two of a batch need be of one width: they share a fold, and none changes its result."""
+    draw = random.Random(8)
+    blocks = [["".join(draw.choices("ACGU-", k=n)) for _ in range(3)] for n in (60, 71, 58, 66, 12)]
+    assert list(ops.in_batches([len(b[0]) for b in blocks], [3] * 5)) == [[1, 3, 0, 2], [4]]
+    assert list(ops.in_batches([9, 9, 9], [2, 3, 2])) == [[0, 2], [1]] and list(ops.in_batches([], [])) == []
+    together = Fold(blocks, energies(), consensus=True)
+    for k, b in enumerate(blocks):
+        scores = pair_scores(encode(b))[None]
+        own = Fold([b], energies(), scores=scores)
+        pairs = own.pairs(0)
+        assert together.energy()[k] == own.energy()[0] and together.pairs(k) == pairs
+        assert together.scores_of(k, pairs) == [scores[0, i, j] for i, j in pairs]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, 9])
+def test_short_numbers_do_for_energies_that_fit(rows):
+    """Energies too low for short numbers, or too many rows: the same results in long ones."""
+    draw = random.Random(rows)
+    stem = "GGCGCGGCAGCGGCCGACGGCGCCAGGCCG"
+    low = stem * 2 + "GAAA" + ("".join(dict(zip("ACGU", "UGCA"))[c] for c in reversed(stem))) * 2
+    mild = "".join(draw.choices("ACGU", k=90))
+    for seq, kind in ((low, np.int32), (mild, np.int16 if rows < 9 else np.int32)):
+        block = [seq] * rows
+        got = Fold([block], energies(), consensus=True)
+        want = Fold([block], energies(), scores=pair_scores(encode(block))[None])
+        assert got.c.dtype == kind and want.c.dtype == np.int32
+        assert got.energy()[0] == want.energy()[0] and got.pairs(0) == want.pairs(0)
+
+
+def test_folds_in_one_room():
+    from helicase.functions.folding import Room
+
+    draw, room = random.Random(2), Room()
+    for n in (50, 90, 30, 7, 3):
+        seqs = [["".join(draw.choices("ACGU", k=n))] for _ in range(4)]
+        first, again = Fold(seqs, energies()), Fold(seqs, energies(), room=room)
+        assert (first.energy() == again.energy()).all() and [first.pairs(k) for k in range(4)] == [again.pairs(k) for k in range(4)]
