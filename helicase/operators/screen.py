@@ -97,12 +97,20 @@ def fitted_background(seq: Column) -> tuple[Column, Column]:
     square).  Beyond that range, or where exact z-scores matter, use shuffles
     or published models.
     """
-    s = shares(seq)
-    g, a, c, n = s["gc"] - 0.5, s["a"] - 0.5, s["c"] - 0.5, (s["n"] - 100) / 100
-    terms = [F.lit(1.0), g, a, c, n, g * g, a * a, c * c, n * g, a * c, n * a * a, n * c * c, g * c * c, g * a * a]
+    # letters are counted once, and each share is worked out once, however often a term names it
+    counts = F.struct(F.length(seq).alias("n"), *[sq.count_of(seq, x).alias(x.lower()) for x in "ACGU"])
+
+    def centred(k: Column) -> Column:
+        n, a, c, g, u = (k[x] for x in "nacgu")
+        return F.struct((sq.ratio(g + c, a + c + g + u) - 0.5).alias("g"), (sq.ratio(a, a + u) - 0.5).alias("a"), (sq.ratio(c, c + g) - 0.5).alias("c"), ((n - 100) / 100).alias("n"))
 
     def total(weights: list[float]) -> Column:
-        return sum((w * t for w, t in zip(weights[1:], terms[1:])), F.lit(weights[0]))
+        def of(k: Column) -> Column:
+            g, a, c, n = (k[x] for x in "gacn")
+            terms = [g, a, c, n, g * g, a * a, c * c, n * g, a * c, n * a * a, n * c * c, g * c * c, g * a * a]
+            return sum((w * t for w, t in zip(weights[1:], terms)), F.lit(weights[0]))
+
+        return sq.let(sq.let(counts, centred), of)
 
     return total(MEAN_FIT), F.greatest(total(SD_FIT), F.lit(0.5))
 

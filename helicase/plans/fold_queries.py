@@ -76,7 +76,7 @@ SCREEN_FILTERS = {"max_gap": 0.35, "max_masked": 1.0, "range_check": False, "min
 
 def screen(spark, sf_dir):
     """Every window of every block through the whole screen, both strands, without shuffles and without a cutoff."""
-    found = screens.screen(blocks(spark, sf_dir), decision=stand_in_model(), background=screens.fitted_background, cutoff=0.0, filters=SCREEN_FILTERS)
+    found = screens.screen(blocks(spark, sf_dir), decision=stand_in_model(), background=screens.fitted_background, cutoff=0.0, filters=SCREEN_FILTERS, structures=False)
     return found.select("block_id", "slice_start", "strand", "seq_id", "start", "end", "n", "columns", "identity", "entropy", "gc", "mean_mfe", "consensus_mfe",
                         "energy", "covariance", "comb_per_pair", "z", "sci", "dec_value", "p", "locus")
 

@@ -107,3 +107,26 @@ def test_readings_meet_without_an_exchange(spark, windows):
     plan = strand_calls(read, strand_model())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert np.isfinite(plain(strand_model(), [0.0] * 6))
+
+
+def test_screen_without_structures(spark, windows):
+    """Rows' own structures, which cost as much as folding, can be left out: everything else is the same."""
+    with_, without = ({(r.block_id, r.reading): r.asDict(True) for r in screen.score_windows(
+        windows, decision=stand_in_model(), background=screen.fitted_background, structures=s).collect()} for s in (True, False))
+    for k, r in with_.items():
+        assert all(x.pop("fold") for x in r["rows"]) and not any(x.pop("fold") for x in without[k]["rows"])
+        assert r == without[k] and r["structure"]
+
+
+def test_fitted_background_counts_letters_once(spark):
+    """The same values as its formula, and a text whose length doesn't multiply with the terms."""
+    seqs = ["GGCAUUUGCCAAAGC" * 6, "ACGU" * 30, "A" * 60, "", "NNN"]
+    mean, sd = screen.fitted_background(F.col("seq"))
+    assert str(mean).count("replace(seq") <= 10 and str(sd).count("replace(seq") <= 10
+    for r in spark.createDataFrame([(s,) for s in seqs], "seq string").select("seq", mean.alias("m"), sd.alias("d")).collect():
+        n_a, n_c, n_g, n_u = (r.seq.count(x) for x in "ACGU")
+        share = lambda x, y: x / y if y else 0.0
+        g, a, c, n = share(n_g + n_c, n_a + n_c + n_g + n_u) - 0.5, share(n_a, n_a + n_u) - 0.5, share(n_c, n_c + n_g) - 0.5, (len(r.seq) - 100) / 100
+        terms = [1, g, a, c, n, g * g, a * a, c * c, n * g, a * c, n * a * a, n * c * c, g * c * c, g * a * a]
+        assert r.m == pytest.approx(sum(w * t for w, t in zip(screen.MEAN_FIT, terms)))
+        assert r.d == pytest.approx(max(0.5, sum(w * t for w, t in zip(screen.SD_FIT, terms))))
